@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, jaccard
 from ._common import table
 
 
+def op1_ngram_jaccard(spark, sf_dir):
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
 def op3_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op3_decontamination": op3_decontamination,
 }

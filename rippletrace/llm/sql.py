@@ -19,4 +19,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLE_SQL = {"op3_decontamination": OP3}
+_PLAIN = _WORDS.format("coalesce(text, '')", r"'[^\x20\x09-\x0D]+'")
+
+OP1 = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_PLAIN} AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[CAST(i AS BIGINT):CAST(i AS BIGINT) + 3], ' ') AS t
+      FROM d, UNNEST(range(1, greatest(len(w) - 3, 1) + 1)) AS r(i) WHERE len(w) > 0),
+z AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS MATERIALIZED (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS met FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS MATERIALIZED (SELECT x, y FROM p JOIN z zx ON zx.doc_id = x JOIN z zy ON zy.doc_id = y WHERE 100 * met >= 85 * (zx.n + zy.n - met)),
+l AS MATERIALIZED (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM z UNION SELECT reach.a, l.y FROM reach JOIN l ON l.x = reach.b),
+least_id AS (SELECT a AS doc_id, min(b) AS c FROM reach GROUP BY a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id
+FROM d LEFT JOIN z USING (doc_id) LEFT JOIN least_id USING (doc_id)
+"""
+
+ORACLE_SQL = {
+    "op1_ngram_jaccard": OP1,
+    "op3_decontamination": OP3,
+}
