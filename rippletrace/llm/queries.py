@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard
+from . import decontaminate, jaccard, toxicity
 from ._common import table
 
 
@@ -10,11 +10,16 @@ def op1_ngram_jaccard(spark, sf_dir):
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
 }
