@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, toxicity
+from . import decontaminate, jaccard, pii, toxicity
 from ._common import table
 
 
@@ -18,8 +18,13 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op6_pii": op6_pii,
 }
