@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, pii, toxicity
+from . import bpe, decontaminate, jaccard, pii, toxicity
 from ._common import table
 
 
@@ -22,9 +22,21 @@ def op6_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def tokenizer() -> tuple[str, str]:
+    """Path and pattern of the vocabulary that the queries use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op10_byte_bpe(spark, sf_dir):
+    return bpe.report(table(spark, sf_dir, "documents"), *tokenizer())
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
     "op6_pii": op6_pii,
+    "op10_byte_bpe": op10_byte_bpe,
 }
