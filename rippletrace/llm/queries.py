@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, pii, toxicity
+from . import bpe, decontaminate, jaccard, pii, suffix_dedup, toxicity
 from ._common import table
 
 
@@ -18,6 +18,10 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op6_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_pii": op6_pii,
     "op10_byte_bpe": op10_byte_bpe,
 }
