@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, pii, suffix_dedup, toxicity
+from . import bpe, decontaminate, jaccard, pii, secrets, suffix_dedup, toxicity
 from ._common import table
 
 
@@ -26,6 +26,10 @@ def op6_pii(spark, sf_dir):
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op7_secrets(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def tokenizer() -> tuple[str, str]:
     """Path and pattern of the vocabulary that the queries use."""
     import public_tokenizers
@@ -43,5 +47,6 @@ QUERIES = {
     "op3_decontamination": op3_decontamination,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_pii": op6_pii,
+    "op7_secrets": op7_secrets,
     "op10_byte_bpe": op10_byte_bpe,
 }
