@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, pii, secrets, suffix_dedup, toxicity
+from . import bpe, decontaminate, jaccard, pii, secrets, suffix_dedup, topk, toxicity
 from ._common import table
 
 
@@ -30,6 +30,10 @@ def op7_secrets(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op9_topk(spark, sf_dir):
+    return topk.report(table(spark, sf_dir, "embeddings"))
+
+
 def tokenizer() -> tuple[str, str]:
     """Path and pattern of the vocabulary that the queries use."""
     import public_tokenizers
@@ -48,5 +52,6 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_pii": op6_pii,
     "op7_secrets": op7_secrets,
+    "op9_topk": op9_topk,
     "op10_byte_bpe": op10_byte_bpe,
 }
