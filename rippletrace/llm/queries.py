@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard, pii, secrets, suffix_dedup, topk, toxicity
+from . import bpe, decontaminate, html_text, jaccard, pii, secrets, suffix_dedup, topk, toxicity
 from ._common import table
 
 
@@ -18,6 +18,10 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_html_text(spark, sf_dir):
+    return html_text.report(table(spark, sf_dir, "pages"))
+
+
 def op5_suffix_dedup(spark, sf_dir):
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
     "op3_decontamination": op3_decontamination,
+    "op4_html_text": op4_html_text,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_pii": op6_pii,
     "op7_secrets": op7_secrets,
