@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, html_text, jaccard, pii, secrets, suffix_dedup, topk, toxicity
+from . import bpe, chat, decontaminate, html_text, jaccard, pii, secrets, suffix_dedup, topk, toxicity
 from ._common import table
 
 
@@ -34,6 +34,10 @@ def op7_secrets(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_formatting(spark, sf_dir):
+    return chat.report(table(spark, sf_dir, "conversations"))
+
+
 def op9_topk(spark, sf_dir):
     return topk.report(table(spark, sf_dir, "embeddings"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_pii": op6_pii,
     "op7_secrets": op7_secrets,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_topk": op9_topk,
     "op10_byte_bpe": op10_byte_bpe,
 }

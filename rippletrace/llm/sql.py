@@ -44,7 +44,20 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP8 = """
+WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM t),
+l AS (SELECT conv_id, place, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS line FROM o),
+p AS (SELECT conv_id, place, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY place) AS body, count(*) OVER (PARTITION BY conv_id) AS n FROM l),
+f AS (SELECT min(conv_id) AS conv_id, n, body FROM p WHERE place = n GROUP BY n, body)
+SELECT f.conv_id, CAST(part AS BIGINT) AS part, n AS n_turns,
+       (SELECT string_agg(line, '' ORDER BY place) FROM l WHERE l.conv_id = f.conv_id AND (place - 1) // 256 = part) AS text
+FROM f, UNNEST(range(0, (n - 1) // 256 + 1)) AS r(part)
+WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place = f.n AND p.n > f.n AND p.body = f.body)
+"""
+
 ORACLE_SQL = {
+    "op8_chat_formatting": OP8,
     "op9_topk": OP9,
     "op1_ngram_jaccard": OP1,
     "op3_decontamination": OP3,
