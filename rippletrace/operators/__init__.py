@@ -1,0 +1 @@
+"""DataFrame operators: parsers, graph, traversal, changes, rules, scores, views."""
