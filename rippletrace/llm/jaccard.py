@@ -17,12 +17,16 @@ when 100 * |x & y| >= percent * |x | y|. The result is exact:
    keeps the pairs of a set in proportion to n; sets near a step of m index
    under both values.
 4. Keys held by one set only are dropped after a count that is combined before
-   the shuffle. Each remaining set is sent to its most shared key, in blocks of
-   `BLOCK` sets, and verified there.
-5. Key groups that still span several components are verified whole: small ones
-   once for each distinct list of members, large ones in pairs of blocks. Pairs
-   are compared inside a task as products of incidence matrices; rows come out
-   only for links.
+   the shuffle, as are entries whose neighbours by size in a key group are too
+   small or too large to link. What is left is held against bucket counts: a set
+   counts its tokens in about n / 4 hash buckets, and the sum of bucket minima
+   is an upper bound of an overlap, so pairs it rules out cannot link.
+5. Sets that still share keys form clusters, and each cluster is verified whole:
+   its texts travel once, compressed, and pairs are compared inside a task as products of
+   incidence matrices. Clusters over `BLOCK` sets are cut into blocks and
+   compared block by block; clusters over `CLUSTER` sets go by key group
+   instead, each distinct list of members once and large groups in blocks. Rows
+   come out only for links.
 
 Defined cases: null and word-less texts have an empty set, link with nothing and
 are their own component; rows with a null id link with nothing and have a null
@@ -36,20 +40,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from . import _bytes as B
 from ._common import cut, prepare
 from .components import components
 
 WIDTH, PERCENT = 5, 80
-#: Frequent shingles that are broadcast (16 bytes each), and the count that makes one frequent.
-HINTS, FREQUENT = 1 << 18, 8
+#: Frequent shingles that are broadcast (16 bytes each), and the least count of one.
+HINTS, FREQUENT = 1 << 19, 2
+#: Count of a hinted shingle from which it is indexed in pairs.
+PAIRED = 64
 #: Shingles gathered before they are counted in the hint pass.
 CHUNK = 3_000_000
-#: Sets that are compared within one group; larger groups are split into blocks.
-BLOCK = 512
+#: Sets, and tokens, that are compared within one task; larger groups are split into blocks.
+BLOCK, BLOCK_TOKENS = 1024, 1_500_000
+#: Sets of the largest key group whose pairs are held against bucket counts; entries of larger ones all go on.
+SKETCHED = 512
+#: Sets of the largest cluster that is verified whole.
+CLUSTER = 4096
+#: Rows of the cluster table that may be broadcast (about 40 bytes each); a larger one is joined by shuffles.
+BROADCAST_ROWS = 300_000
 U = B.U
 
 
@@ -130,10 +144,10 @@ def keys_of(x: np.ndarray, percent: int, hint_keys: np.ndarray, hint_counts: np.
     out = []
     sizes = sorted({_classes(n), _classes(n * 100 // percent)})
     longest = order[: slack + 1 + sizes[-1]]
-    out.append(x[longest[count[longest] == 0]])
+    out.append(x[longest[count[longest] < PAIRED]])
     for m in sizes:
         prefix = order[: slack + 1 + m]
-        often = x[prefix[count[prefix] > 0]]
+        often = x[prefix[count[prefix] >= PAIRED]]
         kind = (B.mix(often) % U(m)).astype(np.int64)
         for c in np.unique(kind):
             own = np.sort(often[kind == c])
@@ -143,6 +157,69 @@ def keys_of(x: np.ndarray, percent: int, hint_keys: np.ndarray, hint_counts: np.
     return np.unique(np.concatenate(out))
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """Token counts of a set in 2**k buckets: about four tokens each, sixteen in long sets. The last byte tells the width."""
+    buckets = 1 << max(3, (len(x) >> (4 if len(x) > 1024 else 2)).bit_length())
+    counts = np.bincount((B.mix(x) & U(buckets - 1)).astype(np.int64), minlength=buckets)
+    most = counts.max(initial=0)
+    if most < 16:
+        return (counts[::2] << 4 | counts[1::2]).astype(np.uint8).tobytes() + b"\0"
+    return counts.astype(np.uint8 if most < 256 else np.uint32).tobytes() + (b"\1" if most < 256 else b"\4")
+
+
+def _buckets(raw: bytes) -> int:
+    return (len(raw) - 1) * 2 if raw[-1] == 0 else (len(raw) - 1) // raw[-1]
+
+
+def _counts(raw: bytes, buckets: int) -> np.ndarray:
+    c = np.frombuffer(raw[:-1], np.uint32 if raw[-1] == 4 else np.uint8).astype(np.int32)
+    if raw[-1] == 0:
+        c = np.stack([c >> 4, c & 15], 1).ravel()
+    while len(c) > buckets:
+        c = c[: len(c) // 2] + c[len(c) // 2 :]
+    return c
+
+
+def possible(sizes: list[int], sketches: list[bytes], percent: int) -> np.ndarray:
+    """Which sets of a group can link with another one, by sizes and bucket counts."""
+    n = np.array(sizes, np.int64)
+    out = np.zeros(len(n), bool)
+    least = min(map(_buckets, sketches))
+    c = np.stack([_counts(x, least) for x in sketches])
+    for i in range(len(n) - 1):
+        top = np.minimum(c[i], c[i + 1 :]).sum(1)
+        ok = 100 * top >= percent * (n[i] + n[i + 1 :] - top)
+        if ok.any():
+            out[i] = True
+            out[i + 1 :] |= ok
+    return out
+
+
+def _possible_pass(batches, percent: int):
+    """Rows (key, id, n, sketch) sorted by key -> the entries that can link within their key group."""
+    key, wide, ids, sizes, sketches = None, False, [], [], []
+
+    def flush():
+        keep = np.full(len(ids), True) if wide else possible(sizes, sketches, percent) if len(ids) > 1 else np.zeros(len(ids), bool)
+        own = [i for i, ok in zip(ids, keep.tolist()) if ok]
+        for held in (ids, sizes, sketches):
+            held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([key] * len(own), pa.int64()), pa.array(own, pa.int64())], names=["key", "id"])
+
+    for batch in batches:
+        for k, i, n, c in zip(*(batch.column(j).to_pylist() for j in range(4))):
+            if k != key:
+                yield flush()
+                key, wide = k, False
+            elif len(ids) == SKETCHED:  # a larger group passes whole, a piece at a time
+                wide = True
+                yield flush()
+            ids.append(i)
+            sizes.append(n)
+            sketches.append(c)
+    yield flush()
+
+
 def _key_pass(batches, width: int, percent: int, sent):
     hint_keys, hint_counts = sent.value
     for part, sets in _sets(batches, "text", width):
@@ -152,14 +229,13 @@ def _key_pass(batches, width: int, percent: int, sent):
         flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
         columns = [part.column(part.schema.get_field_index("id")), pa.array([len(x) for x in sets], pa.int64())]
         columns += [pa.array(np.array([s[i] for s in seals], np.uint64).view(np.int64)) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))], names=["id", "n", "s1", "s2", "keys"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))), pa.array([sketch(x) for x in sets], pa.binary())], names=["id", "n", "s1", "s2", "keys", "sketch"])
 
 
-def _set_pass(batches, width: int):
-    for part, sets in _sets(batches, "text", width):
-        columns = [part.column(i) for i, name in enumerate(part.schema.names) if name != "text"]
-        names = [name for name in part.schema.names if name != "text"]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array([x.tobytes() for x in sets], pa.binary())], names=[*names, "members"])
+def _pack_pass(batches):
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack(t or b"") for t in B.binary(batch.column(1))], pa.binary())], names=["id", "z"])
 
 
 def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -200,8 +276,9 @@ def linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return np.array([find(i) for i in range(n)])
 
 
-def _verify_pass(batches, percent: int):
+def _verify_pass(batches, width: int, percent: int):
     """Rows sorted by their group columns -> (u, v): each set that links, and the first set of its component."""
+    unpack = zstandard.ZstdDecompressor().decompress
     group, ids, members = None, [], []
 
     def flush():
@@ -213,20 +290,32 @@ def _verify_pass(batches, percent: int):
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["u", "v"]) if pairs else None
 
     for batch in batches:
-        for key, a, b, i, m in zip(*(batch.column(k).to_pylist() for k in range(5))):
-            if (key, a, b) != group:
-                if (out := flush()) is not None:
-                    yield out
-                group, ids, members = (key, a, b), [], []
-            ids.append(i)
-            members.append(np.frombuffer(m, np.uint64))
+        for lo in range(0, batch.num_rows, 50):
+            part = batch.slice(lo, 50)
+            sets = shingle_sets([unpack(z) for z in part.column(4).to_pylist()], width)
+            for key, a, b, i, x in zip(*(part.column(k).to_pylist() for k in range(4)), sets):
+                if (key, a, b) != group:
+                    if (out := flush()) is not None:
+                        yield out
+                    group, ids, members = (key, a, b), [], []
+                ids.append(i)
+                members.append(x)
     if (out := flush()) is not None:
         yield out
 
 
-def _verified(rows: DataFrame, percent: int) -> DataFrame:
-    dealt = rows.select("key", "a", "b", "id", "members").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return dealt.mapInArrow(lambda batches: _verify_pass(batches, percent), "u bigint, v bigint")
+def _verified(rows: DataFrame, width: int, percent: int) -> DataFrame:
+    dealt = rows.select("key", "a", "b", "id", "z").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+    return dealt.mapInArrow(lambda batches: _verify_pass(batches, width, percent), "u bigint, v bigint")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(key, id, g, tokens) -> (key, a, b, id): each pair of blocks a <= b of a group meets in one task."""
+    n = F.greatest(F.ceil(F.col("g") * 2 / BLOCK), F.ceil(F.col("tokens") * 2 / BLOCK_TOKENS))
+    n = F.when((F.col("g") <= BLOCK) & (F.col("tokens") <= BLOCK_TOKENS), F.lit(1)).otherwise(n).cast("long")
+    rows = rows.withColumn("blocks", n).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return rows.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "id")
 
 
 def _hints(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,33 +331,38 @@ def jaccard_join(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = prepare(documents.sparkSession)
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sent = spark.sparkContext.broadcast(_hints(texts, width))
-    base = cut(texts.mapInArrow(lambda batches: _key_pass(batches, width, percent, sent), "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>"))
+    base = cut(texts.mapInArrow(lambda batches: _key_pass(batches, width, percent, sent), "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, sketch binary"))
     usable = base.where("n > 0 AND id IS NOT NULL")
-    first = usable.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
-    index = first.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
-    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    entries = cut(index.join(shared, "key").select("key", "held", "id").distinct())
-
-    # Each set once, at its most shared key.
-    home = entries.groupBy("id").agg(F.max_by(F.struct("key", "held"), F.struct("held", "key")).alias("at"))
-    home = home.select("id", F.col("at.key").alias("key"), F.pmod(F.xxhash64("id"), F.ceil(F.col("at.held") / BLOCK)).alias("a"), F.lit(0).cast("long").alias("b"))
-    candidates = cut(texts.where("id IS NOT NULL").join(home, "id").mapInArrow(lambda batches: _set_pass(batches, width), "id bigint, key bigint, a bigint, b bigint, members binary"))
-    links = cut(_verified(candidates, percent))
-    known = cut(components(links))
-
-    # What still spans components, whole.
-    placed = entries.join(known, F.col("id") == F.col("node"), "left").select("key", "held", "id", F.coalesce("component", "id").alias("c"))
-    open_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    left = cut(placed.join(open_keys, "key").select("key", "held", "id"))
-    small = left.where(F.col("held") <= BLOCK).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    small = small.groupBy(F.xxhash64(F.col("ids"), F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), F.col("ids")).alias("h2")).agg(F.min("key").alias("key"), F.first("ids").alias("ids"))
-    small = small.select("key", F.explode("ids").alias("id"), F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"))
-    large = left.where(F.col("held") > BLOCK).withColumn("blocks", F.ceil(F.col("held") * 2 / BLOCK)).withColumn("own", F.pmod(F.xxhash64("id"), "blocks"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    large = large.select("key", "id", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    again = small.select("key", "id", "a", "b").unionByName(large).join(candidates.select("id", "members"), "id")
-    more = _verified(again, percent)
-    joined = components(links.unionByName(known.select(F.col("node").alias("u"), F.col("component").alias("v"))).unionByName(more))
+    first = usable.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    index = first.select(F.col("rep").alias("id"), "n", F.explode("keys").alias("key"))
+    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key")
+    by_size = Window.partitionBy("key").orderBy("n", "id")
+    near = F.lit(percent) * F.lead("n").over(by_size) <= 100 * F.col("n")
+    entries = index.join(shared, "key").withColumn("up", near).withColumn("down", F.lit(percent) * F.col("n") <= 100 * F.lag("n").over(by_size))
+    entries = entries.where("up OR down").select("key", "id", "n", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("held"))
+    entries = cut(entries)
+    lists = entries.where(F.col("held") <= SKETCHED).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("members"))
+    lists = lists.groupBy(F.xxhash64("members").alias("h1"), F.xxhash64(F.lit(7), F.col("members")).alias("h2")).agg(F.min("key").alias("key"), F.first("members").alias("members"))
+    entries = lists.select("key", F.explode("members").alias("m")).select("key", "m.id", "m.n").unionByName(entries.where(F.col("held") > SKETCHED).select("key", "id", "n"))
+    sketches = usable.groupBy("id").agg(F.first("sketch").alias("sketch"))
+    dealt = entries.join(sketches, "id").select("key", "id", "n", "sketch").repartition("key").sortWithinPartitions("key")
+    entries = cut(dealt.mapInArrow(lambda batches: _possible_pass(batches, percent), "key bigint, id bigint").distinct())
+
+    hung = entries.join(entries.groupBy("key").agg(F.min("id").alias("least")), "key").select(F.col("id").alias("u"), F.col("least").alias("v"))
+    cluster = components(hung)
+    cluster = cluster.unionByName(cluster.select(F.col("component").alias("node"), "component").distinct())
+    sized = cluster.join(usable.groupBy(F.col("id").alias("node")).agg(F.max("n").alias("n")), "node")
+    sized = cut(sized.join(sized.groupBy("component").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("tokens")), "component"))
+    whole = _blocks(sized.where(F.col("g") <= CLUSTER).select(F.col("component").alias("key"), F.col("node").alias("id"), "g", "tokens"))
+    wide = sized.where(F.col("g") > CLUSTER).select(F.col("node").alias("id"), "n")
+    again = entries.join(wide, "id")
+    again = cut(again.join(again.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("tokens")), "key"))
+    small = again.where(F.col("g") <= BLOCK).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("g").alias("g"), F.first("tokens").alias("tokens"))
+    small = small.groupBy(F.xxhash64(F.col("ids"), F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), F.col("ids")).alias("h2")).agg(F.min("key").alias("key"), F.first("ids").alias("ids"), F.first("g").alias("g"), F.first("tokens").alias("tokens"))
+    small = small.select("key", F.explode("ids").alias("id"), "g", "tokens")
+    groups = whole.unionByName(_blocks(small)).unionByName(_blocks(again.where(F.col("g") > BLOCK).select("key", "id", "g", "tokens")))
+    packed = texts.join(_sized(sized.select(F.col("node").alias("id")).distinct()), "id").mapInArrow(_pack_pass, "id bigint, z binary")
+    joined = components(_verified(groups.join(packed, "id"), width, percent))
 
     named = first.select("s1", "s2", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
     out = base.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
@@ -278,8 +372,16 @@ def jaccard_join(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
 
 def deduplicate(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """One document of each component: the one with the smallest id. Rows with a null id, or without words, stay."""
-    found = jaccard_join(documents, id_col=id_col, text_col=text_col, width=width, percent=percent)
-    gone = found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("gone_id")).distinct()
-    kept = documents.join(gone, documents[id_col] == gone["gone_id"], "left_anti")
-    named = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col])
-    return named.unionByName(kept.where(F.col(id_col).isNull()))
+    found = cut(jaccard_join(documents, id_col=id_col, text_col=text_col, width=width, percent=percent))
+    gone = found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("other_id")).distinct()
+    twice = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("other_id")).count().where("count > 1").select("other_id")
+    kept = documents.join(_sized(gone), documents[id_col] == F.col("other_id"), "left_anti")
+    if twice.isEmpty():
+        return kept
+    alone = kept.join(twice, kept[id_col] == F.col("other_id"), "left_anti")
+    return alone.unionByName(kept.join(twice, kept[id_col] == F.col("other_id"), "left_semi").dropDuplicates([id_col]))
+
+
+def _sized(ids: DataFrame) -> DataFrame:
+    """With a broadcast hint if the table is small by count."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids
