@@ -1,0 +1 @@
+"""Plans: the whole analysis, test data adapters, and the registered queries."""

@@ -1,0 +1,37 @@
+"""The golden repository and diff: six files, one field that becomes nullable."""
+
+FILES = {
+    "app/api/users/route.ts": 'import { sendWelcome } from "../../../src/mailer";\n\nexport async function POST(request: Request) {\n  return sendWelcome(await request.json());\n}\n',
+    "src/billing.ts": 'import { User } from "./types";\n\nexport function syncBilling(user: User) {\n  return user.email.toLowerCase();\n}\n',
+    "src/mailer.ts": 'import { User } from "./types";\nimport { syncBilling } from "./billing";\n\nexport function sendWelcome(user: User) {\n  deliver(user.email);\n  return syncBilling(user);\n}\n',
+    "src/profile.ts": 'import { User } from "./types";\n\nexport const label = (user: User) => {\n  const shown = user.email;\n  return shown;\n};\n',
+    "src/types.ts": "export interface User {\n  id: string;\n  email: string | null;\n}\n",
+    "prisma/schema.prisma": "model User {\n  id    String  @id\n  email String?\n  phone String?\n}\n",
+}
+
+DIFF = """diff --git a/prisma/schema.prisma b/prisma/schema.prisma
+--- a/prisma/schema.prisma
++++ b/prisma/schema.prisma
+@@ -1,4 +1,5 @@
+ model User {
+   id    String  @id
+-  email String
++  email String?
++  phone String?
+ }
+diff --git a/src/types.ts b/src/types.ts
+--- a/src/types.ts
++++ b/src/types.ts
+@@ -1,4 +1,4 @@
+ export interface User {
+   id: string;
+-  email: string;
++  email: string | null;
+ }
+"""
+
+
+def frames(spark, analysis_id="g", files=None, diff=DIFF):
+    files = FILES if files is None else files
+    rows = [(analysis_id, k, p, c) for k, (p, c) in enumerate(files.items(), 1)]
+    return spark.createDataFrame(rows, "analysis_id string, file_seq int, path string, content string"), spark.createDataFrame([(analysis_id, diff)], "analysis_id string, diff string")
