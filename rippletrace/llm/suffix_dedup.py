@@ -33,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +43,8 @@ from ._common import cut, own_names, prepare
 
 DEPTH = 200
 GRAM, DIGIT = 32, 40
-#: Contexts of one gram that one task may hold; contexts sorted at once.
-WIDE, TOGETHER = 4096, 8192
+#: Contexts of one gram that one task may hold; contexts sorted at once; shares of a gram with more.
+WIDE, TOGETHER, SALTS = 4096, 8192, 256
 NO_ID = -(2**63)
 U = B.U
 
@@ -105,18 +106,19 @@ def _pack_pass(batches):
 
 
 def _context_pass(batches, depth: int):
-    """(k, t, z, found[a, c, p, single]) -> contexts of the grams found."""
+    """(k, t, z, found[a, c, p, kinds]) -> contexts of the grams found; `salt` spreads grams of many contexts, and is 0 for others."""
     unpack = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         out: list[list] = [[] for _ in range(7)]
         for k, t, z, found in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            text = unpack(z)
-            for f in found:
+            text = unpack(z) if found else b""
+            for f in found or ():
                 lo = max(0, f["p"] - (depth - GRAM))
-                for column, value in zip(out, (f["a"], f["c"], k, t, f["p"], f["p"] - lo, text[lo : f["p"] + depth])):
+                salt = 1 + f["c"] % SALTS if f["kinds"] > WIDE else 0
+                for column, value in zip(out, (f["a"], salt, k, t, f["p"], f["p"] - lo, text[lo : f["p"] + depth])):
                     column.append(value)
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, types)], names=["a", "c", "k", "t", "p", "left", "context"])
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, types)], names=["a", "salt", "k", "t", "p", "left", "context"])
 
 
 def _windows(contexts: list[bytes], left: np.ndarray, depth: int):
@@ -177,6 +179,8 @@ def _sort_pass(batches, depth: int):
 
     for batch in batches:
         for row in zip(*(batch.column(j).to_pylist() for j in range(7))):
+            if row[1]:
+                continue
             if len(held) >= TOGETHER and row[0] != held[-1][0]:
                 yield flush()
                 held = []
@@ -188,6 +192,7 @@ def _sort_pass(batches, depth: int):
 def _window_pass(batches, depth: int):
     """Contexts -> one row for each window: fingerprint, and whose it is."""
     for batch in batches:
+        batch = batch.filter(pc.greater(batch.column(1), 0))
         for lo in range(0, batch.num_rows, 2000):
             part = batch.slice(lo, 2000)
             gram = np.array(part.column(0).to_pylist(), np.int64).view(np.uint64)
@@ -202,24 +207,24 @@ def found_spans(texts: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFr
     occurrences = lambda contexts, body: texts.mapInArrow(lambda batches: _anchor_pass(batches, depth, contexts), body)
     often = occurrences(False, "a bigint").groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
     known = cut(occurrences(True, "a bigint, c bigint, k bigint, t int, p int").join(often, "a"))
-    kinds = known.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"))
+    kinds = cut(known.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")))
     whole = known.join(kinds.where("n > 1").select("a", "c"), ["a", "c"], "left_semi")
     whole = whole.groupBy("k", "t").agg(F.collect_set("p").alias("places")).select("k", "t", F.transform("places", lambda p: F.struct(F.greatest(p - (depth - GRAM), F.lit(0)).alias("s"), (p + depth).alias("e"))).alias("spans"))
     mixed = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     one = known.join(mixed, "a").groupBy("a", "c").agg(F.min(F.struct("k", "t", "p")).alias("o"), F.first("kinds").alias("kinds"))
     one = cut(one.select("a", "c", "o.k", "o.t", "o.p", "kinds"))
     packed = texts.mapInArrow(_pack_pass, "k bigint, t int, z binary")
-    asked = one.groupBy("k", "t").agg(F.collect_list(F.struct("a", "c", "p")).alias("found"))
-    contexts = packed.join(asked, ["k", "t"]).select("k", "t", "z", "found").mapInArrow(lambda batches: _context_pass(batches, depth), "a bigint, c bigint, k bigint, t int, p int, left int, context binary")
-    wide = mixed.where(F.col("kinds") > WIDE).select("a")
-    narrow = contexts.join(wide, "a", "left_anti").repartition("a").sortWithinPartitions("a")
-    sorted_spans = narrow.mapInArrow(lambda batches: _sort_pass(batches, depth), "k bigint, t int, spans array<struct<s:int,e:int>>")
-    windows = contexts.join(wide, "a", "left_semi").mapInArrow(lambda batches: _window_pass(batches, depth), "w bigint, k bigint, t int, s int")
+    asked = one.groupBy("k", "t").agg(F.collect_list(F.struct("a", "c", "p", "kinds")).alias("found"))
+    # The outer join keeps the plan of the packed side as the final join has it, so one shuffle of the texts serves both.
+    contexts = packed.join(asked, ["k", "t"], "left").select("k", "t", "z", "found").mapInArrow(lambda batches: _context_pass(batches, depth), "a bigint, salt int, k bigint, t int, p int, left int, context binary")
+    dealt = contexts.repartition("a", "salt")
+    sorted_spans = dealt.sortWithinPartitions("a").mapInArrow(lambda batches: _sort_pass(batches, depth), "k bigint, t int, spans array<struct<s:int,e:int>>")
+    windows = dealt.mapInArrow(lambda batches: _window_pass(batches, depth), "w bigint, k bigint, t int, s int")
     shared = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
     hit = windows.join(shared, "w", "left_semi").groupBy("k", "t").agg(F.collect_set("s").alias("starts"))
     wide_spans = hit.select("k", "t", F.transform("starts", lambda s: F.struct(s.alias("s"), (s + depth).alias("e"))).alias("spans"))
     spans = whole.unionByName(sorted_spans)
-    if not wide.isEmpty():
+    if not one.where(F.col("kinds") > WIDE).isEmpty():
         spans = spans.unionByName(wide_spans)
     return packed, spans.groupBy("k", "t").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
