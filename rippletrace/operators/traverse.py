@@ -22,43 +22,37 @@ def _cut(df: DataFrame) -> DataFrame:
 
 
 def dependents(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, nodes: DataFrame | None = None) -> DataFrame:
-    """(analysis_id, seed_seq, seed, node_id, depth, path, bfs_rank) of all that reaches a seed within `max_depth` edges.
+    """(analysis_id, seed_seq, seed, node_id, depth, path, order_key) of all that reaches a seed within `max_depth` edges.
 
     `seeds` has (analysis_id, seed_seq, seed); with `nodes`, edges from unknown
-    nodes lead nowhere. Breadth first: among parents of one
-    level the earlier one wins, then the earlier edge, so ranks are discovery
-    order and paths are discovery paths. Edges are joined on their target; each
-    level is ranked by the rank of the parent, which is local to a seed.
+    nodes lead nowhere. Breadth first: among parents of one level the earlier one
+    wins, then the earlier edge. `order_key` is the list of edge numbers along the
+    path; within a level its order is discovery order, so no level is ever
+    numbered and the best arrival is a plain minimum, combined before the shuffle.
     """
     if nodes is not None:
         edges = edges.join(nodes.select("analysis_id", F.col("id").alias("source")), ["analysis_id", "source"], "left_semi")
-    links = edges.select("analysis_id", F.col("target").alias("at"), "source", "edge_seq")
-    level = seeds.select("analysis_id", "seed_seq", "seed", F.col("seed").alias("node_id"), F.lit(0).alias("depth"), F.array("seed").alias("path"), F.lit(0).cast("long").alias("bfs_rank"))
-    seen, done = level, None
+    links = edges.select("analysis_id", F.col("target").alias("at"), "source", F.col("edge_seq").cast("long").alias("edge_seq"))
+    none = F.array().cast("array<bigint>")
+    level = seeds.select("analysis_id", "seed_seq", "seed", F.col("seed").alias("node_id"), F.lit(0).alias("depth"), F.array("seed").alias("path"), none.alias("order_key"))
+    seen, done = level, level.where(F.lit(False))
     for depth in range(1, max_depth + 1):
-        step = level.select("analysis_id", "seed_seq", "seed", F.col("node_id").alias("at"), "path", F.col("bfs_rank").alias("parent_rank")).join(links, ["analysis_id", "at"])
+        step = level.select("analysis_id", "seed_seq", "seed", F.col("node_id").alias("at"), "path", "order_key").join(links, ["analysis_id", "at"])
         step = step.join(seen.select("analysis_id", "seed_seq", F.col("node_id").alias("source")), ["analysis_id", "seed_seq", "source"], "left_anti")
-        # The best arrival is an aggregate, combined before the shuffle: a node with very many edges costs one row a task.
-        best = F.min(F.struct("parent_rank", "edge_seq", "path")).alias("b")
-        found = step.groupBy("analysis_id", "seed_seq", "seed", "source").agg(best)
-        order = Window.partitionBy("analysis_id", "seed_seq").orderBy("b.parent_rank", "b.edge_seq")
-        found = found.withColumn("bfs_rank", F.row_number().over(order).cast("long"))
-        level = _cut(found.select("analysis_id", "seed_seq", "seed", F.col("source").alias("node_id"), F.lit(depth).alias("depth"), F.array_append("b.path", F.col("source")).alias("path"), "bfs_rank"))
-        done = level if done is None else done.unionByName(level)
+        found = step.groupBy("analysis_id", "seed_seq", "seed", "source").agg(F.min(F.struct(F.array_append("order_key", F.col("edge_seq")).alias("order_key"), "path")).alias("b"))
+        level = found.select("analysis_id", "seed_seq", "seed", F.col("source").alias("node_id"), F.lit(depth).alias("depth"), F.array_append("b.path", F.col("source")).alias("path"), "b.order_key")
         if depth < max_depth:
+            level = _cut(level)
             seen = seen.unionByName(level)
-            if level.isEmpty():
-                break
-    offset = F.col("depth").cast("long") * F.lit(2**40)
-    empty = seeds.where(F.lit(False)).select("analysis_id", "seed_seq", "seed", F.col("seed").alias("node_id"), F.lit(0).alias("depth"), F.array("seed").alias("path"), F.lit(0).cast("long").alias("bfs_rank"))
-    return (empty if done is None else done).withColumn("bfs_rank", F.col("bfs_rank") + offset)
+        done = done.unionByName(level)
+    return done
 
 
 def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(analysis_id, seed_seq, seed, total_affected, affected) for seeds that are nodes."""
     known = seeds.join(nodes.select("analysis_id", F.col("id").alias("seed")), ["analysis_id", "seed"], "left_semi")
     found = dependents(edges, known, max_depth, nodes)
-    listed = F.array_sort(F.collect_list(F.struct("bfs_rank", "node_id", "depth", "path")))
+    listed = F.array_sort(F.collect_list(F.struct("depth", "order_key", "node_id", "path")))
     gathered = found.groupBy("analysis_id", "seed_seq").agg(F.count(F.lit(1)).alias("total_affected"), F.transform(listed, lambda x: F.struct(x["node_id"].alias("node_id"), x["depth"].alias("depth"), x["path"].alias("path"))).alias("affected"))
     return known.join(gathered, ["analysis_id", "seed_seq"], "left").withColumn("total_affected", F.coalesce("total_affected", F.lit(0).cast("long")))
 
@@ -68,6 +62,6 @@ def combine(found: DataFrame) -> DataFrame:
 
     Order: depth, then first appearance over all seeds in order.
     """
-    won = found.groupBy("analysis_id", "node_id").agg(F.min(F.struct("depth", "seed_seq", "seed", "path")).alias("w"), F.min(F.struct("seed_seq", "bfs_rank")).alias("first"))
-    order = Window.partitionBy("analysis_id").orderBy("w.depth", "first.seed_seq", "first.bfs_rank")
+    won = found.groupBy("analysis_id", "node_id").agg(F.min(F.struct("depth", "seed_seq", "seed", "path")).alias("w"), F.min(F.struct("seed_seq", "depth", "order_key")).alias("first"))
+    order = Window.partitionBy("analysis_id").orderBy("w.depth", "first.seed_seq", "first.depth", "first.order_key")
     return won.select("analysis_id", F.row_number().over(order).alias("out_seq"), "node_id", F.col("w.depth").alias("depth"), F.col("w.path").alias("path"), F.col("w.seed").alias("seed"))
