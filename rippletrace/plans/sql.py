@@ -119,7 +119,7 @@ dd AS (SELECT g.* REPLACE (first_seq AS risk_seq), CASE WHEN size > 1 THEN ue_.e
 rk AS (SELECT *, CAST(row_number() OVER (PARTITION BY analysis_id ORDER BY score DESC, confidence DESC, risk_seq) AS INTEGER) AS rank FROM dd)"""
 _OVERALL = """w AS (SELECT analysis_id, count(*) AS risks, list_sum(list(CASE WHEN rank <= 5 THEN score * (1.0::DOUBLE / rank) ELSE 0.0::DOUBLE END ORDER BY rank)) / list_sum(list(CASE WHEN rank <= 5 THEN 1.0::DOUBLE / rank ELSE 0.0::DOUBLE END ORDER BY rank)) AS base FROM rk GROUP BY analysis_id),
 an AS (SELECT DISTINCT o_orderpriority AS analysis_id FROM orders UNION ALL SELECT 'none'),
-ov AS (SELECT analysis_id, coalesce(risks, 0) AS risks, coalesce(CAST(floor(greatest(0.0::DOUBLE, least(98.0::DOUBLE, base + least(risks * 1.5::DOUBLE, 10.0::DOUBLE))) + 0.5) AS INTEGER), 0) AS score FROM an LEFT JOIN w USING (analysis_id))"""
+ov AS (SELECT analysis_id, coalesce(risks, 0) AS risks, coalesce(CASE WHEN risks IS NOT NULL THEN CAST(floor(greatest(0.0::DOUBLE, least(98.0::DOUBLE, base + least(risks * 1.5::DOUBLE, 10.0::DOUBLE))) + 0.5) AS INTEGER) END, 0) AS score FROM an LEFT JOIN w USING (analysis_id))"""
 _LABEL = "CASE WHEN score >= 90 THEN 'critical' WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END"
 
 _VIEW = f"""{LN}, {LE}, n4 AS (SELECT * FROM ln WHERE type IN ('region', 'nation', 'customer', 'supplier')), e3 AS (SELECT * FROM le WHERE edge_seq < 3 * 1099511627776),

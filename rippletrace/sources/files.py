@@ -61,9 +61,9 @@ def select_files(files: DataFrame) -> DataFrame:
 def scan_directory(spark: SparkSession, root: str, analysis_id: str) -> DataFrame:
     """Source files under a folder, ordered by path; read as whole texts."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.lit(root.rstrip("/") + "/")
+    base = root.rstrip("/") + "/"
     bare = F.regexp_replace("path", r"^[a-z]+:/*(?=/)", "")
-    relative = F.when(F.locate(root.rstrip("/") + "/", bare) > 0, F.substring_index(bare, base, -1)).otherwise(bare)
+    relative = F.when(F.locate(base, bare) > 0, F.substring_index(bare, base, -1)).otherwise(bare)
     files = select_files(raw.select(F.lit(analysis_id).alias("analysis_id"), relative.alias("path"), F.decode("content", "UTF-8").alias("content")))
     return numbered(files, "file_seq", ["analysis_id"], "path")
 

@@ -1,0 +1 @@
+"""Incremental analysis of arriving diffs."""
