@@ -15,7 +15,7 @@ training). Labels for training are the pattern spans of at most `MAX_TRAIN`
 rows, drawn by a hash of the text. Beliefs come from damped loopy sum-product
 over all tokens of an Arrow slice at once. Tokens whose most probable kind
 reaches `ADD_AT` and that touch no pattern span become further spans; adjoining
-phone tokens make one span. Whole texts are read; one pass, no shuffle.
+phone tokens make one span, and spans with an impossible number of digits go. Whole texts are read; one pass, no shuffle.
 
 Defined cases: null and empty texts have no spans; repeated rows are judged one
 by one; without any pattern span to train on nothing is added; an empty table
@@ -238,6 +238,18 @@ def beliefs(graph: _Graph, field: Field) -> np.ndarray:
     return p / p.sum(1, keepdims=True)
 
 
+def _plausible(text: str, kind: int, a: int, b: int) -> bool:
+    """Whether a span that the field adds can be of its kind at all."""
+    t = text[a:b]
+    digits = sum("0" <= c <= "9" for c in t)
+    if kind == 0:
+        return "@" in t
+    if kind == 1:
+        parts = re.findall("[0-9]+", t)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    return 13 <= digits <= 19 if kind == 2 else 9 <= digits <= 15
+
+
 def find(texts: list[str | None], field: Field) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """(pattern spans, all spans) of each text, by kind, then start."""
     graph, base = _Graph(), []
@@ -259,7 +271,7 @@ def find(texts: list[str | None], field: Field) -> list[tuple[list[tuple[int, in
             else:
                 added[row].append((kind, a, b))
             previous = i
-    return [(b, sorted(b + added[k])) for k, b in enumerate(base)]
+    return [(b, sorted(b + [s for s in added[k] if _plausible(texts[k], *s)])) for k, b in enumerate(base)]
 
 
 def fit(documents: DataFrame, *, text_col: str = "text", max_train: int = MAX_TRAIN) -> Field:
