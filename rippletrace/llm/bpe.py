@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by recursive DuckDB queries in each partition.
 
-A worker loads the vocabulary once: every way to cut a token into two tokens is a
-row (left, right, merged id) of the merge table, so a merge's rank is its id.
-Texts are cut by the tokenizer's pattern; words not yet known to the worker go
+A task loads the vocabulary once: every way to cut a token into two tokens is a
+row (pair, merged id) of the merge table, so a merge's rank is its id.
+Texts are cut by the tokenizer's pattern; words not yet known to the task go
 to DuckDB as token-position rows, one row a byte. A recursive query joins
 neighbouring rows with the merge table and contracts each word's leftmost pair
 of minimum rank until none is left. Ordered aggregation over the final rows
@@ -15,8 +15,8 @@ minimum rank at once (left to right, without overlap). That is the same result:
 a merge never yields a pair of a lower rank, as every token is made of tokens
 of lower ranks.
 
-Whole texts are encoded, in one pass without a shuffle. Known words are kept up
-to `KNOWN_WORDS` a worker. Defined cases: null and empty texts have no tokens;
+Whole texts are encoded, in one pass without a shuffle. A task keeps the words
+of its last one or two times `KNOWN_WORDS` lookups, so frequent words stay. Defined cases: null and empty texts have no tokens;
 repeated rows are encoded one by one; an empty table gives an empty result;
 other columns pass through `round_trip` unchanged.
 """
@@ -34,30 +34,33 @@ from . import _bytes as B
 from ._common import own_names, prepare
 
 LONG_WORD = 48
-#: Words a worker keeps, words in one query, and bytes of long words in one query.
-KNOWN_WORDS, QUERY_WORDS, QUERY_BYTES = 200_000, 10_000, 1_000_000
+#: Words in each of the two generations a task keeps, words in one query, and bytes of long words in one query.
+KNOWN_WORDS, QUERY_WORDS, QUERY_BYTES = 600_000, 40_000, 1_000_000
 
+# A row's place is w * 256 + p, so one order serves all words; a pair of tokens is l * 65536 + r.
 _CONTRACT = """
-WITH RECURSIVE s(step, w, p, t) AS (
-  SELECT 0, w, p, t FROM seed
+WITH RECURSIVE s(step, wp, t) AS (
+  SELECT 0, CAST(w AS BIGINT) * 256 + p, t FROM seed
   UNION ALL
-  SELECT step + 1, w, p, CASE WHEN p = best % 65536 THEN CAST(best // 65536 AS INTEGER) ELSE t END
-  FROM (
-    SELECT step, w, p, t, before, min(CAST(m.id AS BIGINT) * 65536 + p) OVER (PARTITION BY w) AS best
-    FROM (SELECT step, w, p, t, lead(t) OVER x AS after, lag(p) OVER x AS before FROM s WINDOW x AS (PARTITION BY w ORDER BY p)) q
-    LEFT JOIN merges m ON m.l = q.t AND m.r = q.after
-  ) r
-  WHERE best IS NOT NULL AND (before IS NULL OR before <> best % 65536)
+  (WITH q AS MATERIALIZED (
+     SELECT step, wp, t, wp // 256 AS w, lead(wp) OVER x AS after, lead(t) OVER x AS right_t FROM s WINDOW x AS (ORDER BY wp)
+   ),
+   least AS MATERIALIZED (
+     SELECT w, min(rank) AS rank, min_by(after, rank) AS gone
+     FROM (SELECT w, after, CAST(m.id AS BIGINT) * 256 + wp % 256 AS rank FROM q JOIN merges m ON m.pair = CAST(t AS BIGINT) * 65536 + right_t WHERE after // 256 = w)
+     GROUP BY w
+   )
+   SELECT step + 1, wp, CASE WHEN wp % 256 = rank % 256 THEN CAST(rank // 256 AS INTEGER) ELSE t END FROM q JOIN least ON least.w = q.w WHERE wp <> gone)
 ),
-done AS (SELECT w, max(step) AS step FROM s GROUP BY w)
-SELECT w, p, t FROM s JOIN done USING (w, step)
+done AS (SELECT wp // 256 AS w, max(step) AS step FROM s GROUP BY 1)
+SELECT CAST(done.w AS INTEGER) AS w, CAST(wp % 256 AS INTEGER) AS p, t FROM s JOIN done ON done.w = wp // 256 AND done.step = s.step
 """
 
 #: One round over long words: all pairs of the minimum rank, every second one of a run of overlapping pairs.
 _ROUND = """
 CREATE OR REPLACE TEMP TABLE after_round AS
 WITH q AS (SELECT w, p, t, lead(t) OVER x AS nt, row_number() OVER x AS k FROM state WINDOW x AS (PARTITION BY w ORDER BY p)),
-m AS (SELECT q.*, merges.id, min(merges.id) OVER (PARTITION BY w) AS best FROM q LEFT JOIN merges ON merges.l = q.t AND merges.r = q.nt),
+m AS (SELECT q.*, merges.id, min(merges.id) OVER (PARTITION BY w) AS best FROM q LEFT JOIN merges ON merges.pair = CAST(q.t AS BIGINT) * 65536 + q.nt),
 hit AS (SELECT *, k - row_number() OVER (PARTITION BY w ORDER BY k) AS run FROM m WHERE id = best),
 taken AS (SELECT w, k, best FROM (SELECT *, row_number() OVER (PARTITION BY w, run ORDER BY k) AS nth FROM hit) WHERE nth % 2 = 1)
 SELECT q.w, q.p, coalesce(a.best, q.t) AS t FROM q
@@ -66,7 +69,7 @@ WHERE b.k IS NULL
 """
 
 _RESULT = """
-SELECT w, count(*) AS n, string_agg(CAST(t AS VARCHAR), ' ' ORDER BY p) AS ids, unhex(string_agg(hex(v.piece), '' ORDER BY p)) AS decoded
+SELECT w, string_agg(CAST(t AS VARCHAR), ' ' ORDER BY p) AS ids, unhex(string_agg(hex(v.piece), '' ORDER BY p)) AS decoded
 FROM final JOIN vocabulary v ON v.id = t GROUP BY w
 """
 
@@ -85,7 +88,8 @@ class Coder:
 
         self.ranks = read_ranks(path)
         self.split = regex.compile(pattern)
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, tuple[str, bytes]] = {}
+        self.older: dict[str, tuple[str, bytes]] = {}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         left, right, merged = [], [], []
         for piece, number in self.ranks.items():
@@ -96,7 +100,7 @@ class Coder:
         i = pa.int32()
         self.db.register("m", pa.table({"l": pa.array(left, i), "r": pa.array(right, i), "id": pa.array(merged, i)}))
         self.db.register("v", pa.table({"id": pa.array(self.ranks.values(), i), "piece": pa.array(self.ranks.keys(), pa.binary())}))
-        self.db.execute("CREATE TABLE merges AS FROM m; CREATE TABLE vocabulary AS FROM v")
+        self.db.execute("CREATE TABLE merges AS SELECT CAST(l AS BIGINT) * 65536 + r AS pair, id FROM m; CREATE TABLE vocabulary AS FROM v")
         self.db.unregister("m"), self.db.unregister("v")
         self.byte = [self.ranks[bytes([b])] for b in range(256)]
 
@@ -106,7 +110,7 @@ class Coder:
         t = [self.byte[b] for word in words for b in word]
         self.db.register("seed", pa.table({"w": pa.array(w, pa.int32()), "p": pa.array(p, pa.int32()), "t": pa.array(t, pa.int32())}))
 
-    def _contract(self, words: list[bytes], long: bool) -> list[tuple[int, str, bytes]]:
+    def _contract(self, words: list[bytes], long: bool) -> list[tuple[str, bytes]]:
         self._seed(words)
         if not long:
             self.db.execute(f"CREATE OR REPLACE TEMP TABLE final AS {_CONTRACT}")
@@ -119,18 +123,20 @@ class Coder:
                 self.db.execute("CREATE OR REPLACE TEMP TABLE state AS FROM after_round")
             self.db.execute("CREATE OR REPLACE TEMP TABLE final AS FROM state")
         out: list = [None] * len(words)
-        for w, n, ids, decoded in self.db.execute(_RESULT).fetchall():
-            out[w] = (n, ids, decoded)
+        for w, ids, decoded in self.db.execute(_RESULT).fetchall():
+            out[w] = (ids, decoded)
         self.db.unregister("seed")
         return out
 
     def learn(self, words: set[str]) -> None:
-        """Encode words that are not known yet."""
+        """Make all these words known; those not kept are encoded."""
         if len(self.known) + len(words) > KNOWN_WORDS:
-            self.known.clear()
+            self.older, self.known = self.known, {}
         short, long = [], []
         for word in words:
-            if word not in self.known:
+            if (kept := self.known.get(word) or self.older.get(word)) is not None:
+                self.known[word] = kept
+            else:
                 raw = word.encode()
                 (long if len(raw) > LONG_WORD else short).append((word, raw))
         for group, limit in ((short, QUERY_WORDS), (long, None)):
@@ -149,42 +155,37 @@ class Coder:
 
     def encode(self, texts: list[str | None]) -> list[tuple[int, str, bytes]]:
         """(tokens, ids joined by spaces, bytes decoded from the ids) of each text."""
+        out, start, need = [], 0, set()
         cut = [self.split.findall(t) if t else [] for t in texts]
-        need: set[str] = set()
-        out = []
-        start = 0
         for k, words in enumerate(cut):
-            need.update(w for w in words if w not in self.known)
+            need.update(words)
             if len(need) >= 2 * QUERY_WORDS or k + 1 == len(cut):
-                had = len(self.known)
                 self.learn(need)
-                if len(self.known) < had:  # cleared: words of this stretch that were known before are needed again
-                    self.learn({w for ws in cut[start : k + 1] for w in ws})
                 for ws in cut[start : k + 1]:
                     found = [self.known[w] for w in ws]
-                    out.append((sum(f[0] for f in found), " ".join([f[1] for f in found]), b"".join([f[2] for f in found])))
-                need, start = set(), k + 1
+                    ids = " ".join([f[0] for f in found])
+                    out.append((ids.count(" ") + 1 if ids else 0, ids, b"".join([f[1] for f in found])))
+                start, need = k + 1, set()
         return out
 
 
-_coders: dict[tuple[str, str], Coder] = {}
-
-
-def coder(path: str, pattern: str) -> Coder:
-    """This worker's coder; made once for each vocabulary."""
-    if (path, pattern) not in _coders:
-        _coders[path, pattern] = Coder(path, pattern)
-    return _coders[path, pattern]
+    def close(self) -> None:
+        """Give the memory back; a worker lives on with other work after its task."""
+        self.db.close()
+        self.known, self.older, self.ranks = {}, {}, {}
 
 
 def _encode_pass(batches, col: int, path: str, pattern: str):
-    own = coder(path, pattern)
-    for batch in batches:
-        for a, b in B.slices(batch.column(col), 2_000_000):
-            part = batch.slice(a, b - a)
-            done = own.encode(part.column(col).to_pylist())
-            columns = [pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, "n_tokens", "ids", "decoded"])
+    own = Coder(path, pattern)
+    try:
+        for batch in batches:
+            for a, b in B.slices(batch.column(col), 2_000_000):
+                part = batch.slice(a, b - a)
+                done = own.encode(part.column(col).to_pylist())
+                columns = [pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, "n_tokens", "ids", "decoded"])
+    finally:
+        own.close()
 
 
 def encode(documents: DataFrame, path: str, pattern: str, *, text_col: str = "text") -> DataFrame:
@@ -198,11 +199,11 @@ def encode(documents: DataFrame, path: str, pattern: str, *, text_col: str = "te
 
 def decode_ids(ids: str, path: str, pattern: str = r"\X") -> bytes:
     """The bytes of space-joined ids, by ordered aggregation."""
-    own = coder(path, pattern)
+    own = Coder(path, pattern)
     rows = [int(i) for i in ids.split()]
     own.db.register("given", pa.table({"p": pa.array(range(len(rows)), pa.int64()), "t": pa.array(rows, pa.int32())}))
     found = own.db.execute("SELECT unhex(string_agg(hex(v.piece), '' ORDER BY p)) FROM given JOIN vocabulary v ON v.id = t").fetchone()[0]
-    own.db.unregister("given")
+    own.close()
     return found or b""
 
 
