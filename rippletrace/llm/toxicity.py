@@ -233,33 +233,31 @@ def _fit_doc(z: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def _distinct(features: np.ndarray) -> np.ndarray:
+    """Distinct features of one text."""
+    found = np.unique(features)
+    return found[found > 0]
+
+
 def fit_rows(texts: list[bytes | None], labels: list[int]) -> Model:
     """A model of labelled texts."""
     y = np.array(labels, np.int64)
     model = Model(float(y.mean()) if len(y) else 0.0)
     if not 0 < y.sum() < len(y):
         return model
-    fold = np.arange(len(y)) % FOLDS
-    pairs, held, size, start = [], [], 0, 0
-    for k, text in enumerate(texts):  # distinct (row, feature) pairs, a few megabytes of text at a time
-        size += len(text or b"")
-        if size > 1_000_000 or k + 1 == len(texts):
-            _, _, _, first, features = _tokens(texts[start : k + 1])
-            row = np.repeat(np.arange(start, k + 1), np.diff(first))
-            for column in features.T:
-                at = column > 0
-                pair = np.unique(np.stack([column[at], row[at].astype(np.uint64)], 1), axis=0) if at.any() else np.empty((0, 2), np.uint64)
-                pairs.append(pair[:, 0])
-                held.append(pair[:, 1].astype(np.int32))
-            size, start = 0, k + 1
-    keys, inverse = np.unique(np.concatenate(pairs), return_inverse=True)
-    row = np.concatenate(held)
-    del pairs, held
-    toxic_rows = np.bincount(inverse[y[row] == 1], minlength=len(keys))
-    few = toxic_rows[inverse] >= LEAST_ROWS - 1
-    number = np.cumsum(toxic_rows >= LEAST_ROWS - 1) - 1
-    keys, inverse, row = keys[toxic_rows >= LEAST_ROWS - 1], number[inverse[few]], row[few]
-    count = np.bincount((inverse * 2 + y[row]) * FOLDS + fold[row], minlength=len(keys) * 2 * FOLDS).reshape(len(keys), 2, FOLDS)
+    fold = np.empty(len(y), np.int64)
+    for c in (0, 1):
+        fold[y == c] = np.arange((y == c).sum()) % FOLDS
+    # Only features of several toxic rows can serve; those are found first, and then counted over all rows.
+    toxic = [_distinct(_tokens([text])[4]) for text, c in zip(texts, labels) if c == 1]
+    keys, met = np.unique(np.concatenate(toxic), return_counts=True)
+    keys = keys[met >= LEAST_ROWS - 1]
+    count = np.zeros((len(keys), 2, FOLDS), np.int64)
+    for k, text in enumerate(texts):
+        own = _distinct(_tokens([text])[4])
+        place = np.searchsorted(keys, own)
+        place[place == len(keys)] = 0
+        count[place[keys[place] == own] if len(keys) else place[:0], y[k], fold[k]] += 1
     rows_in = np.array([[((y == c) & (fold == f)).sum() for f in range(FOLDS)] for c in (0, 1)])
 
     def odds(c, n):
