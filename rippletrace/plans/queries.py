@@ -121,7 +121,7 @@ def _codes(s, d):
 
 
 def typed_vars(s, d):
-    return _codes(s, d).select("symbol_seq", F.posexplode(usage.typed_variables(F.col("code"))).alias("pos", "v")).select("symbol_seq", "pos", "v.var", "v.type")
+    return usage.with_variables(_codes(s, d)).select("symbol_seq", F.posexplode("variables").alias("pos", "v")).select("symbol_seq", "pos", "v.var", "v.type")
 
 
 def field_usages(s, d):
