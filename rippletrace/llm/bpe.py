@@ -26,6 +26,7 @@ from __future__ import annotations
 import base64
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,13 +103,14 @@ class Coder:
         self.db.register("v", pa.table({"id": pa.array(self.ranks.values(), i), "piece": pa.array(self.ranks.keys(), pa.binary())}))
         self.db.execute("CREATE TABLE merges AS SELECT CAST(l AS BIGINT) * 65536 + r AS pair, id FROM m; CREATE TABLE vocabulary AS FROM v")
         self.db.unregister("m"), self.db.unregister("v")
-        self.byte = [self.ranks[bytes([b])] for b in range(256)]
+        self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
     def _seed(self, words: list[bytes]) -> None:
-        w = [k for k, word in enumerate(words) for _ in word]
-        p = [j for word in words for j in range(len(word))]
-        t = [self.byte[b] for word in words for b in word]
-        self.db.register("seed", pa.table({"w": pa.array(w, pa.int32()), "p": pa.array(p, pa.int32()), "t": pa.array(t, pa.int32())}))
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        w = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        p = np.arange(len(w)) - np.repeat(np.cumsum(size) - size, size)
+        t = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        self.db.register("seed", pa.table({"w": w, "p": p.astype(np.int32), "t": t}))
 
     def _contract(self, words: list[bytes], long: bool) -> list[tuple[str, bytes]]:
         self._seed(words)
@@ -130,11 +132,12 @@ class Coder:
 
     def learn(self, words: set[str]) -> None:
         """Make all these words known; those not kept are encoded."""
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self.older, self.known = self.known, {}
+        missing = words.difference(self.known)
+        if len(self.known) + len(missing) > KNOWN_WORDS:
+            self.older, self.known, missing = self.known, {}, words
         short, long = [], []
-        for word in words:
-            if (kept := self.known.get(word) or self.older.get(word)) is not None:
+        for word in missing:
+            if (kept := self.older.get(word)) is not None:
                 self.known[word] = kept
             else:
                 raw = word.encode()
@@ -162,9 +165,9 @@ class Coder:
             if len(need) >= 2 * QUERY_WORDS or k + 1 == len(cut):
                 self.learn(need)
                 for ws in cut[start : k + 1]:
-                    found = [self.known[w] for w in ws]
-                    ids = " ".join([f[0] for f in found])
-                    out.append((ids.count(" ") + 1 if ids else 0, ids, b"".join([f[1] for f in found])))
+                    found = list(map(self.known.__getitem__, ws))
+                    ids = " ".join([i for i, _ in found])
+                    out.append((ids.count(" ") + 1 if ids else 0, ids, b"".join([d for _, d in found])))
                 start, need = k + 1, set()
         return out
 
