@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 4
-
+from rippletrace.functions.shared import cut
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Rows written to the shared folder of the cluster and read back; ends the lineage of a level."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "rippletrace-shared")
-    path = f"{folder.rstrip('/')}/level-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+MAX_DEPTH = 4
 
 
 def dependents(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, nodes: DataFrame | None = None) -> DataFrame:
@@ -42,7 +31,7 @@ def dependents(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, n
         found = step.groupBy("analysis_id", "seed_seq", "seed", "source").agg(F.min(F.struct(F.array_append("order_key", F.col("edge_seq")).alias("order_key"), "path")).alias("b"))
         level = found.select("analysis_id", "seed_seq", "seed", F.col("source").alias("node_id"), F.lit(depth).alias("depth"), F.array_append("b.path", F.col("source")).alias("path"), "b.order_key")
         if depth < max_depth:
-            level = _cut(level)
+            level = cut(level)
             seen = seen.unionByName(level)
         done = done.unionByName(level)
     return done

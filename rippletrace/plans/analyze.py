@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippletrace.functions.ordering import ordered_list
+from rippletrace.functions.shared import cut
 from rippletrace.operators import changes as change_ops
 from rippletrace.operators import diff, enrich, graph, prisma, rules, scoring, traverse, ts_scan
 from rippletrace.sources.files import select_files, to_json_result
@@ -40,9 +41,9 @@ def analyze(files: DataFrame, diffs: DataFrame, *, base_files: DataFrame | None
     With `base_side_symbols`, removed lines are held against the symbols of `base_files`.
     """
     files, imports, symbols = parse(files, options)
-    symbols = traverse._cut(symbols)
+    symbols = cut(symbols)
     nodes = graph.nodes(files, symbols)
-    edges = traverse._cut(graph.edges(files, imports, symbols, nodes, aliases=options.aliases or None))
+    edges = cut(graph.edges(files, imports, symbols, nodes, aliases=options.aliases or None))
     lines = diff.parse_lines(diffs, strict=options.strict_diff)
     changed = change_ops.detect(lines, symbols, signatures=options.detect_signature_change)
     if options.base_side_symbols and base_files is not None:
@@ -52,7 +53,7 @@ def analyze(files: DataFrame, diffs: DataFrame, *, base_files: DataFrame | None
         top = changed.groupBy("analysis_id").agg(F.max("change_seq").alias("_top"))
         removed = removed.join(top, "analysis_id", "left").withColumn("change_seq", (F.col("change_seq") + F.coalesce("_top", F.lit(0))).cast("int")).drop("_top")
         changed = changed.unionByName(removed)
-    changed = traverse._cut(changed)
+    changed = cut(changed)
     seeds = changed.groupBy("analysis_id", F.col("node_id").alias("seed")).agg(F.min("change_seq").alias("seed_seq"))
     affected = traverse.combine(traverse.dependents(edges, seeds, options.max_depth, nodes))
     found = rules.run(changed, edges, nodes)
