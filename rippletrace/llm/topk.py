@@ -122,7 +122,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
     n, asked = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
     blocks, groups = max(1, -(-n // BLOCK)), max(1, -(-asked // GROUP))
     spread = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
-    base = rows.select(F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("b"), spread(groups).alias("g"), F.lit(0).alias("is_query"), "id", "x")
+    base = rows.select(F.pmod(F.xxhash64("id", "x"), F.lit(blocks)).cast("int").alias("b"), spread(groups).alias("g"), F.lit(0).alias("is_query"), "id", "x")
     queries = rows.where("q").select(spread(blocks).alias("b"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), F.lit(1).alias("is_query"), "id", "x")
     dealt = base.unionByName(queries).repartition("b", "g").sortWithinPartitions("b", "g")
     found = dealt.mapInArrow(lambda batches: _meet_pass(batches, k), "query_id bigint, vec_id bigint, score bigint")
