@@ -18,13 +18,17 @@ def dedupe(risks: DataFrame) -> DataFrame:
     """
     text = lambda *cs: F.coalesce(*cs, F.lit(""))
     title = F.lower(F.regexp_replace("title", r"^\s+|\s+$", ""))
-    keyed = risks.withColumn("_k", F.struct("category", text("changed_node_id", "changed_symbol").alias("c"), text("affected_node_id", "affected_symbol").alias("a"), title.alias("t"))).withColumn("_n", normalize_confidence(F.col("confidence")))
-    group = Window.partitionBy("analysis_id", "_k")
-    keyed = keyed.withColumn("_rank", F.row_number().over(group.orderBy(F.desc("_n"), "risk_seq"))).withColumn("_first", F.min("risk_seq").over(group))
-    merged = keyed.groupBy("analysis_id", "_k").agg(F.count(F.lit(1)).alias("_size"), F.array_distinct(F.flatten(ordered_list(F.coalesce("evidence", F.array().cast("array<string>")), "risk_seq"))).alias("_all"))
-    kept = keyed.where("_rank = 1").join(merged, ["analysis_id", "_k"])
-    kept = kept.withColumn("evidence", F.when(F.col("_size") > 1, F.col("_all")).otherwise(F.col("evidence"))).withColumn("risk_seq", F.col("_first"))
-    return kept.drop("_k", "_n", "_rank", "_first", "_size", "_all")
+    key = F.struct(text("category").alias("k"), text("changed_node_id", "changed_symbol").alias("c"), text("affected_node_id", "affected_symbol").alias("a"), text(title).alias("t"))
+    keyed = risks.withColumn("_k", key)
+    # Winners and evidence are aggregates that combine before they are shuffled, so one fingerprint may hold very many rows.
+    strongest = F.struct(normalize_confidence(F.col("confidence")).alias("n"), (-F.col("risk_seq")).alias("s"))
+    best = keyed.groupBy("analysis_id", "_k").agg(F.max_by(F.struct(*[c for c in risks.columns if c != "analysis_id"]), strongest).alias("_r"), F.min("risk_seq").alias("_first"), F.count(F.lit(1)).alias("_size"))
+    texts = keyed.select("analysis_id", "_k", "risk_seq", F.posexplode("evidence").alias("pos", "e")).groupBy("analysis_id", "_k", "e").agg(F.min(F.struct("risk_seq", "pos")).alias("at"))
+    texts = texts.groupBy("analysis_id", "_k").agg(ordered_list(F.col("e"), "at").alias("_all"))
+    merged = best.join(texts, ["analysis_id", "_k"], "left")
+    evidence = F.when(F.col("_size") > 1, F.coalesce("_all", F.array().cast("array<string>"))).otherwise(F.col("_r.evidence"))
+    own = {"evidence": evidence, "risk_seq": F.col("_first"), "analysis_id": F.col("analysis_id")}
+    return merged.select(*[own.get(c, F.col(f"_r.{c}")).alias(c) for c in risks.columns])
 
 
 def score(risks: DataFrame) -> DataFrame:
