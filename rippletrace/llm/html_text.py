@@ -1,23 +1,26 @@
 """Main text of web pages by wrapper induction.
 
-Pages are dealt by host; hosts with many pages are dealt by host and a hash, so
-that a hot host fills many tasks. In each group the first `SAMPLE` pages (by hash)
-give the wrapper: their DOM trees are aligned one after another with the first
-by simple tree matching (tags and class names agree, children are matched in
-order by dynamic programming). A wrapper node whose own text is the same
-on at least three different pages is template; any other is a slot. The content
+Every page of a host speaks for its wrapper. Each page is measured once: the keys
+(tag and class names) of its elements in document order, a hash of each element's own text,
+and the length of its text. The different structures of a host are merged into one wrapper
+tree, shares of a fixed number first, then the shares: trees are aligned by simple tree
+matching (keys agree, children are matched in order by dynamic programming) and elements
+without a partner are put in at their place, so each layout is part of the wrapper. Each
+page is then aligned with it, and (wrapper node, text) is counted over all different pages.
+A text is template if it is on at least three different pages and on more than half
+of those that have its node; any other is a slot. The content
 slot is found by walking down from the body into the container that holds most
-of the varying text outside navigation, advertising and the like. Every page of
-the group is then aligned with the wrapper, and its text is read from the node
-matched with the content slot, without template nodes and boilerplate parts;
-headings, paragraphs, list items and cells of the content slot are prose and never template. A page
-without a matching slot, or alone in its group, has its slot found on its own.
+of the varying text of all pages outside navigation, advertising and the like. Last, the
+text of each page is read from the node matched with the content slot, without template
+texts and boilerplate parts; headings, paragraphs, list items and cells of the content slot
+are prose and never template. A page without a matching slot has its slot found on its own.
+Hosts with many pages are dealt by host and a hash to fill many tasks; no result depends on it.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are joined by two line feeds in page order; nothing is cut.
 
-Groups stream through a task in sorted order; a task holds one sample, one
-wrapper and one page. Defined cases: null html or url are an empty page, a page
+Groups stream through a task in sorted order; a task holds one wrapper and one
+page. Defined cases: null html or url are an empty page, a page
 without host; malformed markup is closed as browsers do, stray ends are ignored;
 repeated rows are read one by one; an empty table gives an empty result; other
 columns are ignored.
@@ -25,17 +28,23 @@ columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import prepare
+from ._common import cut, prepare
 
-#: Pages that make a wrapper; and the share of all pages over which a host is split (so at most 1 / share hosts are).
-SAMPLE, HOT_SHARE = 6, 1 / 2000
+#: Different pages that a template text needs; shares in which the structures of a host are merged first.
+LEAST, SHARES = 3, 64
+#: Pages of a task's group at least; and the share of all pages over which a host is split (so at most 1 / share hosts are).
+GROUP, HOT_SHARE = 64, 1 / 2000
+#: Structures that an aligner remembers.
+REMEMBERED = 20_000
 #: A walk goes into a container that holds this share of the text.
 HOLDS = 0.6
 #: Children products beyond which equal positions are matched instead; deepest level that is aligned.
@@ -227,7 +236,11 @@ def _sizes(root: Node, drop) -> dict[int, int]:
 
 def content_slot(root: Node, drop=lambda node: False) -> Node:
     """Down from the root into the container with most text; an article or main element ends the walk."""
-    size, node = _sizes(root, drop), root
+    return _walk(root, _sizes(root, drop))
+
+
+def _walk(root: Node, size: dict[int, int]) -> Node:
+    node = root
     while node.tag not in ("article", "main"):
         options = [c for c in _elements(node) if c.tag in CONTAINER and size[id(c)] > 0]
         best = max(options, key=lambda c: size[id(c)], default=None)
@@ -237,37 +250,104 @@ def content_slot(root: Node, drop=lambda node: False) -> Node:
     return node
 
 
+def _preorder(root: Node) -> list[Node]:
+    out, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        out.append(n)
+        stack.extend(reversed(_elements(n)))
+    return out
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) if text else 0
+
+
+def flat(root: Node) -> tuple[list[int], list[str]]:
+    """Depths and keys of the elements, in document order."""
+    depths, keys, stack = [], [], [(root, 0)]
+    while stack:
+        n, d = stack.pop()
+        depths.append(d)
+        keys.append(n.key)
+        stack.extend((c, d + 1) for c in reversed(_elements(n)))
+    return depths, keys
+
+
+def tree(depths: list[int], keys: list[str]) -> Node:
+    """The elements of `flat`, without texts."""
+    path: list[Node] = []
+    for d, key in zip(depths, keys):
+        node = Node(key.partition(".")[0], key, False)
+        del path[d:]
+        if path:
+            path[-1].children.append(node)
+        path.append(node)
+    return path[0]
+
+
+def measure(root: Node) -> tuple[int, int, list[int], list[str], list[int], list[int]]:
+    """(hash of the whole text, hash of the structure, depths, keys, own text hashes, own lengths without boilerplate parts)."""
+    depths, keys = flat(root)
+    texts, lengths, under = [], [], None
+    for n, d in zip(_preorder(root), depths):
+        if under is not None and d <= under:
+            under = None
+        if under is None and n.junk:
+            under = d
+        texts.append(_hash(_own_text(n)))
+        lengths.append(0 if under is not None else sum(len(c.strip()) for c in n.children if isinstance(c, str)))
+    return _hash(_own_all(root)), _hash(repr((depths, keys))), depths, keys, texts, lengths
+
+
+def merge(a: Node, b: Node) -> None:
+    """Put what `b` has and `a` lacks into `a`, in order."""
+    place = {id(y): x for x, y in align(a, b)}
+    for y in _preorder(b):
+        x = place.get(id(y))
+        if x is not None:
+            at, index = 0, {id(c): i for i, c in enumerate(x.children)}
+            new: list[tuple[int, Node]] = []
+            for c in y.children:
+                if id(c) in place:
+                    at = index[id(place[id(c)])] + 1
+                else:
+                    new.append((at, c))
+            for i, c in reversed(new):
+                x.children.insert(i, c)
+
+
+def count(wrapper: Node, pages) -> Counter:
+    """(node, text) -> pages, and (node, text, 'length') -> length, over pages as (depths, keys, texts, lengths)."""
+    number = {id(n): i for i, n in enumerate(_preorder(wrapper))}
+    found: Counter = Counter()
+    for depths, keys, texts, lengths in pages:
+        page = tree(depths, keys)
+        at = {id(n): i for i, n in enumerate(_preorder(page))}
+        for a, b in align(wrapper, page):
+            i = at[id(b)]
+            found[number[id(a)], texts[i]] += 1
+            if lengths[i]:
+                found[number[id(a)], texts[i], "length"] += lengths[i]
+    return found
+
+
 class Wrapper:
-    """Template texts and content slot learned from aligned pages."""
-
-    def __init__(self, pages: list[Node]):
-        self.tree = pages[0]
-        texts: dict[int, set] = {id(n): {t} for n, t in self._texts(self.tree)}
-        seen: dict[int, int] = {k: 1 for k in texts}
-        whole = {_own_all(self.tree)}
-        for page in pages[1:]:
-            if (text := _own_all(page)) in whole:
-                continue  # a copy tells nothing about what varies
-            whole.add(text)
-            for a, b in align(self.tree, page):
-                if id(a) in texts:
-                    texts[id(a)].add(_own_text(b))
-                    seen[id(a)] += 1
-        self.template = {k for k, t in texts.items() if len(t) == 1 and seen[k] >= 3 and next(iter(t))}
-        self.slot = content_slot(self.tree, lambda n: id(n) in self.template)
-
-    @staticmethod
-    def _texts(root: Node):
-        stack = [root]
-        while stack:
-            n = stack.pop()
-            yield n, _own_text(n)
-            stack.extend(_elements(n))
+    """A wrapper tree with its template texts (node -> hash) and the length of varying text of its nodes."""
+
+    def __init__(self, root: Node, template: dict[int, int], varying: dict[int, int]):
+        self.tree = root
+        nodes = _preorder(root)
+        self.template = {id(nodes[i]): t for i, t in template.items()}
+        size = {id(n): varying.get(i, 0) for i, n in enumerate(nodes)}
+        for n in reversed(nodes):
+            size[id(n)] += sum(size[id(c)] for c in n.children)
+        self.slot = _walk(root, size)
 
     def read(self, page: Node) -> str:
         pairs = align(self.tree, page)
         slot = next((b for a, b in pairs if a is self.slot), None)
-        fixed = {id(b) for a, b in pairs if id(a) in self.template and b.tag not in PROSE and _own_text(a) == _own_text(b) and not any(c.tag in BLOCK for c in _elements(b))}
+        fixed = {id(b) for a, b in pairs if id(a) in self.template and b.tag not in PROSE and self.template[id(a)] == _hash(_own_text(b)) and not any(c.tag in BLOCK for c in _elements(b))}
         if slot is None or self.slot.tag in ("html", "body"):
             slot = content_slot(page, lambda n: id(n) in fixed)
         return read_blocks(slot, fixed)
@@ -303,45 +383,111 @@ def read_blocks(root: Node, fixed) -> str:
     return "\n\n".join(blocks)
 
 
-def extract(pages: list[str | None]) -> list[str]:
-    """Main texts of pages of one host; the first `SAMPLE` of them make the wrapper."""
-    trees = [parse(p or "") for p in pages]
-    wrapper = Wrapper(trees[:SAMPLE]) if trees else None
-    return [wrapper.read(t) if p else "" for p, t in zip(pages, trees)]
+def _shape_pass(batches):
+    """(host, html) -> one row of measures for each page with text."""
+    for batch in batches:
+        rows = [(h, *measure(parse(s))) for h, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if s]
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["host", "whole", "shape", "depths", "keys", "texts", "lengths"])
 
 
-def _host_pass(batches):
-    """Rows (host, part, order, id, url, html), sorted -> (id, url, text)."""
-    place, wrapper, held = None, None, []
+def _merge_pass(batches):
+    """Rows (host, share, shape, depths, keys), sorted -> (host, share, depths, keys), one for each share of a host."""
+    place, now, last = None, None, None
 
-    def rows(found):
-        kinds = (held_type[0], held_type[1], pa.string())
-        return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], kind) for c, kind in enumerate(kinds)], names=["id", "url", "text"])
+    def row():
+        depths, keys = flat(now)
+        return pa.RecordBatch.from_arrays([pa.array([place[0]], pa.string()), pa.array([place[1]], pa.int64()), pa.array([depths], pa.list_(pa.int32())), pa.array([keys], pa.list_(pa.string()))], names=["host", "share", "depths", "keys"])
 
-    def begin():
-        trees = [(i, u, s, parse(s or "")) for i, u, s in held]
-        made = Wrapper([t for *_, t in trees])
-        held.clear()
-        return made, [(i, u, made.read(t) if s else "") for i, u, s, t in trees]
+    for batch in batches:
+        for host, share, shape, depths, keys in zip(*(c.to_pylist() for c in batch.columns)):
+            if (host, share) != place:
+                if now is not None:
+                    yield row()
+                place, now = (host, share), tree(depths, keys)
+            elif shape != last:
+                merge(now, tree(depths, keys))
+            last = shape
+    if now is not None:
+        yield row()
+
+
+def _count_pass(batches):
+    """Rows (host, part, kind, whole, depths, keys, texts, lengths), sorted, the wrapper first -> (host, node, text, n, length); copies count once."""
+    host, wrapper, last, found = None, None, None, Counter()
+
+    def rows():
+        pairs = [k for k in found if len(k) == 2]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([host] * len(pairs), pa.string()), pa.array([k[0] for k in pairs], pa.int32()), pa.array([k[1] for k in pairs], pa.int64()), pa.array([found[k] for k in pairs], pa.int64()), pa.array([found[(*k, "length")] for k in pairs], pa.int64())],
+            names=["host", "node", "text", "n", "length"],
+        )
 
     for batch in batches:
-        held_type, out = (batch.schema.field("id").type, batch.schema.field("url").type), []
-        for host, part, i, u, s in zip(*(batch.column(c).to_pylist() for c in (0, 1, 3, 4, 5))):
-            if (host, part) != place:
-                if held:
-                    out += begin()[1]
-                place, wrapper = (host, part), None
-            if wrapper is None:
-                held.append((i, u, s))
-                if len(held) == SAMPLE:
-                    wrapper, found = begin()
-                    out += found
+        for h, _, kind, whole, depths, keys, texts, lengths in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind == 0:
+                if h != host:
+                    if found:
+                        yield rows()
+                        found.clear()
+                    host, wrapper = h, tree(depths, keys)
+                last = None
+            elif whole != last:
+                found.update(count(wrapper, [(depths, keys, texts, lengths)]))
+                last = whole
+        if len(found) > 50_000:
+            yield rows()
+            found.clear()
+    if found:
+        yield rows()
+
+
+def _read_pass(batches):
+    """Rows (host, part, kind, order, id, url, html, depths, keys, nodes), sorted, the wrapper first -> (id, url, text)."""
+    host, wrapper = None, None
+    for batch in batches:
+        types, out = (batch.schema.field("id").type, batch.schema.field("url").type), []
+        for h, _, kind, _, i, u, s, depths, keys, nodes in zip(*(c.to_pylist() for c in batch.columns)):
+            if kind == 0:
+                if h != host:
+                    nodes = nodes or []
+                    template = {n["node"]: n["text"] for n in nodes if n["text"] is not None}
+                    host, wrapper = h, Wrapper(tree(depths, keys), template, {n["node"]: n["varying"] for n in nodes})
             else:
                 out.append((i, u, wrapper.read(parse(s)) if s else ""))
         if out:
-            yield rows(out)
-    if held:
-        yield rows(begin()[1])
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], types[0]), pa.array([r[1] for r in out], types[1]), pa.array([r[2] for r in out], pa.string())], names=["id", "url", "text"])
+
+
+def learn(counts: dict) -> tuple[dict[int, int], dict[int, int]]:
+    """(template, varying) of `count`; `main_text` does the same in tables."""
+    by: dict[int, list] = {}
+    for k, n in counts.items():
+        if len(k) == 2:
+            by.setdefault(k[0], []).append((n, k[1], counts.get((*k, "length"), 0)))
+    template, varying = {}, {}
+    for node, texts in by.items():
+        n, text, length = max(texts)
+        fixed = text != 0 and n >= LEAST and 2 * n > sum(t[0] for t in texts)
+        varying[node] = sum(t[2] for t in texts) - (length if fixed else 0)
+        if fixed:
+            template[node] = text
+    return template, varying
+
+
+def extract(pages: list[str | None]) -> list[str]:
+    """Main texts of pages of one host."""
+    trees = [parse(p or "") for p in pages]
+    rows = {m[0]: m[1:] for t, p in zip(trees, pages) if p for m in [measure(t)]}
+    if not rows:
+        return ["" for _ in pages]
+    shapes = sorted({m[0]: m[1:3] for m in rows.values()}.items())
+    whole = tree(*shapes[0][1])
+    for _, shape in shapes[1:]:
+        merge(whole, tree(*shape))
+    wrapper = Wrapper(whole, *learn(count(whole, [m[1:] for m in rows.values()])))
+    return [wrapper.read(t) if p else "" for p, t in zip(pages, trees)]
 
 
 def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -350,18 +496,36 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     host = F.lower(F.regexp_extract(F.coalesce(url_col, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     light = pages.groupBy(host.alias("h")).agg(F.count(F.lit(1)).alias("n"))
     total = pages.count()
-    most = max(SAMPLE, int(total * HOT_SHARE))
+    most = max(GROUP, int(total * HOT_SHARE))
     hot = {r.h: -(-r.n // most) for r in light.where(F.col("n") > most).collect()}  # fewer than 1 / HOT_SHARE hosts
-    order = F.xxhash64(F.col(id_col).cast("string"), F.col(url_col))
-    rows = pages.select(host.alias("host"), order.alias("o"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     parts = F.lit(1)
     if hot:
         share = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])
         parts = F.coalesce(F.try_element_at(share, F.col("host")), F.lit(1))
-    dealt = rows.select("host", F.pmod(F.shiftright("o", 3), parts).alias("part"), "o", "id", "url", "html")
-    dealt = dealt.repartition("host", "part").sortWithinPartitions("host", "part", "o", "id")
+
+    shape = "host string, whole long, shape long, depths array<int>, keys array<string>"
+    measured = cut(pages.select(host.alias("host"), F.col(html_col).alias("html")).mapInArrow(_shape_pass, f"{shape}, texts array<bigint>, lengths array<int>"))
+    shapes = measured.groupBy("host", "shape").agg(F.first("depths").alias("depths"), F.first("keys").alias("keys"))
+    shapes = shapes.select("host", F.pmod("shape", F.lit(SHARES)).alias("share"), "shape", "depths", "keys").repartition("host", "share").sortWithinPartitions("host", "share", "shape")
+    merged = "host string, share long, depths array<int>, keys array<string>"
+    shares = shapes.mapInArrow(_merge_pass, merged).select("host", F.lit(0).cast("long").alias("share"), F.col("share").alias("shape"), "depths", "keys")
+    wrappers = cut(shares.repartition("host").sortWithinPartitions("host", "shape").mapInArrow(_merge_pass, merged).select("host", "depths", "keys"))
+    dealt = wrappers.select("host", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))).alias("part"), F.lit(0).alias("kind"), "depths", "keys")
+
+    rows = measured.select("host", F.pmod("whole", parts).cast("long").alias("part"), F.lit(1).alias("kind"), "whole", "depths", "keys", "texts", "lengths")
+    rows = rows.unionByName(dealt, allowMissingColumns=True).repartition("host", "part").sortWithinPartitions("host", "part", "kind", "whole")
+    counts = rows.mapInArrow(_count_pass, "host string, node int, text long, n long, length long").groupBy("host", "node", "text").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
+    top = counts.groupBy("host", "node").agg(F.sum("n").alias("seen"), F.sum("length").alias("all"), F.max(F.struct("n", "text", "length")).alias("top"))
+    fixed = (F.col("top.text") != 0) & (F.col("top.n") >= LEAST) & (F.col("top.n") * 2 > F.col("seen"))
+    node = F.struct("node", F.when(fixed, F.col("top.text")).alias("text"), (F.col("all") - F.when(fixed, F.col("top.length")).otherwise(0)).alias("varying"))
+    learned = cut(top.groupBy("host").agg(F.collect_list(node).alias("nodes")))
+
+    order = F.xxhash64(F.col(id_col).cast("string"), F.col(url_col))
+    rows = pages.select(host.alias("host"), order.alias("o"), F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    rows = rows.select("host", F.pmod(F.shiftright("o", 3), parts).cast("long").alias("part"), F.lit(1).alias("kind"), "o", "id", "url", "html")
+    rows = rows.unionByName(dealt.join(learned, "host", "left"), allowMissingColumns=True).repartition("host", "part").sortWithinPartitions("host", "part", "kind", "o", "id")
     types = dict(pages.dtypes)
-    return dealt.mapInArrow(_host_pass, f"id {types[id_col]}, url {types[url_col]}, text string").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+    return rows.mapInArrow(_read_pass, f"id {types[id_col]}, url {types[url_col]}, text string").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -211,6 +211,18 @@ def test_html_without_article_uses_the_wrapper():
     assert got == texts
 
 
+def test_html_wrapper_is_learned_from_all_pages_of_a_host(spark):
+    rng = random.Random(81)
+    texts = [words(rng, 40) for _ in range(60)]
+    notice = lambda k: "<div class=x>Now and then a few pages hold this</div>" if k % 7 == 3 else ""
+    same = lambda k: f"<div class=y>{'By A' if k < 35 else f'By {k}'}</div>"
+    pages = [page(k, f"<article>{notice(k)}{same(k)}<p>{t}</p></article>") for k, t in enumerate(texts)]
+    rows = [(k, f"http://h/{k}", p) for k, p in enumerate(pages)]
+    got = {r.page_id: r.text for r in html_text.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = [t if k < 35 else f"By {k}\n\n{t}" for k, t in enumerate(texts)]
+    assert [got[k] for k in range(60)] == want == html_text.extract(pages)
+
+
 def test_html_defined_cases(spark):
     rows = [(1, "http://h/1", None), (2, None, "<p>x<p>y"), (3, "http://h/1", ""), (4, "http://h/2", "<<a <b>t</b" + "<div>" * 3000 + "deep"), (2, None, "<p>x<p>y"), (5, "http://h/3", "<!-- open <p>gone"), (6, "h", "&lt;p&gt; &#233;")]
     got = html_text.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
