@@ -33,6 +33,7 @@ import html
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,8 +48,8 @@ GROUP, HOT_SHARE = 64, 1 / 2000
 REMEMBERED = 20_000
 #: A walk goes into a container that holds this share of the text.
 HOLDS = 0.6
-#: Children products beyond which equal positions are matched instead; deepest level that is aligned.
-PRODUCT, DEPTH = 10_000, 60
+#: Children products up to which a match keeps its whole table; larger ones are halved, in linear memory, with the same weight.
+TABLE = 4096
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -175,47 +176,134 @@ def _own_text(node: Node) -> str:
     return " ".join(" ".join(out).split())
 
 
+class Aligner:
+    """Maximum order-preserving matches of one tree with others (simple tree matching), at every width and depth.
+
+    Equal structures get the same number, so a pair of structures is matched once. Equal
+    ends of two lists of children are paired at once: no match can weigh more.
+    """
+
+    def __init__(self, root: Node):
+        self.root = root
+        self._begin()
+
+    def _begin(self):
+        self.numbers: dict[tuple, int] = {}
+        self.shapes: list[tuple] = []  # number -> (key, numbers of the children, nodes)
+        self.known: dict[tuple[int, int], tuple[int, list]] = {}  # weight and pairs of children
+        self.own = self._number(self.root)
+
+    def _number(self, root: Node) -> dict[int, int]:
+        order, stack, out = [], [root], {}
+        while stack:
+            n = stack.pop()
+            order.append((n, cs := _elements(n)))
+            stack.extend(cs)
+        for n, cs in reversed(order):
+            children = tuple([out[id(c)] for c in cs])
+            number = self.numbers.get((n.key, children))
+            if number is None:
+                number = self.numbers[n.key, children] = len(self.shapes)
+                self.shapes.append((n.key, children, 1 + sum(self.shapes[c][2] for c in children)))
+            out[id(n)] = number
+        return out
+
+    def _weight(self, x: int, y: int) -> int:
+        if x == y:
+            return self.shapes[x][2]
+        return self.known[x, y][0] if self.shapes[x][0] == self.shapes[y][0] else 0
+
+    def _row(self, xs, ys) -> np.ndarray:
+        """Weights of the best matches of `xs` with each beginning of `ys`."""
+        kinds, at = np.unique(np.array(ys), return_inverse=True)
+        row, rows = np.zeros(len(ys) + 1, np.int64), {}
+        for x in xs:
+            if x not in rows:
+                rows[x] = np.array([self._weight(x, y) for y in kinds.tolist()], np.int64)[at]
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], row[:-1] + rows[x]))
+        return row
+
+    def _match(self, xs, ys) -> list[tuple[int, int]]:
+        pairs, stack = [], [(0, len(xs), 0, len(ys))]
+        while stack:
+            i, k, j, l = stack.pop()
+            while i < k and j < l and xs[i] == ys[j]:
+                pairs.append((i, j))
+                i, j = i + 1, j + 1
+            while i < k and j < l and xs[k - 1] == ys[l - 1]:
+                k, l = k - 1, l - 1
+                pairs.append((k, l))
+            if i == k or j == l:
+                continue
+            if (k - i) * (l - j) > TABLE and k - i > 1:
+                middle = (i + k) // 2
+                total = self._row(xs[i:middle], ys[j:l]) + self._row(xs[middle:k][::-1], ys[j:l][::-1])[::-1]
+                cut_at = j + int(total.argmax())
+                stack += [(i, middle, j, cut_at), (middle, k, cut_at, l)]
+                continue
+            table = [[0] * (l - j + 1) for _ in range(k - i + 1)]
+            for p in range(k - i):
+                row, above = table[p + 1], table[p]
+                for q in range(l - j):
+                    w = self._weight(xs[i + p], ys[j + q])
+                    row[q + 1] = max(above[q + 1], row[q], above[q] + w if w else 0)
+            p, q = k - i, l - j
+            while p and q:
+                if table[p][q] == table[p - 1][q]:
+                    p -= 1
+                elif table[p][q] == table[p][q - 1]:
+                    q -= 1
+                else:
+                    p, q = p - 1, q - 1
+                    pairs.append((i + p, j + q))
+        return pairs
+
+    def _learn(self, x: int, y: int) -> None:
+        """Fill `known` for two structures with the same key and all they need."""
+        known, shapes, stack = self.known, self.shapes, [(x, y)]
+        while stack:
+            x, y = stack[-1]
+            if (x, y) in known or x == y:
+                stack.pop()
+                continue
+            xs, ys = shapes[x][1], shapes[y][1]
+            i, k, l = 0, len(xs), len(ys)
+            while i < k and i < l and xs[i] == ys[i]:
+                i += 1
+            while i < k and i < l and xs[k - 1] == ys[l - 1]:
+                k, l = k - 1, l - 1
+            by: dict[str, set] = {}
+            for q in ys[i:l]:
+                by.setdefault(shapes[q][0], set()).add(q)
+            missing = [(p, q) for p in sorted(set(xs[i:k])) for q in sorted(by.get(shapes[p][0], ())) if p != q and (p, q) not in known]
+            if missing:
+                stack += missing
+                continue
+            pairs = self._match(xs, ys)
+            known[x, y] = (1 + sum(self._weight(xs[p], ys[q]) for p, q in pairs), pairs)
+            stack.pop()
+
+    def pairs(self, other: Node) -> list[tuple[Node, Node]]:
+        """Matched nodes of the tree and another, if the roots agree."""
+        if self.root.key != other.key:
+            return []
+        if len(self.shapes) + len(self.known) > REMEMBERED:
+            self._begin()
+        theirs = self._number(other)
+        self._learn(self.own[id(self.root)], theirs[id(other)])
+        out, stack = [], [(self.root, other)]
+        while stack:
+            x, y = stack.pop()
+            out.append((x, y))
+            a, b = self.own[id(x)], theirs[id(y)]
+            xs, ys = _elements(x), _elements(y)
+            stack.extend(zip(xs, ys) if a == b else [(xs[p], ys[q]) for p, q in self.known[a, b][1]])
+        return out
+
+
 def align(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Pairs of a maximum order-preserving match of two trees whose roots agree (simple tree matching)."""
-    kept: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def weight(x: Node, y: Node, depth: int) -> int:
-        if x.key != y.key:
-            return 0
-        at = (id(x), id(y))
-        if at in kept:
-            return kept[at][0]
-        xs, ys = (_elements(x), _elements(y)) if depth < DEPTH else ([], [])
-        if len(xs) * len(ys) > PRODUCT:
-            pairs = [(p, q) for p, q in zip(xs, ys) if p.key == q.key]
-            best = sum(weight(p, q, depth + 1) for p, q in pairs)
-        else:
-            table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-            for i, p in enumerate(xs):
-                row, above = table[i + 1], table[i]
-                for j, q in enumerate(ys):
-                    w = above[j] + weight(p, q, depth + 1) if p.key == q.key else 0
-                    row[j + 1] = max(above[j + 1], row[j], w)
-            best, pairs, i, j = table[-1][-1], [], len(xs), len(ys)
-            while i and j:
-                if table[i][j] == table[i - 1][j]:
-                    i -= 1
-                elif table[i][j] == table[i][j - 1]:
-                    j -= 1
-                else:
-                    i, j = i - 1, j - 1
-                    pairs.append((xs[i], ys[j]))
-        kept[at] = (best + 1, pairs)
-        return best + 1
-
-    if not weight(a, b, 0):
-        return []
-    out, stack = [], [(a, b)]
-    while stack:
-        x, y = stack.pop()
-        out.append((x, y))
-        stack.extend(kept[id(x), id(y)][1])
-    return out
+    return Aligner(a).pairs(b)
 
 
 def _sizes(root: Node, drop) -> dict[int, int]:
@@ -317,18 +405,20 @@ def merge(a: Node, b: Node) -> None:
                 x.children.insert(i, c)
 
 
-def count(wrapper: Node, pages) -> Counter:
+def count(aligner: Aligner, pages) -> Counter:
     """(node, text) -> pages, and (node, text, 'length') -> length, over pages as (depths, keys, texts, lengths)."""
-    number = {id(n): i for i, n in enumerate(_preorder(wrapper))}
+    number = {id(n): i for i, n in enumerate(_preorder(aligner.root))}
     found: Counter = Counter()
+    shape, pairs = None, []
     for depths, keys, texts, lengths in pages:
-        page = tree(depths, keys)
-        at = {id(n): i for i, n in enumerate(_preorder(page))}
-        for a, b in align(wrapper, page):
-            i = at[id(b)]
-            found[number[id(a)], texts[i]] += 1
-            if lengths[i]:
-                found[number[id(a)], texts[i], "length"] += lengths[i]
+        if (depths, keys) != shape:
+            page, shape = tree(depths, keys), (depths, keys)
+            at = {id(n): i for i, n in enumerate(_preorder(page))}
+            pairs = [(number[id(a)], at[id(b)]) for a, b in aligner.pairs(page)]
+        for a, b in pairs:
+            found[a, texts[b]] += 1
+            if lengths[b]:
+                found[a, texts[b], "length"] += lengths[b]
     return found
 
 
@@ -336,7 +426,7 @@ class Wrapper:
     """A wrapper tree with its template texts (node -> hash) and the length of varying text of its nodes."""
 
     def __init__(self, root: Node, template: dict[int, int], varying: dict[int, int]):
-        self.tree = root
+        self.aligner = Aligner(root)
         nodes = _preorder(root)
         self.template = {id(nodes[i]): t for i, t in template.items()}
         size = {id(n): varying.get(i, 0) for i, n in enumerate(nodes)}
@@ -345,7 +435,7 @@ class Wrapper:
         self.slot = _walk(root, size)
 
     def read(self, page: Node) -> str:
-        pairs = align(self.tree, page)
+        pairs = self.aligner.pairs(page)
         slot = next((b for a, b in pairs if a is self.slot), None)
         fixed = {id(b) for a, b in pairs if id(a) in self.template and b.tag not in PROSE and self.template[id(a)] == _hash(_own_text(b)) and not any(c.tag in BLOCK for c in _elements(b))}
         if slot is None or self.slot.tag in ("html", "body"):
@@ -431,7 +521,7 @@ def _count_pass(batches):
                     if found:
                         yield rows()
                         found.clear()
-                    host, wrapper = h, tree(depths, keys)
+                    host, wrapper = h, Aligner(tree(depths, keys))
                 last = None
             elif whole != last:
                 found.update(count(wrapper, [(depths, keys, texts, lengths)]))
@@ -486,7 +576,7 @@ def extract(pages: list[str | None]) -> list[str]:
     whole = tree(*shapes[0][1])
     for _, shape in shapes[1:]:
         merge(whole, tree(*shape))
-    wrapper = Wrapper(whole, *learn(count(whole, [m[1:] for m in rows.values()])))
+    wrapper = Wrapper(whole, *learn(count(Aligner(whole), [m[1:] for m in rows.values()])))
     return [wrapper.read(t) if p else "" for p, t in zip(pages, trees)]
 
 

@@ -223,6 +223,43 @@ def test_html_wrapper_is_learned_from_all_pages_of_a_host(spark):
     assert [got[k] for k in range(60)] == want == html_text.extract(pages)
 
 
+@pytest.mark.parametrize("table", [4096, 2])
+def test_html_match_equals_brute_force(monkeypatch, table):
+    monkeypatch.setattr(html_text, "TABLE", table)
+    rng = random.Random(82)
+
+    def grow(depth):
+        return f"<{(t := rng.choice(['div', 'section']))}>" + "".join(grow(depth - 1) for _ in range(rng.randrange(6) if depth else 0)) + f"</{t}>"
+
+    def best(x, y):
+        if x.key != y.key:
+            return 0
+        row = [0] * (len(y.children) + 1)
+        for p in x.children:
+            old, row = row, [0]
+            for j, q in enumerate(y.children):
+                row.append(max(old[j + 1], row[j], old[j] + best(p, q)))
+        return 1 + row[-1]
+
+    for _ in range(60):
+        a, b = html_text.parse(grow(3)), html_text.parse(grow(3))
+        pairs = html_text.align(a, b)
+        assert len(pairs) == len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == best(a, b)
+        at = [{id(n): i for i, n in enumerate(html_text._preorder(t))} for t in (a, b)]
+        found = sorted((at[0][id(x)], at[1][id(y)]) for x, y in pairs)
+        assert [y for _, y in found] == sorted(y for _, y in found) and all(x.key == y.key for x, y in pairs)
+
+
+def test_html_long_and_deep_pages_are_aligned():
+    rng = random.Random(83)
+    texts = [words(rng, 40) for _ in range(5)]
+    rows = lambda k: "".join(f"<div><b>fixed {i}</b></div>" + ("<section>one more</section>" if i == k else "") for i in range(150))
+    got = html_text.extract([page(k, f"<article>{rows(k)}<p>{t}</p></article>") for k, t in enumerate(texts)])
+    assert [g.replace("one more\n\n", "") for g in got] == texts
+    deep = [page(k, "<article>" + "<div>" * 90 + f"<div>Same on every page</div><p>{t}</p>" + "</div>" * 90 + "</article>") for k, t in enumerate(texts)]
+    assert html_text.extract(deep) == texts
+
+
 def test_html_defined_cases(spark):
     rows = [(1, "http://h/1", None), (2, None, "<p>x<p>y"), (3, "http://h/1", ""), (4, "http://h/2", "<<a <b>t</b" + "<div>" * 3000 + "deep"), (2, None, "<p>x<p>y"), (5, "http://h/3", "<!-- open <p>gone"), (6, "h", "&lt;p&gt; &#233;")]
     got = html_text.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
