@@ -441,6 +441,54 @@ def graph_view_edges(s, d):
     return views.drawn_edges(edges, shown, changed).select("id", "source", "target", "animated")
 
 
+# The whole graph -------------------------------------------------------------------------------------
+
+
+def blast_radius_whole(s, d):
+    f = traverse.blast_radius(T.lineage_edges(s, d), T.lineage_nodes(s, d), T.region_seeds(s, d))
+    return f.select("seed", "total_affected", F.coalesce(F.get("affected", F.lit(0))["node_id"], F.lit("")).alias("first"), F.coalesce(F.get("affected", F.col("total_affected").cast("int") - 1)["node_id"], F.lit("")).alias("last"))
+
+
+def combined_blast_whole(s, d):
+    c = T.read(s, d, "customer").select(F.lit(T.STAR).alias("analysis_id"), F.col("c_custkey").cast("int").alias("seed_seq"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("seed"))
+    n = T.read(s, d, "nation").select(F.lit(T.STAR).alias("analysis_id"), (F.lit(10**8) - F.col("n_nationkey")).cast("int").alias("seed_seq"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("seed"))
+    found = traverse.combine(traverse.dependents(T.lineage_edges(s, d), c.unionByName(n)))
+    return found.select("out_seq", "node_id", "depth", "seed", _joined("path"))
+
+
+def direct_dependents_whole(s, d):
+    t = T.read(s, d, "part").select(F.lit(T.STAR).alias("analysis_id"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("target"))
+    found = graph.direct_dependents(T.usage_edges(s, d), T.lineage_nodes(s, d), t)
+    edges = graph.direct_dependents(T.usage_edges(s, d), T.lineage_nodes(s, d), t, rows_per_edge=True).groupBy("target", "id").agg(F.count(F.lit(1)).alias("edges"))
+    return found.join(edges, ["target", "id"]).select("target", "id", "name", "edges")
+
+
+def induced_subgraph_whole(s, d):
+    return graph.induced(T.lineage_edges(s, d), T.lineage_nodes(s, d).select("analysis_id", "id")).select("edge_seq", "source", "target")
+
+
+def _whole_view(s, d):
+    nodes = T.lineage_nodes(s, d)
+    return T.lineage_edges(s, d), nodes, T.region_seeds(s, d).select("analysis_id", F.col("seed").alias("id")), nodes.where("type = 'nation'").select("analysis_id", "id")
+
+
+def graph_view_depth_whole(s, d):
+    edges, _, changed, _ = _whole_view(s, d)
+    return views.depths(edges, changed).select("id", "depth")
+
+
+def graph_view_layout_whole(s, d):
+    edges, nodes, changed, affected = _whole_view(s, d)
+    shown = views.shown_nodes(nodes, views.neighbourhood(edges, changed.unionByName(affected)))
+    return views.layout(shown, views.depths(edges, changed), changed, affected).drop("analysis_id")
+
+
+def graph_view_edges_whole(s, d):
+    edges, nodes, changed, affected = _whole_view(s, d)
+    shown = views.shown_nodes(nodes, views.neighbourhood(edges, changed.unionByName(affected)))
+    return views.drawn_edges(edges, shown, changed).select("id", "source", "target", "animated")
+
+
 # The golden repository -----------------------------------------------------------------------------
 
 
@@ -473,3 +521,8 @@ QUERIES |= {
     "golden_nodes": _golden("nodes", "node_seq", "id", "type"), "golden_edges": _golden("edges", "edge_seq", "id", "type"), "golden_affected": _golden("affected", "out_seq", "node_id", "depth"),
     "golden_risks": _golden("risks", "rank", "id", "severity", "score"), "golden_summary": _golden("summary", "changed", "affected", "risks", "critical", "high", "score"),
 }
+#: The queries above whose SQL takes a part of the graph, over all of it; without SQL, held against brute force in tests.
+WHOLE = {
+    f.__name__: f
+    for f in (blast_radius_whole, combined_blast_whole, direct_dependents_whole, induced_subgraph_whole, graph_view_depth_whole, graph_view_layout_whole, graph_view_edges_whole)
+}
