@@ -275,9 +275,9 @@ def find(texts: list[str | None], field: Field) -> list[tuple[list[tuple[int, in
 
 
 def fit(documents: DataFrame, *, text_col: str = "text", max_train: int = MAX_TRAIN) -> Field:
-    """Fit on at most `max_train` texts with a digit or at sign, drawn by a hash of the text."""
+    """Fit on at most `max_train` distinct texts with a digit or at sign, drawn by a hash of the text."""
     marked = documents.select(F.col(text_col).alias("t")).where(F.col("t").rlike("[0-9@]"))
-    chosen = marked.select(F.xxhash64("t").alias("h")).orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
+    chosen = marked.select(F.xxhash64("t").alias("h")).distinct().orderBy("h").limit(max_train).agg(F.max("h")).first()[0]
     if chosen is None:
         return Field()
     rows = marked.where(F.xxhash64("t") <= chosen).dropDuplicates().toArrow()

@@ -467,3 +467,10 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     assert {base, base + 1, base + 2, base + 4} <= set(got) and not {base + 3, base + 5, base + 6} & set(got)
     assert got[base + 4].text.endswith("mail [EMAIL] now") and all(r.round_trip for r in got.values())
     assert len([k for k in got if k < base and y[k]]) <= 4 and len([k for k in got if k < base and not y[k]]) >= 110
+
+
+def test_pii_copies_count_once_in_training(spark, monkeypatch):
+    texts = [f"number {k} alone" for k in range(4)]
+    df = docs(spark, [t for t in texts for _ in range(50)])
+    monkeypatch.setattr(pii, "fit_texts", lambda chosen: chosen)
+    assert pii.fit(df, max_train=4) == texts and len(pii.fit(df, max_train=3)) == 3
