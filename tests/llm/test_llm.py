@@ -474,3 +474,22 @@ def test_pii_copies_count_once_in_training(spark, monkeypatch):
     df = docs(spark, [t for t in texts for _ in range(50)])
     monkeypatch.setattr(pii, "fit_texts", lambda chosen: chosen)
     assert pii.fit(df, max_train=4) == texts and len(pii.fit(df, max_train=3)) == 3
+
+
+def test_pii_evidence_reaches_every_occurrence():
+    n, k = 40, pii.OUTSIDE + 1
+    graph, field = pii._Graph(), pii.Field()
+    graph.row, graph.feature, graph.label = [0] * n, [[0]] * n, [0] + [pii.OUTSIDE] * (n - 1)
+    graph.skip = [(i, i + 1) for i in range(n - 1)]
+    field.skip, field.fitted = 6 * np.eye(k) - 3, True
+    exact = np.eye(k)[0]
+    for _ in range(n - 1):
+        exact = exact @ np.exp(field.skip)
+        exact /= exact.sum()
+    alone = pii.beliefs(graph, field)
+    assert np.allclose(alone[-1], exact, atol=1e-3) and alone[-1].argmax() == 0 and exact[0] - exact[1] > 0.1
+    graph.row += [1, 1]
+    graph.feature += [[0], [0]]
+    graph.label += [1, pii.OUTSIDE]
+    graph.skip.append((n, n + 1))
+    assert np.array_equal(pii.beliefs(graph, field)[:n], alone)
