@@ -44,7 +44,8 @@ _VALUE = re.compile(r"\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{16,}")
 _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
-_JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*){2,4}")
+#: Dotted parts from one on that can hold the shortest header, {"alg":""}.
+_JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{14,}+(?:\.[A-Za-z0-9_-]*+){2,}+")
 _ANY_HEX = re.compile(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+")
 _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----")
 
@@ -160,8 +161,16 @@ def structured_spans(text: str | None) -> list[tuple[int, str, int]]:
     if not text:
         return []
     out = []
-    if "eyJ" in text:
-        out += [(m.start(), "jwt", m.end()) for m in _JWT.finditer(text) if is_signed_token(m[0])]
+    for m in _JWT.finditer(text):
+        parts, at, i = m[0].split("."), m.start(), 0
+        while i + 3 <= len(parts):
+            runs = [".".join(parts[i : i + n]) for n in (5, 3) if i + n <= len(parts)] if len(parts[i]) >= 14 else []
+            run = next((r for r in runs if is_signed_token(r)), None)
+            if run is not None:
+                out.append((at, "jwt", at + len(run)))
+            taken = 1 if run is None else run.count(".") + 1
+            at += sum(len(p) + 1 for p in parts[i : i + taken])
+            i += taken
     free = 0
     if "-----BEGIN " in text:
         for m in _PEM.finditer(text):

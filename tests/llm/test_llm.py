@@ -493,3 +493,13 @@ def test_pii_evidence_reaches_every_occurrence():
     graph.label += [1, pii.OUTSIDE]
     graph.skip.append((n, n + 1))
     assert np.array_equal(pii.beliefs(graph, field)[:n], alone)
+
+
+def test_secrets_signed_tokens_with_white_space_in_the_header():
+    code = lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("=")
+    body = code('{"sub": "someone"}')
+    for head in ('{"alg": "HS256"}', '{ "alg": "HS256" }', '{\n  "alg": "HS256"\n}', '\t{"alg": "none"}'):
+        token = f"{code(head)}.{body}.c2lnbmF0dXJl"
+        for before, after in (("", ""), ("a ", "."), ("some-longer-name.", " b"), ("x: ", ".example.com")):
+            assert secrets.structured_spans(before + token + after) == [(len(before), "jwt", len(before) + len(token))]
+    assert secrets.structured_spans("www.some-long-host-name.example.com and " + code("{ \"typ\": 1 }") + f".{body}.x") == []
