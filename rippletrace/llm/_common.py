@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 #: Rows in one Arrow batch; long texts would make the usual 10,000 too large for a worker.
 BATCH_ROWS = 500
@@ -69,3 +70,13 @@ def free_name(df: DataFrame, name: str) -> str:
 def own_names(df: DataFrame, column: str) -> tuple[DataFrame, str]:
     """The frame under positional names, so that no added column can clash; and the new name of `column`."""
     return df.toDF(*[f"in_{i}" for i in range(len(df.columns))]), f"in_{df.columns.index(column)}"
+
+
+def arrow_map(df: DataFrame, work, schema: str | StructType) -> DataFrame:
+    """One place through which operators send Arrow batches to Python workers."""
+    return df.mapInArrow(work, schema)
+
+
+def extended(schema: StructType, added: str) -> StructType:
+    """The fields of a schema, as they are, and those of a DDL text."""
+    return StructType([*schema.fields, *StructType.fromDDL(added).fields])

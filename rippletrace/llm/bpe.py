@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import own_names, prepare
+from ._common import arrow_map, extended, own_names, prepare
 
 LONG_WORD = 48
 #: Words in each of the two generations a task keeps, words in one query, and bytes of long words in one query.
@@ -195,9 +195,8 @@ def encode(documents: DataFrame, path: str, pattern: str, *, text_col: str = "te
     """Columns of documents as in_0, in_1, ... with n_tokens, ids (joined by one space) and the bytes decoded from them."""
     prepare(documents.sparkSession)
     plain, text = own_names(documents, text_col)
-    body = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
     at = plain.columns.index(text)
-    return plain.mapInArrow(lambda batches: _encode_pass(batches, at, path, pattern), f"{body}, n_tokens bigint, ids string, decoded binary")
+    return arrow_map(plain, lambda batches: _encode_pass(batches, at, path, pattern), extended(plain.schema, "n_tokens bigint, ids string, decoded binary"))
 
 
 def decode_ids(ids: str, path: str, pattern: str = r"\X") -> bytes:

@@ -17,21 +17,24 @@ when 100 * |x & y| >= percent * |x | y|. The result is exact:
    keeps the pairs of a set in proportion to n; sets near a step of m index
    under both values.
 4. Keys held by one set only are dropped after a count that is combined before
-   the shuffle, as are entries whose neighbours by size in a key group are too
-   small or too large to link. What is left is held against bucket counts: a set
-   counts its tokens in about n / 4 hash buckets, and the sum of bucket minima
-   is an upper bound of an overlap, so pairs it rules out cannot link.
+   the shuffle. In groups of at most `SKETCHED` sets, entries whose neighbours by
+   size are too small or too large to link go too, and what is left is held against
+   bucket counts: a set counts its tokens in about n / 4 hash buckets, and the sum of
+   bucket minima is an upper bound of an overlap, so pairs it rules out cannot link.
+   Entries of larger groups all go on; no window or list holds such a group.
 5. Sets that still share keys form clusters, and each cluster is verified whole:
    its texts travel once, compressed, and pairs are compared inside a task as products of
    incidence matrices. Clusters over `BLOCK` sets are cut into blocks and
    compared block by block; clusters over `CLUSTER` sets go by key group
-   instead, each distinct list of members once and large groups in blocks. Rows
-   come out only for links.
+   instead, each distinct list of members once. Key groups over `BLOCK` sets
+   compare each block with itself first; then only sets outside a group's
+   largest component meet the rest, so a large group of near copies costs rows
+   in proportion to its size. Rows come out only for links.
 
 Defined cases: null and word-less texts have an empty set, link with nothing and
 are their own component; rows with a null id link with nothing and have a null
-component; rows that share an id are judged one by one; an empty table gives
-an empty result; other columns are ignored.
+component; rows that share an id are judged one by one by their texts; an empty
+table gives an empty result; other columns are ignored, and pass through `deduplicate`.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from . import _bytes as B
-from ._common import cut, prepare
+from ._common import arrow_map, cut, own_names, prepare
 from .components import components
 
 WIDTH, PERCENT = 5, 80
@@ -227,9 +230,9 @@ def _key_pass(batches, width: int, percent: int, sent):
         keys = [keys_of(x, percent, hint_keys, hint_counts) for x in sets]
         offsets = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
         flat = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        columns = [part.column(part.schema.get_field_index("id")), pa.array([len(x) for x in sets], pa.int64())]
+        columns = [part.column(part.schema.get_field_index(c)) for c in ("id", "t1", "t2")] + [pa.array([len(x) for x in sets], pa.int64())]
         columns += [pa.array(np.array([s[i] for s in seals], np.uint64).view(np.int64)) for i in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))), pa.array([sketch(x) for x in sets], pa.binary())], names=["id", "n", "s1", "s2", "keys", "sketch"])
+        yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64))), pa.array([sketch(x) for x in sets], pa.binary())], names=["id", "t1", "t2", "n", "s1", "s2", "keys", "sketch"])
 
 
 def _pack_pass(batches):
@@ -306,7 +309,7 @@ def _verify_pass(batches, width: int, percent: int):
 
 def _verified(rows: DataFrame, width: int, percent: int) -> DataFrame:
     dealt = rows.select("key", "a", "b", "id", "z").repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
-    return dealt.mapInArrow(lambda batches: _verify_pass(batches, width, percent), "u bigint, v bigint")
+    return arrow_map(dealt, lambda batches: _verify_pass(batches, width, percent), "u bigint, v bigint")
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -319,67 +322,131 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def _hints(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    counted = texts.mapInArrow(lambda batches: _hint_pass(batches, width), "h bigint, n bigint")
+    counted = arrow_map(texts, lambda batches: _hint_pass(batches, width), "h bigint, n bigint")
     top = counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "h").limit(HINTS).toArrow()
     keys, counts = (np.asarray(top.column(c).to_numpy(), np.int64) for c in ("h", "n"))
     by = np.argsort(keys.view(np.uint64))
     return keys.view(np.uint64)[by], counts[by]
 
 
-def jaccard_join(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(id_col, n_shingles, component_id) for each row; component_id is the smallest id reachable by links."""
+def _rows(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t1, t2, text): an id and 128 bits of a text name a row, up to equal rows."""
+    text = F.col(text_col)
+    return documents.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
+
+
+def _entries(sets: DataFrame, percent: int) -> DataFrame:
+    """(key, id, n) of the index entries that may meet a partner: by size within small key groups, all of large ones."""
+    index = sets.select("id", "n", F.explode("keys").alias("key"))
+    held = cut(index.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1"))
+    large = _sized(held.where(F.col("held") > SKETCHED).select("key"))
+    by_size = Window.partitionBy("key").orderBy("n", "id")
+    near = F.lit(percent) * F.lead("n").over(by_size) <= 100 * F.col("n")
+    small = index.join(held.where(F.col("held") <= SKETCHED).select("key"), "key")
+    small = small.withColumn("up", near).withColumn("down", F.lit(percent) * F.col("n") <= 100 * F.lag("n").over(by_size)).where("up OR down")
+    small = small.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("members"))
+    small = small.groupBy(F.xxhash64("members").alias("h1"), F.xxhash64(F.lit(7), F.col("members")).alias("h2")).agg(F.min("key").alias("key"), F.first("members").alias("members"))
+    small = small.select("key", F.explode("members").alias("m")).select("key", "m.id", "m.n")
+    small = small.join(sets.select("id", "sketch"), "id").select("key", "id", "n", "sketch").repartition("key").sortWithinPartitions("key")
+    small = arrow_map(small, lambda batches: _possible_pass(batches, percent), "key bigint, id bigint")
+    return cut(small.unionByName(index.join(large, "key").select("key", "id")).distinct())
+
+
+def _wide_links(groups: DataFrame, packed: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (u, v) within key groups of any size, (key, id, g, tokens).
+
+    A group is dealt into blocks by a hash that differs from key to key, and each block is
+    compared with itself. Sets that are linked by then need no comparison: only the sets outside
+    the largest component of a group still meet each other and those inside, block by block.
+    """
+    n = F.greatest(F.ceil(F.col("g") * 2 / BLOCK), F.ceil(F.col("tokens") * 2 / BLOCK_TOKENS)).cast("long")
+    fits = (F.col("g") <= BLOCK) & (F.col("tokens") <= BLOCK_TOKENS)
+    own = F.when(fits, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("key", "id"), n))
+    first = cut(_verified(groups.select("key", own.alias("a"), own.alias("b"), "id").join(packed, "id"), width, percent))
+    split = groups.where(~fits)
+    if split.isEmpty():
+        return first
+    known = components(first).withColumnRenamed("node", "id")
+    split = split.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    size = split.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("all"))
+    rest = (F.col("all") - F.col("most.n")).alias("rest")
+    size = cut(size.where("all > most.n").select("key", F.col("most.component").alias("largest"), F.col("most.n").alias("inside"), rest))
+    split = cut(split.select("key", "id", "component", (F.col("tokens") / F.col("g")).alias("mean")).join(size, "key"))
+    blocks = lambda rows: F.greatest(F.ceil(F.col(rows) * 2 / BLOCK), F.ceil(F.col(rows) * F.col("mean") * 2 / BLOCK_TOKENS), F.lit(1)).cast("long")
+    split = split.withColumn("out", F.col("component") != F.col("largest")).withColumn("outs", blocks("rest")).withColumn("ins", blocks("inside"))
+    spread = F.xxhash64("key", "id")
+    place = F.when(F.col("out"), F.pmod(spread, "outs")).otherwise(F.col("outs") + F.pmod(spread, "ins"))
+    last = F.when(F.col("out"), F.col("outs") + F.col("ins")).otherwise(F.col("outs")) - 1
+    pairs = split.withColumn("own", place).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    pairs = pairs.select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "id")
+    return first.unionByName(_verified(pairs.join(packed, "id"), width, percent))
+
+
+def _linked_rows(documents: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    """(id, t1, t2, n, leader): the least row (id, t1, t2) of each row's component; null for rows that link with nothing."""
     spark = prepare(documents.sparkSession)
-    texts = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = _rows(documents, id_col, text_col)
+    texts = rows.select("id", "text")
     sent = spark.sparkContext.broadcast(_hints(texts, width))
-    base = cut(texts.mapInArrow(lambda batches: _key_pass(batches, width, percent, sent), "id bigint, n bigint, s1 bigint, s2 bigint, keys array<bigint>, sketch binary"))
+    named = "id bigint, t1 bigint, t2 bigint"
+    base = cut(arrow_map(rows, lambda batches: _key_pass(batches, width, percent, sent), f"{named}, n bigint, s1 bigint, s2 bigint, keys array<bigint>, sketch binary"))
     usable = base.where("n > 0 AND id IS NOT NULL")
-    first = usable.groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    index = first.select(F.col("rep").alias("id"), "n", F.explode("keys").alias("key"))
-    shared = index.groupBy("key").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("key")
-    by_size = Window.partitionBy("key").orderBy("n", "id")
-    near = F.lit(percent) * F.lead("n").over(by_size) <= 100 * F.col("n")
-    entries = index.join(shared, "key").withColumn("up", near).withColumn("down", F.lit(percent) * F.col("n") <= 100 * F.lag("n").over(by_size))
-    entries = entries.where("up OR down").select("key", "id", "n", F.count(F.lit(1)).over(Window.partitionBy("key")).alias("held"))
-    entries = cut(entries)
-    lists = entries.where(F.col("held") <= SKETCHED).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", "id"))).alias("members"))
-    lists = lists.groupBy(F.xxhash64("members").alias("h1"), F.xxhash64(F.lit(7), F.col("members")).alias("h2")).agg(F.min("key").alias("key"), F.first("members").alias("members"))
-    entries = lists.select("key", F.explode("members").alias("m")).select("key", "m.id", "m.n").unionByName(entries.where(F.col("held") > SKETCHED).select("key", "id", "n"))
-    sketches = usable.groupBy("id").agg(F.first("sketch").alias("sketch"))
-    dealt = entries.join(sketches, "id").select("key", "id", "n", "sketch").repartition("key").sortWithinPartitions("key")
-    entries = cut(dealt.mapInArrow(lambda batches: _possible_pass(batches, percent), "key bigint, id bigint").distinct())
-
-    hung = entries.join(entries.groupBy("key").agg(F.min("id").alias("least")), "key").select(F.col("id").alias("u"), F.col("least").alias("v"))
-    cluster = components(hung)
+    sets = usable.groupBy("s1", "s2").agg(F.min(F.struct("id", "t1", "t2")).alias("row"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    # A number for each distinct set; the table is written, so a number stays with its set.
+    sets = cut(sets.withColumn("id", F.monotonically_increasing_id()))
+    entries = _entries(sets, percent)
+
+    least = cut(entries.groupBy("key").agg(F.min("id").alias("least")))
+    cluster = components(entries.join(least, "key").select(F.col("id").alias("u"), F.col("least").alias("v")))
     cluster = cluster.unionByName(cluster.select(F.col("component").alias("node"), "component").distinct())
-    sized = cluster.join(usable.groupBy(F.col("id").alias("node")).agg(F.max("n").alias("n")), "node")
-    sized = cut(sized.join(sized.groupBy("component").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("tokens")), "component"))
+    sized = cluster.join(sets.select(F.col("id").alias("node"), "n", "row"), "node")
+    sized = cut(sized.join(cut(sized.groupBy("component").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("tokens"))), "component"))
     whole = _blocks(sized.where(F.col("g") <= CLUSTER).select(F.col("component").alias("key"), F.col("node").alias("id"), "g", "tokens"))
     wide = sized.where(F.col("g") > CLUSTER).select(F.col("node").alias("id"), "n")
-    again = entries.join(wide, "id")
-    again = cut(again.join(again.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("tokens")), "key"))
+    again = cut(entries.join(wide, "id"))
+    again = cut(again.join(cut(again.groupBy("key").agg(F.count(F.lit(1)).alias("g"), F.sum("n").alias("tokens"))), "key"))
     small = again.where(F.col("g") <= BLOCK).groupBy("key").agg(F.array_sort(F.collect_set("id")).alias("ids"), F.first("g").alias("g"), F.first("tokens").alias("tokens"))
     small = small.groupBy(F.xxhash64(F.col("ids"), F.lit(1)).alias("h1"), F.xxhash64(F.lit(2), F.col("ids")).alias("h2")).agg(F.min("key").alias("key"), F.first("ids").alias("ids"), F.first("g").alias("g"), F.first("tokens").alias("tokens"))
-    small = small.select("key", F.explode("ids").alias("id"), "g", "tokens")
-    groups = whole.unionByName(_blocks(small)).unionByName(_blocks(again.where(F.col("g") > BLOCK).select("key", "id", "g", "tokens")))
-    packed = texts.join(_sized(sized.select(F.col("node").alias("id")).distinct()), "id").mapInArrow(_pack_pass, "id bigint, z binary")
-    joined = components(_verified(groups.join(packed, "id"), width, percent))
+    small = small.select("key", F.explode("ids").alias("id"), "g", "tokens").unionByName(again.where(F.col("g") > BLOCK).select("key", "id", "g", "tokens"))
+    asked = _sized(sized.select(F.col("row.id").alias("id"), F.col("row.t1").alias("t1"), F.col("row.t2").alias("t2"), "node"))
+    packed = arrow_map(rows.join(asked, ["id", "t1", "t2"]).select("node", "text"), _pack_pass, "id bigint, z binary")
+    packed = packed.groupBy("id").agg(F.first("z").alias("z"))  # equal rows hold one text
+    links = _verified(whole.join(packed, "id"), width, percent)
+    if not wide.isEmpty():
+        links = links.unionByName(_wide_links(small, packed, width, percent))
+    joined = components(links)
+
+    found = sets.select("id", "s1", "s2", "row").join(joined, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    leader = cut(found.groupBy("component").agg(F.min("row").alias("leader")))
+    found = found.join(leader, "component").select("s1", "s2", "leader")
+    out = base.select("id", "t1", "t2", "n", "s1", "s2").join(found, ["s1", "s2"], "left")
+    alone = (F.col("n") == 0) | F.col("id").isNull()
+    return out.select("id", "t1", "t2", "n", F.when(~alone, F.col("leader")).alias("leader"))
 
-    named = first.select("s1", "s2", "rep").join(joined, F.col("rep") == F.col("node"), "left").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = base.select("id", "n", "s1", "s2").join(named, ["s1", "s2"], "left")
-    reached = F.when(F.col("n") > 0, F.when(F.col("id").isNotNull(), F.col("component"))).otherwise(F.col("id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), reached.alias("component_id"))
+
+def jaccard_join(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(id_col, n_shingles, component_id) for each row; component_id is the smallest id reachable by links."""
+    found = _linked_rows(documents, id_col, text_col, width, percent)
+    reached = F.when(F.col("n") > 0, F.col("leader.id")).otherwise(F.col("id"))
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), reached.alias("component_id"))
 
 
 def deduplicate(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """One document of each component: the one with the smallest id. Rows with a null id, or without words, stay."""
-    found = cut(jaccard_join(documents, id_col=id_col, text_col=text_col, width=width, percent=percent))
-    gone = found.where(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("other_id")).distinct()
-    twice = found.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("other_id")).count().where("count > 1").select("other_id")
-    kept = documents.join(_sized(gone), documents[id_col] == F.col("other_id"), "left_anti")
-    if twice.isEmpty():
-        return kept
-    alone = kept.join(twice, kept[id_col] == F.col("other_id"), "left_anti")
-    return alone.unionByName(kept.join(twice, kept[id_col] == F.col("other_id"), "left_semi").dropDuplicates([id_col]))
+    """One row of each component: the least by id, then by a hash of its text. Rows with a null id, or without words, stay."""
+    plain, text = own_names(documents, text_col)
+    own = plain.columns[documents.columns.index(id_col)]
+    found = _linked_rows(plain, own, text, width, percent).where(F.col("leader").isNotNull())
+    found = cut(found.groupBy("id", "t1", "t2").agg(F.first("leader").alias("leader"), F.count(F.lit(1)).alias("copies")))
+    stays = F.struct("id", "t1", "t2") == F.col("leader")
+    names = [F.col(c).alias(f"other_{c}") for c in ("id", "t1", "t2")]
+    keyed = plain.withColumns({"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), F.col(text))})
+    same = (F.col(own).cast("long") == F.col("other_id")) & (F.col("t1") == F.col("other_t1")) & (F.col("t2") == F.col("other_t2"))
+    kept = keyed.join(_sized(found.where(~stays).select(*names)), same, "left_anti")
+    twice = found.where(stays & (F.col("copies") > 1)).select(*names)
+    if not twice.isEmpty():
+        one = kept.join(twice, same, "left_semi").dropDuplicates([own, "t1", "t2"])
+        kept = kept.join(twice, same, "left_anti").unionByName(one)
+    return kept.select(*[F.col(a).alias(b) for a, b in zip(plain.columns, documents.columns)])
 
 
 def _sized(ids: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import own_names, prepare
+from ._common import arrow_map, extended, own_names, prepare
 
 KINDS = ("email", "ip", "card", "phone")
 MAX_TRAIN = 2000
@@ -328,9 +328,9 @@ def scan(documents: DataFrame, field: Field, *, text_col: str = "text") -> DataF
     spark = prepare(documents.sparkSession)
     plain, text = own_names(documents, text_col)
     sent = spark.sparkContext.broadcast(field)
-    body = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
     at = plain.columns.index(text)
-    return plain.mapInArrow(lambda batches: _find_pass(batches, at, sent), f"{body}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base string, spans string, clean string")
+    added = ", ".join(f"n_{k} bigint" for k in KINDS) + ", base string, spans string, clean string"
+    return arrow_map(plain, lambda batches: _find_pass(batches, at, sent), extended(plain.schema, added))
 
 
 def redact(documents: DataFrame, *, text_col: str = "text") -> DataFrame:

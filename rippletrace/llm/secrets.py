@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import own_names, prepare
+from ._common import arrow_map, extended, own_names, prepare
 
 KINDS = ("assign", "access", "hex")
 #: Fixed values of the contract: names before an assignment, and the least lengths.
@@ -233,9 +233,9 @@ def scan(documents: DataFrame, *, text_col: str = "text") -> DataFrame:
     """Columns of documents as in_0, in_1, ... with counts, base, spans, n_confirmed and the redacted text `clean`."""
     prepare(documents.sparkSession)
     plain, text = own_names(documents, text_col)
-    body = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
     at = plain.columns.index(text)
-    return plain.mapInArrow(lambda batches: _find_pass(batches, at), f"{body}, " + ", ".join(f"n_{k} bigint" for k in KINDS) + ", base string, spans string, n_confirmed bigint, clean string")
+    added = ", ".join(f"n_{k} bigint" for k in KINDS) + ", base string, spans string, n_confirmed bigint, clean string"
+    return arrow_map(plain, lambda batches: _find_pass(batches, at), extended(plain.schema, added))
 
 
 def redact(documents: DataFrame, *, text_col: str = "text") -> DataFrame:

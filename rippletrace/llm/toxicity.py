@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import own_names, prepare
+from ._common import arrow_map, extended, own_names, prepare
 
 #: Labelled rows that are read for training, drawn by a hash of the id.
 MAX_TRAIN = 6000
@@ -322,9 +322,9 @@ def score(documents: DataFrame, model: Model, *, text_col: str = "text") -> Data
     spark = prepare(documents.sparkSession)
     plain, text = own_names(documents, text_col)
     sent = spark.sparkContext.broadcast(model)
-    body = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
     at = plain.columns.index(text)
-    return plain.mapInArrow(lambda batches: _score_pass(batches, at, sent), f"{body}, toxic_score double, toxic_spans array<struct<start:int,end:int,p:double>>")
+    added = "toxic_score double, toxic_spans array<struct<start:int,end:int,p:double>>"
+    return arrow_map(plain, lambda batches: _score_pass(batches, at, sent), extended(plain.schema, added))
 
 
 def reject(documents: DataFrame, model: Model, *, text_col: str = "text", threshold: float = PREDICT_AT) -> DataFrame:

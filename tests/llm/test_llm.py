@@ -100,6 +100,42 @@ def test_deduplicate_keeps_the_smallest_id_and_null_ids(spark):
     assert sorted((r.doc_id for r in jaccard.deduplicate(df).collect()), key=str) == [0, 2, 3, 4, None]
 
 
+@pytest.mark.parametrize("turned", [False, True])
+def test_jaccard_judges_rows_that_share_an_id_by_their_texts(spark, turned):
+    rng = random.Random(8)
+    a, b = words(rng, 60), words(rng, 60)
+    near = lambda text: " ".join(["changed", *text.split()[1:]])
+    rows = [(1, a), (5, near(a)), (5, b), (7, near(b)), (5, near(a)), (9, a + " " + " ".join(f"t{k}" for k in range(200_000))), (None, a)]
+    df = spark.createDataFrame(rows[::-1] if turned else rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.jaccard_join(df).collect()), key=str)
+    assert got == sorted([(1, 1), (5, 1), (5, 5), (7, 5), (5, 1), (9, 9), (None, None)], key=str)
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.deduplicate(df).collect()), key=str)
+    assert kept == sorted([(1, a), (5, b), (9, rows[5][1]), (None, a)], key=str)
+
+
+def test_jaccard_of_a_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CLUSTER", 2)
+    monkeypatch.setattr(jaccard, "BLOCK", 6)
+    rng = random.Random(4)
+    base = words(rng, 80).split()
+    texts = []
+    for k in range(90):
+        copy = list(base)
+        for j in range(rng.randrange(0, 7)):
+            copy[rng.randrange(80)] = f"n{k}x{j}"
+        texts.append(" ".join(copy))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_join(docs(spark, texts), width=3, percent=80).collect()}
+    assert got == brute_components(texts, 3, 80)
+
+
+@pytest.mark.parametrize("name", ["other_id", "t1", "in_1", "leader", "id", "keys", "n", "copies"])
+def test_deduplicate_with_columns_of_clashing_names(spark, name):
+    text = words(random.Random(1), 30)
+    df = docs(spark, [text, text, "x"]).withColumn(name, F.lit(3)).withColumn("odd", F.struct(F.lit(1).alias("a b"), F.lit("x").alias("c`d")))
+    out = jaccard.deduplicate(df)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == [0, 2]
+
+
 # 2 -------------------------------------------------------------------------------------------------
 
 
