@@ -6,8 +6,8 @@ item (an item with fewer words is one window) goes into a sorted array of
 64-bit hashes, which is broadcast. Each document's windows are looked up in it,
 every hit is verified word by word, and the words inside verified windows are
 marked. A benchmark of more than `block_windows` windows is scanned in several
-passes of bounded broadcasts, each adding to the marks of the one before; no
-pass shuffles anything.
+passes, each a job of its own with one bounded broadcast, that add to the marks
+written by the one before; no pass shuffles anything, and the driver holds two blocks at most.
 
 Defined cases: null or word-less texts have no words and no hits; null items and
 items without words match nothing; repeated rows are judged one by one; an empty
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import free_name, own_names, prepare
+from ._common import arrow_map, cut, extended, free_name, own_names, prepare
 
 NGRAM = 13
 #: Windows in one broadcast; 8 bytes of hash and about 100 bytes of words each.
@@ -63,7 +63,7 @@ def _window_hashes(hashes: np.ndarray, first: np.ndarray, length: int) -> tuple[
 
 
 def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, ngram: int, block_windows: int):
-    """Blocks of at most about `block_windows` windows, read from the benchmark row by row."""
+    """Blocks of at most `block_windows` windows, read from the benchmark row by row."""
     block = _Windows()
     for row in benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t")).toLocalIterator():
         if row.i is None or not row.t:
@@ -80,10 +80,10 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, ngram: in
             items = block.found[h][b" ".join(words[k : k + n])]
             if row.i not in items[-1:]:
                 items.append(row.i)
-        block.count += len(at)
-        if block.count >= block_windows:
-            yield block.seal()
-            block = _Windows()
+            block.count += 1
+            if block.count >= block_windows:
+                yield block.seal()
+                block = _Windows()
     if block.count:
         yield block.seal()
 
@@ -136,65 +136,66 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+_STATE = "array<struct<s:int,e:int>>"
+_SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
+
+
 def scan(documents: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", ngram: int = NGRAM, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """documents with hit_spans (byte offsets), n_words, n_hit, items, contaminated, clean_text."""
     spark = prepare(documents.sparkSession)
     added = ["n_words", "n_hit", "hit_spans", "items", "contaminated", "clean_text"]
     keep = [c for c in documents.columns if c not in added]
     df = documents.select(*keep) if text_col in keep else documents
-    kept = df.schema
-    state = free_name(df, "hits")
-    df = df.withColumn(state, F.lit(None).cast("array<struct<s:int,e:int>>")).withColumn(state + "_i", F.lit(None).cast("array<string>"))
-    body = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    step = f"{body}, `{state}` array<struct<s:int,e:int>>, `{state}_i` array<string>"
-    for block in benchmark_blocks(benchmark, item_col, item_text_col, ngram, block_windows):
+    kept, at, state = df.schema, df.columns.index(text_col), free_name(df, "hits")
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col, ngram, block_windows)
+    block = next(blocks, None)
+    while (following := next(blocks, None)) is not None:
+        # One broadcast at a time: the marks so far are written before the next block is sent.
         sent = spark.sparkContext.broadcast(block)
-        df = df.mapInArrow(lambda batches, sent=sent: _pass(batches, sent.value, text_col, state), step)
-    last = f"{body}, n_words bigint, n_hit bigint, hit_spans array<struct<s:int,e:int>>, items array<string>, contaminated boolean, clean_text string"
-    return df.mapInArrow(lambda batches: _finish(batches, text_col, state, len(kept)), last)
-
-
-_SPANS = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))
-
-
-def _pass(batches, block, text_col, state):
-    for batch in batches:
-        col = batch.schema.get_field_index(text_col)
-        for a, b in B.slices(batch.column(col)):
-            part = batch.slice(a, b - a)
-            texts = B.binary(part.column(col))
-            old, old_items = part.column(state).to_pylist(), part.column(state + "_i").to_pylist()
-            spans, items = [], []
-            for (_, s, i), s0, i0 in zip(mark(texts, block), old, old_items):
-                spans.append([{"s": x, "e": y} for x, y in _merge(s + [(d["s"], d["e"]) for d in s0 or ()])])
-                items.append(sorted({*i, *(i0 or ())}))
-            columns = [*part.columns[:-2], pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
+        step = extended(kept, f"`{state}` {_STATE}, `{state}_i` array<string>")
+        df = cut(arrow_map(df, lambda batches, sent=sent: _mark_pass(batches, sent.value, at, len(kept), [state, state + "_i"]), step))
+        sent.unpersist()
+        block = following
+    sent = spark.sparkContext.broadcast(block)
+    last = extended(kept, f"n_words bigint, n_hit bigint, hit_spans {_STATE}, items array<string>, contaminated boolean, clean_text string")
+    return arrow_map(df, lambda batches: _finish_pass(batches, sent.value, at, len(kept)), last)
 
 
-def _finish(batches, text_col, state, width):
+def _marked(batches, block: _Windows | None, at: int, width: int):
+    """(rows, texts, spans, items) of each slice, with the marks of earlier blocks, which stand behind the first `width` columns."""
     for batch in batches:
-        col = batch.schema.get_field_index(text_col)
-        for a, b in B.slices(batch.column(col)):
+        for a, b in B.slices(batch.column(at)):
             part = batch.slice(a, b - a)
-            texts = B.binary(part.column(col))
-            words = np.diff(B.Joined(texts).words(B.NOT_ALNUM)[2]).tolist()
-            n_hit, spans, items, clean = [], [], [], []
-            for text, s0, i0 in zip(texts, part.column(state).to_pylist(), part.column(state + "_i").to_pylist()):
-                s = [(d["s"], d["e"]) for d in s0 or ()]
-                n_hit.append(_count_words(text, s) if s else 0)
-                spans.append(s0 or [])
-                items.append(i0 or [])
-                if s:
-                    cuts = [0, *(x for pair in s for x in pair), len(text)]
-                    text = b"".join(text[x:y] for x, y in zip(cuts[::2], cuts[1::2]))
-                clean.append(text)
-            n = len(texts)
-            bad = [h > 0 and SHARE * h >= w for h, w in zip(n_hit, words)]
-            extra = [pa.array(words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(spans, _SPANS), pa.array(items, pa.list_(pa.string())), pa.array(bad, pa.bool_()), pa.array(clean, pa.binary()).cast(pa.string())]
-            assert len(extra[0]) == n
-            names = ["n_words", "n_hit", "hit_spans", "items", "contaminated", "clean_text"]
-            yield pa.RecordBatch.from_arrays([*part.columns[:width], *extra], names=[*part.schema.names[:width], *names])
+            texts = B.binary(part.column(at))
+            old = [part.column(k).to_pylist() for k in (width, width + 1)] if batch.num_columns > width else [[None] * len(texts)] * 2
+            new = mark(texts, block) if block else [(0, [], [])] * len(texts)
+            spans = [_merge(s + [(d["s"], d["e"]) for d in s0 or ()]) for (_, s, _), s0 in zip(new, old[0])]
+            yield part, texts, spans, [sorted({*i, *(i0 or ())}) for (_, _, i), i0 in zip(new, old[1])]
+
+
+def _as_spans(spans: list[list[tuple[int, int]]]) -> pa.Array:
+    return pa.array([[{"s": x, "e": y} for x, y in s] for s in spans], _SPANS)
+
+
+def _mark_pass(batches, block, at, width, names):
+    for part, _, spans, items in _marked(batches, block, at, width):
+        yield pa.RecordBatch.from_arrays([*part.columns[:width], _as_spans(spans), pa.array(items, pa.list_(pa.string()))], names=[*part.schema.names[:width], *names])
+
+
+def _finish_pass(batches, block, at, width):
+    for part, texts, spans, items in _marked(batches, block, at, width):
+        words = np.diff(B.Joined(texts).words(B.NOT_ALNUM)[2]).tolist()
+        n_hit = [_count_words(text, s) if s else 0 for text, s in zip(texts, spans)]
+        clean = []
+        for text, s in zip(texts, spans):
+            if s:
+                cuts = [0, *(x for pair in s for x in pair), len(text)]
+                text = b"".join(text[x:y] for x, y in zip(cuts[::2], cuts[1::2]))
+            clean.append(text)
+        bad = [h > 0 and SHARE * h >= w for h, w in zip(n_hit, words)]
+        extra = [pa.array(words, pa.int64()), pa.array(n_hit, pa.int64()), _as_spans(spans), pa.array(items, pa.list_(pa.string())), pa.array(bad, pa.bool_()), pa.array(clean, pa.binary()).cast(pa.string())]
+        names = ["n_words", "n_hit", "hit_spans", "items", "contaminated", "clean_text"]
+        yield pa.RecordBatch.from_arrays([*part.columns[:width], *extra], names=[*part.schema.names[:width], *names])
 
 
 def report(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -225,6 +225,8 @@ def test_decontamination_keeps_clashing_columns(spark):
     assert [(r.doc_id, r.items, r.in_0) for r in decontaminate.remove(df, bench).collect()] == [(1, 7, 8)]
     assert [r.text for r in decontaminate.remove(df, bench, spans=True).orderBy("doc_id").collect()] == ["", "clean text"]
     assert decontaminate.remove(df, bench.where("false")).count() == 2
+    odd = df.withColumn("odd", F.struct(F.lit(1).alias("a b"), F.lit("x").alias("c`d")))
+    assert decontaminate.remove(odd, bench).columns == odd.columns and decontaminate.remove(odd, bench).count() == 1
 
 
 # 4 -------------------------------------------------------------------------------------------------
@@ -478,6 +480,24 @@ def test_bpe_equals_the_library_and_decodes(spark):
     assert bpe.decode_ids("15496 995", path) == b"Hello world" and bpe.report(docs(spark, []), path, pattern).count() == 0
 
 
+def test_bpe_of_long_words_and_few_known_words(monkeypatch):
+    import tiktoken
+
+    path, pattern = tokenizer()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    rng = random.Random(6)
+    texts = ["=" * 20_001, " " * 3000 + "a", "aab" * 700, "".join(rng.choice("abcdefg") for _ in range(4000)), "é" * 999, "aa aaa aaaaa aaaa", "\n" * 777]
+    monkeypatch.setattr(bpe, "KNOWN_WORDS", 3)
+    monkeypatch.setattr(bpe, "_held", {})
+    monkeypatch.setattr(bpe, "QUERY_BYTES", 50)
+    own = bpe.Coder(path, pattern)
+    for _ in range(2):
+        for text, (n, ids, decoded) in zip(texts, own.encode(texts)):
+            want = library.encode_ordinary(text)
+            assert (n, ids, decoded) == (len(want), " ".join(map(str, want)), text.encode())
+    own.close()
+
+
 # All -----------------------------------------------------------------------------------------------
 
 
