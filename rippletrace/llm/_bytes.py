@@ -7,6 +7,7 @@ polynomials over a random byte table, taken modulo 2**64.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,16 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def release() -> None:
+    """Give memory that is not in use back to the system."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library without it
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser, so that every bit of a hash depends on all others."""
     x = x ^ (x >> U(30))
@@ -69,7 +80,7 @@ def spans_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
-def slices(column: pa.Array, limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def slices(column: pa.Array, limit: int = 500_000) -> Iterator[tuple[int, int]]:
     """Row ranges of a string column, each of about `limit` bytes (or one row)."""
     if not len(column):
         return

@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from . import _bytes as B
+
 #: Rows in one Arrow batch; long texts would make the usual 10,000 too large for a worker.
 BATCH_ROWS = 500
 
@@ -73,8 +75,15 @@ def own_names(df: DataFrame, column: str) -> tuple[DataFrame, str]:
 
 
 def arrow_map(df: DataFrame, work, schema: str | StructType) -> DataFrame:
-    """One place through which operators send Arrow batches to Python workers."""
-    return df.mapInArrow(work, schema)
+    """`mapInArrow` whose tasks give their memory back at the end: a Python worker lives on with other work."""
+
+    def lean(batches):
+        try:
+            yield from work(batches)
+        finally:
+            B.release()
+
+    return df.mapInArrow(lean, schema)
 
 
 def extended(schema: StructType, added: str) -> StructType:

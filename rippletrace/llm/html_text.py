@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, prepare
+from ._common import arrow_map, cut, prepare
 
 #: Different pages that a template text needs; shares in which the structures of a host are merged first.
 LEAST, SHARES = 3, 64
@@ -594,17 +594,17 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
         parts = F.coalesce(F.try_element_at(share, F.col("host")), F.lit(1))
 
     shape = "host string, whole long, shape long, depths array<int>, keys array<string>"
-    measured = cut(pages.select(host.alias("host"), F.col(html_col).alias("html")).mapInArrow(_shape_pass, f"{shape}, texts array<bigint>, lengths array<int>"))
+    measured = cut(arrow_map(pages.select(host.alias("host"), F.col(html_col).alias("html")), _shape_pass, f"{shape}, texts array<bigint>, lengths array<int>"))
     shapes = measured.groupBy("host", "shape").agg(F.first("depths").alias("depths"), F.first("keys").alias("keys"))
     shapes = shapes.select("host", F.pmod("shape", F.lit(SHARES)).alias("share"), "shape", "depths", "keys").repartition("host", "share").sortWithinPartitions("host", "share", "shape")
     merged = "host string, share long, depths array<int>, keys array<string>"
-    shares = shapes.mapInArrow(_merge_pass, merged).select("host", F.lit(0).cast("long").alias("share"), F.col("share").alias("shape"), "depths", "keys")
-    wrappers = cut(shares.repartition("host").sortWithinPartitions("host", "shape").mapInArrow(_merge_pass, merged).select("host", "depths", "keys"))
+    shares = arrow_map(shapes, _merge_pass, merged).select("host", F.lit(0).cast("long").alias("share"), F.col("share").alias("shape"), "depths", "keys")
+    wrappers = cut(arrow_map(shares.repartition("host").sortWithinPartitions("host", "shape"), _merge_pass, merged).select("host", "depths", "keys"))
     dealt = wrappers.select("host", F.explode(F.sequence(F.lit(0).cast("long"), (parts - 1).cast("long"))).alias("part"), F.lit(0).alias("kind"), "depths", "keys")
 
     rows = measured.select("host", F.pmod("whole", parts).cast("long").alias("part"), F.lit(1).alias("kind"), "whole", "depths", "keys", "texts", "lengths")
     rows = rows.unionByName(dealt, allowMissingColumns=True).repartition("host", "part").sortWithinPartitions("host", "part", "kind", "whole")
-    counts = rows.mapInArrow(_count_pass, "host string, node int, text long, n long, length long").groupBy("host", "node", "text").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
+    counts = arrow_map(rows, _count_pass, "host string, node int, text long, n long, length long").groupBy("host", "node", "text").agg(F.sum("n").alias("n"), F.sum("length").alias("length"))
     top = counts.groupBy("host", "node").agg(F.sum("n").alias("seen"), F.sum("length").alias("all"), F.max(F.struct("n", "text", "length")).alias("top"))
     fixed = (F.col("top.text") != 0) & (F.col("top.n") >= LEAST) & (F.col("top.n") * 2 > F.col("seen"))
     node = F.struct("node", F.when(fixed, F.col("top.text")).alias("text"), (F.col("all") - F.when(fixed, F.col("top.length")).otherwise(0)).alias("varying"))
@@ -615,7 +615,7 @@ def main_text(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     rows = rows.select("host", F.pmod(F.shiftright("o", 3), parts).cast("long").alias("part"), F.lit(1).alias("kind"), "o", "id", "url", "html")
     rows = rows.unionByName(dealt.join(learned, "host", "left"), allowMissingColumns=True).repartition("host", "part").sortWithinPartitions("host", "part", "kind", "o", "id")
     types = dict(pages.dtypes)
-    return rows.mapInArrow(_read_pass, f"id {types[id_col]}, url {types[url_col]}, text string").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+    return arrow_map(rows, _read_pass, f"id {types[id_col]}, url {types[url_col]}, text string").select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
 
 
 def report(pages: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ HINTS, FREQUENT = 1 << 19, 2
 #: Count of a hinted shingle from which it is indexed in pairs.
 PAIRED = 64
 #: Shingles gathered before they are counted in the hint pass.
-CHUNK = 3_000_000
+CHUNK = 2_000_000
 #: Sets, and tokens, that are compared within one task; larger groups are split into blocks.
 BLOCK, BLOCK_TOKENS = 1024, 1_500_000
 #: Sets of the largest key group whose pairs are held against bucket counts; entries of larger ones all go on.
@@ -93,7 +93,7 @@ def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
 def _sets(batches, text_col: str, width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         col = batch.schema.get_field_index(text_col)
-        for a, b in B.slices(batch.column(col), 1_000_000):
+        for a, b in B.slices(batch.column(col)):
             part = batch.slice(a, b - a)
             yield part, shingle_sets(B.binary(part.column(col)), width)
 
@@ -108,9 +108,12 @@ def _hint_pass(batches, width: int):
     seen: set[tuple[int, int]] = set()
 
     def counted():
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
-        keys, n = keys[n > 1], n[n > 1]
+        every = np.concatenate(held)
         held.clear(), seen.clear()
+        every.sort()
+        edge = np.append(np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])), len(every))
+        n = np.diff(edge)
+        keys, n = every[edge[:-1][n > 1]], n[n > 1]
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
 
     size = 0

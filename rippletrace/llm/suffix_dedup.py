@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _bytes as B
-from ._common import cut, own_names, prepare
+from ._common import arrow_map, cut, own_names, prepare
 
 DEPTH = 200
 GRAM, DIGIT = 32, 40
@@ -204,7 +204,7 @@ def _window_pass(batches, depth: int):
 
 def found_spans(texts: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """texts(k, t, text) -> packed texts (k, t, z), and (k, t, spans) of the rows with repeated windows."""
-    occurrences = lambda contexts, body: texts.mapInArrow(lambda batches: _anchor_pass(batches, depth, contexts), body)
+    occurrences = lambda contexts, body: arrow_map(texts, lambda batches: _anchor_pass(batches, depth, contexts), body)
     often = occurrences(False, "a bigint").groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
     known = cut(occurrences(True, "a bigint, c bigint, k bigint, t int, p int").join(often, "a"))
     kinds = cut(known.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")))
@@ -213,13 +213,13 @@ def found_spans(texts: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFr
     mixed = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     one = known.join(mixed, "a").groupBy("a", "c").agg(F.min(F.struct("k", "t", "p")).alias("o"), F.first("kinds").alias("kinds"))
     one = cut(one.select("a", "c", "o.k", "o.t", "o.p", "kinds"))
-    packed = texts.mapInArrow(_pack_pass, "k bigint, t int, z binary")
+    packed = arrow_map(texts, _pack_pass, "k bigint, t int, z binary")
     asked = one.groupBy("k", "t").agg(F.collect_list(F.struct("a", "c", "p", "kinds")).alias("found"))
     # The outer join keeps the plan of the packed side as the final join has it, so one shuffle of the texts serves both.
-    contexts = packed.join(asked, ["k", "t"], "left").select("k", "t", "z", "found").mapInArrow(lambda batches: _context_pass(batches, depth), "a bigint, salt int, k bigint, t int, p int, left int, context binary")
+    contexts = arrow_map(packed.join(asked, ["k", "t"], "left").select("k", "t", "z", "found"), lambda batches: _context_pass(batches, depth), "a bigint, salt int, k bigint, t int, p int, left int, context binary")
     dealt = contexts.repartition("a", "salt")
-    sorted_spans = dealt.sortWithinPartitions("a").mapInArrow(lambda batches: _sort_pass(batches, depth), "k bigint, t int, spans array<struct<s:int,e:int>>")
-    windows = dealt.mapInArrow(lambda batches: _window_pass(batches, depth), "w bigint, k bigint, t int, s int")
+    sorted_spans = arrow_map(dealt.sortWithinPartitions("a"), lambda batches: _sort_pass(batches, depth), "k bigint, t int, spans array<struct<s:int,e:int>>")
+    windows = arrow_map(dealt, lambda batches: _window_pass(batches, depth), "w bigint, k bigint, t int, s int")
     shared = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
     hit = windows.join(shared, "w", "left_semi").groupBy("k", "t").agg(F.collect_set("s").alias("starts"))
     wide_spans = hit.select("k", "t", F.transform("starts", lambda s: F.struct(s.alias("s"), (s + depth).alias("e"))).alias("spans"))
@@ -258,7 +258,7 @@ def scan(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     texts = documents.select(key.alias("k"), F.hash(text_col).alias("t"), F.col(text_col).alias("text"))
     packed, spans = found_spans(texts, depth)
     rows = packed.join(spans, ["k", "t"], "left").select("k", "z", "spans")
-    out = rows.mapInArrow(lambda batches: _final_pass(batches, 1), "k bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+    out = arrow_map(rows, lambda batches: _final_pass(batches, 1), "k bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
     return out.select(F.when(F.col("k") != NO_ID, F.col("k")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
@@ -269,7 +269,7 @@ def remove(documents: DataFrame, *, text_col: str = "text", depth: int = DEPTH)
     keyed = plain.withColumn("k", F.xxhash64(*[F.col(c).cast("string") for c in plain.columns])).withColumn("t", F.hash(text))
     packed, spans = found_spans(keyed.select("k", "t", F.col(text).alias("text")), depth)
     cutting = spans.join(packed, ["k", "t"]).dropDuplicates(["k", "t"]).select("k", "t", "z", "spans")
-    done = cutting.mapInArrow(lambda batches: _final_pass(batches, 2), "k bigint, t int, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+    done = arrow_map(cutting, lambda batches: _final_pass(batches, 2), "k bigint, t int, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
     out = keyed.join(done.select("k", "t", "kept"), ["k", "t"], "left")
     return out.select(*[F.coalesce("kept", text).alias(c) if a == text else F.col(a).alias(c) for a, c in zip(plain.columns, documents.columns)])
 
