@@ -3,15 +3,17 @@
 Vectors are dealt into blocks, queries into groups, and each (block, group) pair
 meets in one task. A block keeps one list per dimension, sorted by component. A
 query reads a list from its top if its own component is positive, from its
-bottom if negative, always in order. After a stride of equal depth in all lists,
-what a vector has not shown yet lies between the worst end of each list and the
-component last read, which bounds its score from below and above. With the read
-part of a list kept and the rest replaced by its bound, all bounds of a block
-are two matrix products. Reading stops for a query when every vector outside
-its candidates has an upper bound under the k-th best lower bound and the
-candidates are few, or at the lists' ends; the candidates' scores are then
-resolved exactly, and ties go to the smaller id. The k best of all blocks meet
-in one window per query.
+bottom if negative, always in order and `1 / PARTS` of a list at a time. Entries
+read add to the partial score of their vector, once each. What a vector has not shown yet
+lies between the far end of each list and the component read last, which bounds its
+score from below and above. Reading stops for a query when every vector outside its
+candidates has an upper bound under the k-th best lower bound and at most `FEW`
+candidates are left, or at the lists' ends, where all bounds are exact; the
+candidates' final scores are then resolved, and ties go to the smaller id. Entries that
+were read are counted. The k best of all blocks meet in one window per query.
+
+A part of the lists enters the partial scores of all queries of a group as one matrix
+product, zero where nothing was read.
 
 Defined cases: rows with a null id, a null vector, an empty vector or null or
 non-finite components take no part; shorter vectors count as padded with zeros;
@@ -27,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import prepare
+from ._common import arrow_map, prepare
 
 K, EVERY, SCALE = 5, 50, 256
 #: Vectors of a block and queries of a group that meet in one task.
 BLOCK, GROUP = 4096, 512
-#: Depths at which bounds are drawn, as shares of a list, and candidates that end the reading.
-STRIDES, FEW = (1 / 8, 1 / 4, 1 / 2, 3 / 4), 200
+#: Parts in which a list is read, and candidates that end the reading.
+PARTS, FEW = 8, 200
+#: Scores up to this size are exact in floating point; larger ones are added as Python integers, by the same steps.
 EXACT = 2.0**52
 
 
@@ -43,48 +46,51 @@ def _padded(rows: list[list[int]], width: int) -> np.ndarray:
     return np.array([r + [0] * (width - len(r)) for r in rows], np.int64)
 
 
-def block_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int = K) -> list[tuple[int, int, int]]:
-    """(query id, id, score) of each query's k best in this block."""
-    n = len(ids)
-    out: list[tuple[int, int, int]] = []
-
-    def resolve(q: int, some: np.ndarray) -> None:
-        some = some[ids[some] != query_ids[q]]
-        scores = vectors[some] @ queries[q]
-        for c in np.lexsort((ids[some], -scores))[:k].tolist():
-            out.append((int(query_ids[q]), int(ids[some[c]]), int(scores[c])))
-
-    largest = float(np.abs(vectors.astype(np.float64)).max(initial=0)) * float(np.abs(queries.astype(np.float64)).max(initial=0)) * max(1, vectors.shape[1])
-    left = np.arange(len(queries))
-    if largest >= EXACT or n <= 4 * k:
-        for q in left.tolist():
-            resolve(q, np.arange(n))
-        return out
-    x, y = vectors.astype(np.float64), queries.astype(np.float64)
-    up, down = np.maximum(y, 0), np.minimum(y, 0)
-    lists = np.sort(x, axis=0)
-    own = {}
+def block_top(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int = K) -> tuple[list[tuple[int, int, int]], int]:
+    """(query id, id, score) of each query's k best in this block, and the list entries that were read."""
+    (n, d), columns = vectors.shape, np.arange(vectors.shape[1])
+    largest = float(np.abs(vectors.astype(np.float64)).max(initial=0)) * float(np.abs(queries.astype(np.float64)).max(initial=0)) * max(1, d)
+    kind = np.float64 if largest < EXACT else object
+    lists = np.argsort(vectors, axis=0, kind="stable")
+    x, y = vectors.astype(kind), queries.astype(kind)
+    high, low = np.maximum(y, 0).T, np.minimum(y, 0).T  # what each query has for lists read from the top, and from the bottom
+    first, last = x[lists[0], columns], x[lists[-1], columns]
+    own: dict[int, list[int]] = {}
     for j, i in enumerate(ids.tolist()):
         own.setdefault(i, []).append(j)
-    for share in STRIDES:
-        depth = max(1, int(n * share))
-        high, low = lists[n - depth], lists[depth - 1]
-        read_top, read_bottom = x >= high, x <= low
-        best = up[left] @ np.where(read_top, x, high).T + down[left] @ np.where(read_bottom, x, low).T
-        least = up[left] @ np.where(read_top, x, lists[0]).T + down[left] @ np.where(read_bottom, x, lists[-1]).T
-        for r, q in enumerate(left.tolist()):
+
+    partial, active = np.zeros((n, len(queries)), kind), np.arange(len(queries))
+    unread_top, unread_bottom = np.ones((n, d), kind), np.ones((n, d), kind)
+    out: list[tuple[int, int, int]] = []
+    read = done = 0
+    while len(active):
+        depth = min(n, done + max(1, -(-n // PARTS)))
+        for some, unread, side in ((lists[n - depth : n - done], unread_top, high), (lists[done:depth], unread_bottom, low)):
+            new = np.zeros((n, d), kind)
+            np.put_along_axis(new, some, np.take_along_axis(x, some, 0), 0)
+            np.put_along_axis(unread, some, 0, 0)
+            partial = partial + new @ side
+        read += (depth - done) * int(np.count_nonzero(high) + np.count_nonzero(low))
+        done = depth
+        best = partial + (unread_top * x[lists[n - depth], columns]) @ high + (unread_bottom * x[lists[depth - 1], columns]) @ low
+        least = partial + (unread_top * first) @ high + (unread_bottom * last) @ low
+        for c, q in enumerate(active.tolist()):
             if (at := own.get(int(query_ids[q]))) is not None:
-                best[r, at] = least[r, at] = -np.inf
-        reach = np.partition(least, n - k, axis=1)[:, n - k]
-        inside = best >= reach[:, None]
-        count = inside.sum(1)
-        stop = (count <= FEW) if share != STRIDES[-1] else np.ones(len(left), bool)
-        for r in np.flatnonzero(stop).tolist():
-            resolve(int(left[r]), np.flatnonzero(inside[r]))
-        left = left[~stop]
-        if not len(left):
-            break
-    return out
+                best[at, c] = least[at, c] = -np.inf
+        if n > k:
+            reach = (np.partition(least, n - k, axis=0) if kind is np.float64 else np.sort(least, axis=0))[n - k]
+        else:
+            reach = np.full(len(active), -np.inf)
+        inside = best >= reach
+        stop = (inside.sum(0) <= FEW) | (done == n)
+        for c in np.flatnonzero(stop).tolist():
+            q, some = int(active[c]), np.flatnonzero(inside[:, c])
+            some = some[ids[some] != query_ids[q]]
+            scores = x[some] @ y[q]
+            for r in sorted(range(len(some)), key=lambda r: (-scores[r], ids[some[r]]))[:k]:
+                out.append((int(query_ids[q]), int(ids[some[r]]), int(scores[r])))
+        active, partial, high, low = active[~stop], partial[:, ~stop], high[:, ~stop], low[:, ~stop]
+    return out, read
 
 
 def _meet_pass(batches, k: int):
@@ -99,7 +105,7 @@ def _meet_pass(batches, k: int):
         seen: dict[int, list[int]] = {}
         for i, v in sorted(queries):
             seen.setdefault(i, v)
-        found = block_top(np.array(list(seen), np.int64), _padded(list(seen.values()), width), np.array([i for i, _ in vectors], np.int64), _padded([v for _, v in vectors], width), k)
+        found, _ = block_top(np.array(list(seen), np.int64), _padded(list(seen.values()), width), np.array([i for i, _ in vectors], np.int64), _padded([v for _, v in vectors], width), k)
         return pa.RecordBatch.from_arrays([pa.array([f[c] for f in found], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
     for batch in batches:
@@ -125,7 +131,7 @@ def top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vecto
     base = rows.select(F.pmod(F.xxhash64("id", "x"), F.lit(blocks)).cast("int").alias("b"), spread(groups).alias("g"), F.lit(0).alias("is_query"), "id", "x")
     queries = rows.where("q").select(spread(blocks).alias("b"), F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("g"), F.lit(1).alias("is_query"), "id", "x")
     dealt = base.unionByName(queries).repartition("b", "g").sortWithinPartitions("b", "g")
-    found = dealt.mapInArrow(lambda batches: _meet_pass(batches, k), "query_id bigint, vec_id bigint, score bigint")
+    found = arrow_map(dealt, lambda batches: _meet_pass(batches, k), "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

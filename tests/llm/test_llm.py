@@ -410,6 +410,18 @@ def test_structures_are_confirmed_or_not_reported():
     assert kinds(f"t {head}.{body}.abc ") == ["jwt"] and kinds(f"{part(b'{"typ":"x"}')}.{body}.abc") == []
 
 
+def test_ssh_container_and_markers():
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    key = field(b"ssh-ed25519") + field(bytes(range(32)))
+    container = b"openssh-key-v1\0" + field(b"none") * 2 + field(b"") + (1).to_bytes(4, "big") + field(key) + field(bytes(64))
+    assert secrets.is_ssh_key(container) and secrets.is_ssh_key(key)
+    for bad in (b"openssh-key-v1\0" + b"\xff" * 60, container + b"x", container[:-1], container.replace(b"ssh-ed25519", b"no!-ed25519"), b"openssh-key-v1\0"):
+        assert not secrets.is_ssh_key(bad)
+    block = "-----BEGIN OPENSSH PRIVATE KEY-----\n" + base64.b64encode(container).decode() + "\n-----END OPENSSH PRIVATE KEY-----"
+    text = "-----BEGIN X-----" * 20_000 + block + "-----END X-----" * 20_000
+    assert [(a, k, b) for a, k, b in secrets.structured_spans(text) if k == "pem"] == [(340_000, "pem", 340_000 + len(block))]
+
+
 def test_secret_defined_cases(spark):
     df = docs(spark, ['token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" rest', None, "", "plain"]).withColumn("base", F.lit(1))
     rows = secrets.report(df).orderBy("doc_id").collect()
@@ -441,6 +453,20 @@ def test_chat_keeps_maximal_conversations(spark, monkeypatch, block):
     assert chat.report(df.where("false")).count() == 0
 
 
+def test_chat_splits_repeated_and_missing_turn_numbers(spark, monkeypatch):
+    monkeypatch.setattr(chat, "DENSE", 3)
+    rng = random.Random(9)
+    rows = [(rng.choice([1, 2, None]), rng.choice([0, 0, 1, 300, None]), rng.choice(["user", None]), f"t{rng.randrange(60)}") for _ in range(200)]
+    want = {}
+    mark = lambda r: hashlib.md5(f"{r[2] or ''}\x1f{r[3]}".encode()).hexdigest()
+    for r in sorted(set(rows), key=lambda r: (r[1] is not None, r[1] or 0, mark(r), r[2] is not None)):
+        want[r[0]] = want.get(r[0], "") + f"<|{r[2] or 'unknown'}|>\n{r[3]}<|end|>\n"
+    got = {}
+    for r in chat.report(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).orderBy("conv_id", "part").collect():
+        got[r.conv_id] = got.get(r.conv_id, "") + r.text
+    assert got == want
+
+
 # 9 -------------------------------------------------------------------------------------------------
 
 
@@ -462,6 +488,26 @@ def test_topk_equals_brute_force(spark, monkeypatch, block, group):
     assert got == want
 
 
+def test_topk_reads_lists_in_order_and_stops():
+    rng = np.random.default_rng(3)
+    for scale, large in ((1, False), (2**30, True)):
+        x = (rng.normal(size=(900, 3)) * 256).astype(np.int64) * scale
+        y = (rng.normal(size=(20, 3)) * 256).astype(np.int64) * scale
+        found, read = topk.block_top(np.arange(5000, 5020), y, np.arange(900), x)
+        want = [(5000 + q, j, -s) for q in range(20) for s, j in sorted((-sum(int(a) * int(b) for a, b in zip(x[j], y[q])), j) for j in range(900))[:5]]
+        assert sorted(found) == sorted(want) and (max(abs(s) for *_, s in found) > 2**53) == large
+        assert 0 < read < 0.7 * 900 * int(np.count_nonzero(y))  # well below the full lists
+
+
+def test_topk_of_empty_tables_and_repeated_queries(spark):
+    schema = "vec_id long, embedding array<double>"
+    assert topk.report(spark.createDataFrame([], schema)).collect() == []
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [2.0, 0.0]), (2, [0.0]), (100, [0.0, 0.0])]
+    got = [tuple(r) for r in topk.report(spark.createDataFrame(rows, schema)).orderBy("query_id", "rank").collect()]
+    # the first vector in order speaks for id 50, and its rows never meet each other
+    assert got == [(50, 1, 1, 0), (50, 2, 2, 0), (50, 3, 100, 0), (100, 1, 1, 0), (100, 2, 2, 0), (100, 3, 50, 0), (100, 4, 50, 0)]
+
+
 # 10 ------------------------------------------------------------------------------------------------
 
 
