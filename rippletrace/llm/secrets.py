@@ -9,7 +9,8 @@ a key is decoded and parsed, and reported only if the bytes prove what they are:
   encrypted token of five parts with `enc`;
 * `der`: one DER SEQUENCE whose nested lengths all close exactly at their
   parents' ends and that holds an INTEGER, BIT STRING or OCTET STRING;
-* `ssh`: length-prefixed fields of an SSH key, or the `openssh-key-v1` container;
+* `ssh`: length-prefixed fields of an SSH key, or the `openssh-key-v1` container whose
+  nested lengths close at its end around such keys;
 * `pem`: an armoured block whose body decodes to one of the two above.
 
 Whole texts are read in one pass without a shuffle. Defined cases: null and empty
@@ -47,7 +48,9 @@ _RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 #: Dotted parts from one on that can hold the shortest header, {"alg":""}.
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{14,}+(?:\.[A-Za-z0-9_-]*+){2,}+")
 _ANY_HEX = re.compile(r"(?:[0-9a-f]{2})+|(?:[0-9A-F]{2})+")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{1,40})-----")
+_PEM = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{1,40})-----")
+#: First bytes of the private container.
+_CONTAINER = b"openssh-key-v1\0"
 
 
 def base_spans(text: str | None) -> list[tuple[int, int, int]]:
@@ -129,17 +132,35 @@ def is_der_key(data: bytes) -> bool:
 
 
 def is_ssh_key(data: bytes) -> bool:
-    """Length-prefixed fields to the last byte, the first an SSH key type; or the private container."""
-    if data.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(data):
+    """Length-prefixed fields to the last byte, the first an SSH key type; or the private container around such keys."""
+    if data.startswith(_CONTAINER):
+        # Cipher, key derivation and its options, the number of keys, each public key, and the private part.
+        fields, at = _fields(data, len(_CONTAINER), 3)
+        if len(fields) < 3 or not fields[0] or not fields[1] or at + 4 > len(data):
+            return False
+        keys = int.from_bytes(data[at : at + 4], "big")
+        if not 1 <= keys <= len(data):
+            return False
+        parts, end = _fields(data, at + 4, keys + 1)
+        return len(parts) == keys + 1 and end == len(data) and all(map(_is_key, parts[:-1])) and len(parts[-1]) >= LEAST_KEY_BYTES
+    return _is_key(data)
+
+
+def _is_key(data: bytes) -> bool:
+    fields, at = _fields(data, 0)
+    return at == len(data) and len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None
+
+
+def _fields(data: bytes, at: int, most: int | None = None) -> tuple[list[bytes], int]:
+    """Length-prefixed fields from a place on, and where the last whole one ends."""
+    fields: list[bytes] = []
+    while len(fields) != most and at + 4 <= len(data):
         size = int.from_bytes(data[at : at + 4], "big")
         if at + 4 + size > len(data):
-            return False
+            break
         fields.append(data[at + 4 : at + 4 + size])
         at += 4 + size
-    return at == len(data) and len(fields) >= 2 and re.fullmatch(rb"(ssh|ecdsa|sk)-[a-z0-9@.-]+", fields[0]) is not None
+    return fields, at
 
 
 def is_signed_token(run: str) -> bool:
@@ -171,19 +192,20 @@ def structured_spans(text: str | None) -> list[tuple[int, str, int]]:
             taken = 1 if run is None else run.count(".") + 1
             at += sum(len(p) + 1 for p in parts[i : i + taken])
             i += taken
-    free = 0
     if "-----BEGIN " in text:
+        begin = None  # an armoured block holds no other marker, so each marker is looked at once
         for m in _PEM.finditer(text):
-            close = f"-----END {m[1]}-----"
-            end = text.find(close, m.end()) if m.start() >= free else -1
-            if end < 0:
+            if m[1] == "BEGIN":
+                begin = m
+                continue
+            if begin is None or begin[2] != m[2]:
+                begin = None
                 continue
-            lines = [x.strip() for x in text[m.end() : end].splitlines()]
-            body = "".join(x for x in lines if x and ":" not in x)
-            data = _decoded(body)
+            lines = [x.strip() for x in text[begin.end() : m.start()].splitlines()]
+            data = _decoded("".join(x for x in lines if x and ":" not in x))
             if data and (is_der_key(data) or is_ssh_key(data)):
-                free = end + len(close)
-                out.append((m.start(), "pem", free))
+                out.append((begin.start(), "pem", m.end()))
+            begin = None
     armoured = [(a, b) for a, kind, b in out]
     for m in _RUN.finditer(text):
         a, b = m.span()
