@@ -46,7 +46,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 OP8 = """
 WITH t AS (SELECT DISTINCT conv_id, turn, role, text FROM conversations),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS place FROM t),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(coalesce(role, '') || chr(31) || coalesce(text, '')), role NULLS FIRST, text NULLS FIRST) AS place FROM t),
 l AS (SELECT conv_id, place, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || coalesce(text, '') || '<|end|>' || chr(10) AS line FROM o),
 p AS (SELECT conv_id, place, string_agg(line, '') OVER (PARTITION BY conv_id ORDER BY place) AS body, count(*) OVER (PARTITION BY conv_id) AS n FROM l),
 f AS (SELECT min(conv_id) AS conv_id, n, body FROM p WHERE place = n GROUP BY n, body)
