@@ -36,8 +36,8 @@ from ._common import arrow_map, extended, own_names, prepare
 
 #: Labelled rows that are read for training, drawn by a hash of the id.
 MAX_TRAIN = 6000
-#: Features kept, and their least evidence and toxic rows.
-MAX_FEATURES, LEAST_EVIDENCE, LEAST_ROWS = 20_000, 2.0, 3
+#: Least evidence of a feature, and toxic rows that hold it; what the sampled rows give of such features is kept.
+LEAST_EVIDENCE, LEAST_ROWS = 2.0, 3
 TOKEN_EVIDENCE = 3.0
 PREFIXES, SUFFIXES = (4, 5, 6, 7, 8), (5, 7)
 FOLDS, CHUNK_TOKENS, ROUNDS = 4, 32, 80
@@ -263,9 +263,7 @@ def fit_rows(texts: list[bytes | None], labels: list[int]) -> Model:
     def odds(c, n):
         value = np.log((c[:, 1] + 0.5) / (n[1] + 1)) - np.log((c[:, 0] + 0.5) / (n[0] + 1))
         good = (c[:, 1] >= LEAST_ROWS) & (value >= LEAST_EVIDENCE)
-        best = np.flatnonzero(good)
-        best = np.sort(best[np.lexsort((keys[best], -value[best]))[:MAX_FEATURES]])
-        return keys[best], value[best]
+        return keys[good], value[good]
 
     evidence, parts = [], []
     for f in range(FOLDS):
