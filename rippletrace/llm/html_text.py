@@ -12,8 +12,9 @@ of those that have its node; any other is a slot. The content
 slot is found by walking down from the body into the container that holds most
 of the varying text of all pages outside navigation, advertising and the like. Last, the
 text of each page is read from the node matched with the content slot, without template
-texts and boilerplate parts; headings, paragraphs, list items and cells of the content slot
-are prose and never template. A page without a matching slot has its slot found on its own.
+texts and boilerplate parts; a paragraph, heading, list item or cell (prose) is template only if all
+text of the container around it is. Where class names alone would leave a page without
+text, they are not heeded. A page without a matching slot has its slot found on its own.
 Hosts with many pages are dealt by host and a hash to fill many tasks; no result depends on it.
 
 Text: character references are decoded, white space inside a block becomes one
@@ -77,29 +78,29 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class Node:
-    __slots__ = ("tag", "key", "children", "junk")
+    __slots__ = ("tag", "key", "children", "junk", "named")
 
-    def __init__(self, tag: str, key: str, junk: bool):
-        self.tag, self.key, self.junk = tag, key, junk
+    def __init__(self, tag: str, key: str, junk: bool, named: bool = False):
+        self.tag, self.key, self.junk, self.named = tag, key, junk, named  # named: a class or id alone makes it boilerplate
         self.children: list = []  # nodes and strings
 
 
 def _node(tag: str, attributes: str, inside_article: bool) -> Node:
-    name, junk = "", tag in DROPPED or tag in RAW or (tag == "header" and not inside_article)
+    name, named, junk = "", False, tag in DROPPED or tag in RAW or (tag == "header" and not inside_article)
     if attributes and "=" in attributes:
         for k, v in _ATTRIBUTE.findall(attributes):
             k, v = k.lower(), v.strip("\"'").lower()
             if k == "class":
                 name = re.sub(r"\d+", "#", v)
             if k in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                junk = junk or not WORDS.isdisjoint(_WORD.findall(v))
+                named = named or not WORDS.isdisjoint(_WORD.findall(v))
             elif k == "role":
                 junk = junk or v in ROLES
             elif k == "aria-hidden" and v == "true":
                 junk = True
         if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes):
             junk = True
-    return Node(tag, f"{tag}.{name}", junk)
+    return Node(tag, f"{tag}.{name}", junk or named, named and not junk)
 
 
 def parse(source: str) -> Node:
@@ -385,7 +386,7 @@ def measure(root: Node) -> tuple[int, int, list[int], list[str], list[int], list
             under = d
         texts.append(_hash(_own_text(n)))
         lengths.append(0 if under is not None else sum(len(c.strip()) for c in n.children if isinstance(c, str)))
-    return _hash(_own_all(root)), _hash(repr((depths, keys))), depths, keys, texts, lengths
+    return _hash(_own_all(root)) or _hash(repr(texts)), _hash(repr((depths, keys))), depths, keys, texts, lengths
 
 
 def merge(a: Node, b: Node) -> None:
@@ -437,9 +438,20 @@ class Wrapper:
     def read(self, page: Node) -> str:
         pairs = self.aligner.pairs(page)
         slot = next((b for a, b in pairs if a is self.slot), None)
-        fixed = {id(b) for a, b in pairs if id(a) in self.template and b.tag not in PROSE and self.template[id(a)] == _hash(_own_text(b)) and not any(c.tag in BLOCK for c in _elements(b))}
+        fixed = {id(b): b for a, b in pairs if id(a) in self.template and self.template[id(a)] == _hash(_own_text(b))}
+        if any(n.tag in PROSE for n in fixed.values()):
+            alive = _varying(page, fixed)
+            fixed = {i: n for i, n in fixed.items() if n.tag not in PROSE or not alive.get(i, False)}
+        text = self._blocks(page, slot, fixed)
+        if not text and self.template and (named := [n for n in _preorder(page) if n.named]):
+            for n in named:  # the names leave nothing, so what varies decides alone
+                n.junk = False
+            text = self._blocks(page, None, fixed)
+        return text
+
+    def _blocks(self, page: Node, slot: Node | None, fixed) -> str:
         if slot is None or self.slot.tag in ("html", "body"):
-            slot = content_slot(page, lambda n: id(n) in fixed)
+            slot = content_slot(page, lambda n: id(n) in fixed and not _inner_blocks(n))
         return read_blocks(slot, fixed)
 
 
@@ -447,8 +459,43 @@ def _own_all(root: Node) -> str:
     return read_blocks(root, frozenset())
 
 
+def _varying(root: Node, fixed) -> dict[int, bool]:
+    """For each fixed node, whether the container around it holds text that is not fixed."""
+    around, holds, met = {id(root): None}, {id(root): False}, {}
+    stack = [(root, id(root))]
+    while stack:
+        n, box = stack.pop()
+        if n.junk:
+            continue
+        if id(n) in fixed:
+            met[id(n)] = box
+        elif any(isinstance(c, str) and not c.isspace() and c for c in n.children):
+            at = box
+            while at is not None and not holds[at]:
+                holds[at] = True
+                at = around[at]
+        inside = box
+        if n.tag in CONTAINER and id(n) != box:
+            inside = id(n)
+            around[inside], holds[inside] = box, False
+        stack.extend((c, inside) for c in (_inner_blocks(n) if id(n) in fixed else _elements(n)))
+    return {i: holds[box] for i, box in met.items()}
+
+
+def _inner_blocks(node: Node) -> list[Node]:
+    """The blocks in a node and its inline parts, in order."""
+    out, stack = [], list(reversed(_elements(node)))
+    while stack:
+        n = stack.pop()
+        if n.tag in BLOCK:
+            out.append(n)
+        else:
+            stack.extend(reversed(_elements(n)))
+    return out
+
+
 def read_blocks(root: Node, fixed) -> str:
-    """Blocks of text under a node, in page order."""
+    """Blocks of text under a node, in page order, without the own texts of fixed nodes."""
     blocks, now = [], []
 
     def flush():
@@ -464,11 +511,11 @@ def read_blocks(root: Node, fixed) -> str:
             flush()
         elif isinstance(n, str):
             now.append(html.unescape(n) if "&" in n else n)
-        elif n is root or not (n.junk or id(n) in fixed):
+        elif n is root or not n.junk:
             if n.tag in BLOCK:
                 flush()
                 stack.append(None)
-            stack.extend(reversed(n.children))
+            stack.extend(reversed(_inner_blocks(n) if id(n) in fixed else n.children))
     flush()
     return "\n\n".join(blocks)
 

@@ -298,6 +298,25 @@ def test_html_long_and_deep_pages_are_aligned():
     assert html_text.extract(deep) == texts
 
 
+def test_html_constant_prose_goes_and_varying_text_of_a_telling_class_stays():
+    rng = random.Random(84)
+    texts = [words(rng, 40) for _ in range(6)]
+    notice = "<div class=zz><h3>Trackers</h3><p>We use <b>trackers</b> on this site.</p>Accept all or leave.</div>"
+    assert html_text.extract([page(k, f"<div class=c>{notice}<p>{t}</p><h3>Steps</h3></div>") for k, t in enumerate(texts)]) == [f"{t}\n\nSteps" for t in texts]
+    shared = [page(k, f'<div class="recipe-share-notice"><div class=q>Same on all</div><p>{t}</p></div>') for k, t in enumerate(texts)]
+    assert html_text.extract(shared) == texts
+
+
+def test_html_text_does_not_depend_on_other_hosts(spark):
+    rng = random.Random(85)
+    rows = [(k, f"http://h/{k}", page(k, f"<div class=c><div>By us</div><p>{words(rng, 30)}</p></div>")) for k in range(30)]
+    schema = "page_id long, url string, html string"
+    few = html_text.report(spark.createDataFrame(rows, schema)).orderBy("page_id").collect()
+    others = spark.range(1000, 4000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://o"), F.col("id") % 7).alias("url"), F.concat(F.lit("<p>other "), F.col("id").cast("string")).alias("html"))
+    many = html_text.report(spark.createDataFrame(rows, schema).unionByName(others)).where("page_id < 1000").orderBy("page_id").collect()
+    assert few == many and all("By us" not in r.text and r.n_chars > 30 for r in few)
+
+
 def test_html_defined_cases(spark):
     rows = [(1, "http://h/1", None), (2, None, "<p>x<p>y"), (3, "http://h/1", ""), (4, "http://h/2", "<<a <b>t</b" + "<div>" * 3000 + "deep"), (2, None, "<p>x<p>y"), (5, "http://h/3", "<!-- open <p>gone"), (6, "h", "&lt;p&gt; &#233;")]
     got = html_text.report(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -343,6 +362,17 @@ def test_suffix_dedup_defined_cases(spark):
     assert suffix_dedup.report(df.where("false")).count() == 0
 
 
+def test_suffix_dedup_tells_rows_without_an_id_apart(spark):
+    rng = random.Random(12)
+    passage, long = words(rng, 60, 10**6), words(rng, 60_000, 10**6)
+    texts = [passage, "x " + passage, words(rng, 60, 10**6), None, long + passage, long[300_000:300_300], ""]
+    df = docs(spark, texts).withColumn("n", F.col("doc_id")).withColumn("doc_id", F.lit(None).cast("long"))
+    got = sorted(r.kept_sha256 for r in suffix_dedup.report(df).collect())
+    gone = lambda text: "".join(text.split(passage)).replace(long[300_000:300_300], "")
+    kept = [gone(t or "") if t != texts[1] else "x " for t in texts]
+    assert got == sorted(hashlib.sha256(t.encode()).hexdigest() for t in kept)
+
+
 # 6 and 7 -------------------------------------------------------------------------------------------
 
 EMAIL, IP, CARD, PHONE = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
