@@ -16,6 +16,8 @@ import pyarrow as pa
 U = np.uint64
 _RNG = np.random.default_rng(20240611)
 BYTE_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
+#: A second table, for a second hash of the same bytes.
+OTHER_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
 ROOT = 0x9E3779B97F4A7C15 | 1
 ROOT_INVERSE = pow(ROOT, -1, 2**64)
 LOWER = np.arange(256, dtype=np.uint8)

@@ -18,8 +18,8 @@ that sets it apart or past `depth`:
 
 Counts are combined before they are shuffled and occurrences are found again by
 equi-joins, so a gram in a third of all documents is split like any skewed key.
-Digits are compared as 64-bit fingerprints. The text itself is shuffled once,
-compressed, next to the spans found.
+Digits are compared as fingerprints: a gram and its context by 128 bits together, windows by
+128 bits. The text itself is shuffled once, compressed, next to the spans found.
 
 Defined cases: null and empty texts have no bytes; texts under `depth` bytes are
 kept whole; repeated rows are copies of each other; an empty table gives an empty
@@ -45,7 +45,6 @@ DEPTH = 200
 GRAM, DIGIT = 32, 40
 #: Contexts of one gram that one task may hold; contexts sorted at once; shares of a gram with more.
 WIDE, TOGETHER, SALTS = 4096, 8192, 256
-NO_ID = -(2**63)
 U = B.U
 
 
@@ -117,24 +116,27 @@ def _context_pass(batches, depth: int):
                 salt = 1 + f["c"] % SALTS if f["kinds"] > WIDE else 0
                 for column, value in zip(out, (f["a"], salt, k, t, f["p"], f["p"] - lo, text[lo : f["p"] + depth])):
                     column.append(value)
-        types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(out, types)], names=["a", "salt", "k", "t", "p", "left", "context"])
 
 
 def _windows(contexts: list[bytes], left: np.ndarray, depth: int):
-    """Byte sums, and context number, offset before the gram and start of every window that holds the gram."""
+    """Bytes, their sums, and context number, offset before the gram and start of every window that holds the gram."""
     joined = B.Joined(contexts)
     first = np.maximum(0, left - (depth - GRAM))
     last = np.minimum(left, joined.size - depth)
     n = np.maximum(0, last - first + 1)
     i = np.repeat(np.arange(len(contexts)), n)
     at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[i]
-    return B.prefix(B.BYTE_VALUE[joined.data]), i, left[i] - at, joined.start[i] + at
+    return joined.data, B.prefix(B.BYTE_VALUE[joined.data]), i, left[i] - at, joined.start[i] + at
 
 
 def repeated(gram: np.ndarray, contexts: list[bytes], left: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Context number and offset of the windows that two contexts of a gram share: the digit passes of step 3."""
-    sums, i, offset, start = _windows(contexts, left, depth)
+    """Context number and offset of the windows that two contexts of a gram share: the digit passes of step 3.
+
+    Passes group by a 64-bit key; what is left after the last one is held against a second, independent 64 bits.
+    """
+    data, sums, i, offset, start = _windows(contexts, left, depth)
     group = B.mix(gram[i] + offset.astype(np.uint64) * U(0x9FB21C651E98DF25))
     alive = np.arange(len(i))
     for digit in range(0, depth, DIGIT):
@@ -150,6 +152,12 @@ def repeated(gram: np.ndarray, contexts: list[bytes], left: np.ndarray, depth: i
         same[:-1] |= equal
         group[alive] = key
         alive = np.sort(alive[order[same]])
+    if len(alive):
+        other = B.prefix(B.OTHER_VALUE[data])
+        key = B.mix(B.spans_hash(other, start[alive], start[alive] + depth) + group[alive])
+        order = np.argsort(key)
+        equal = key[order][1:] == key[order][:-1]
+        alive = np.sort(alive[order[np.concatenate([equal, [False]]) | np.concatenate([[False], equal])]])
     return i[alive], offset[alive]
 
 
@@ -174,7 +182,7 @@ def _sort_pass(batches, depth: int):
         who, begin = np.unique(i, return_index=True)
         end = np.append(begin[1:], len(i))
         rows = [(held[c][2], held[c][3], _merged(np.sort(held[c][4] - offset[a:b]), depth)) for c, a, b in zip(who.tolist(), begin, end)]
-        types = (pa.int64(), pa.int32(), _HIT)
+        types = (pa.int64(), pa.int64(), _HIT)
         return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(types)], names=["k", "t", "spans"])
 
     for batch in batches:
@@ -190,38 +198,40 @@ def _sort_pass(batches, depth: int):
 
 
 def _window_pass(batches, depth: int):
-    """Contexts -> one row for each window: fingerprint, and whose it is."""
+    """Contexts -> one row for each window: fingerprint of 128 bits, and whose it is."""
     for batch in batches:
         batch = batch.filter(pc.greater(batch.column(1), 0))
         for lo in range(0, batch.num_rows, 2000):
             part = batch.slice(lo, 2000)
             gram = np.array(part.column(0).to_pylist(), np.int64).view(np.uint64)
-            sums, i, offset, start = _windows(part.column(6).to_pylist(), np.array(part.column(5).to_pylist(), np.int64), depth)
+            data, sums, i, offset, start = _windows(part.column(6).to_pylist(), np.array(part.column(5).to_pylist(), np.int64), depth)
             key = B.mix(B.spans_hash(sums, start, start + depth) ^ B.mix(gram[i] + offset.astype(np.uint64)))
+            other = B.spans_hash(B.prefix(B.OTHER_VALUE[data]), start, start + depth)
             take, place = pa.array(i), np.array(part.column(4).to_pylist(), np.int64)[i] - offset
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), part.column(2).take(take), part.column(3).take(take), pa.array(place.astype(np.int32))], names=["w", "k", "t", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(other.view(np.int64)), part.column(2).take(take), part.column(3).take(take), pa.array(place.astype(np.int32))], names=["w", "w2", "k", "t", "s"])
 
 
 def found_spans(texts: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame]:
     """texts(k, t, text) -> packed texts (k, t, z), and (k, t, spans) of the rows with repeated windows."""
     occurrences = lambda contexts, body: arrow_map(texts, lambda batches: _anchor_pass(batches, depth, contexts), body)
-    often = occurrences(False, "a bigint").groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
-    known = cut(occurrences(True, "a bigint, c bigint, k bigint, t int, p int").join(often, "a"))
+    # Counts are written before they are joined: both sides of the join are then plain shuffles, whose hot keys adaptive execution splits.
+    often = cut(occurrences(False, "a bigint").groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"))
+    known = cut(occurrences(True, "a bigint, c bigint, k bigint, t bigint, p int").join(often, "a"))
     kinds = cut(known.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")))
     whole = known.join(kinds.where("n > 1").select("a", "c"), ["a", "c"], "left_semi")
     whole = whole.groupBy("k", "t").agg(F.collect_set("p").alias("places")).select("k", "t", F.transform("places", lambda p: F.struct(F.greatest(p - (depth - GRAM), F.lit(0)).alias("s"), (p + depth).alias("e"))).alias("spans"))
-    mixed = kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    mixed = cut(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
     one = known.join(mixed, "a").groupBy("a", "c").agg(F.min(F.struct("k", "t", "p")).alias("o"), F.first("kinds").alias("kinds"))
     one = cut(one.select("a", "c", "o.k", "o.t", "o.p", "kinds"))
-    packed = arrow_map(texts, _pack_pass, "k bigint, t int, z binary")
+    packed = arrow_map(texts, _pack_pass, "k bigint, t bigint, z binary")
     asked = one.groupBy("k", "t").agg(F.collect_list(F.struct("a", "c", "p", "kinds")).alias("found"))
     # The outer join keeps the plan of the packed side as the final join has it, so one shuffle of the texts serves both.
-    contexts = arrow_map(packed.join(asked, ["k", "t"], "left").select("k", "t", "z", "found"), lambda batches: _context_pass(batches, depth), "a bigint, salt int, k bigint, t int, p int, left int, context binary")
+    contexts = arrow_map(packed.join(asked, ["k", "t"], "left").select("k", "t", "z", "found"), lambda batches: _context_pass(batches, depth), "a bigint, salt int, k bigint, t bigint, p int, left int, context binary")
     dealt = contexts.repartition("a", "salt")
-    sorted_spans = arrow_map(dealt.sortWithinPartitions("a"), lambda batches: _sort_pass(batches, depth), "k bigint, t int, spans array<struct<s:int,e:int>>")
-    windows = arrow_map(dealt, lambda batches: _window_pass(batches, depth), "w bigint, k bigint, t int, s int")
-    shared = windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w")
-    hit = windows.join(shared, "w", "left_semi").groupBy("k", "t").agg(F.collect_set("s").alias("starts"))
+    sorted_spans = arrow_map(dealt.sortWithinPartitions("a"), lambda batches: _sort_pass(batches, depth), "k bigint, t bigint, spans array<struct<s:int,e:int>>")
+    windows = arrow_map(dealt, lambda batches: _window_pass(batches, depth), "w bigint, w2 bigint, k bigint, t bigint, s int")
+    shared = windows.groupBy("w", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "w2")
+    hit = windows.join(shared, ["w", "w2"], "left_semi").groupBy("k", "t").agg(F.collect_set("s").alias("starts"))
     wide_spans = hit.select("k", "t", F.transform("starts", lambda s: F.struct(s.alias("s"), (s + depth).alias("e"))).alias("spans"))
     spans = whole.unionByName(sorted_spans)
     if not one.where(F.col("kinds") > WIDE).isEmpty():
@@ -254,22 +264,24 @@ def _final_pass(batches, width: int):
 def scan(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """(id_col, n_bytes, n_removed, n_spans, kept_sha256, kept), one row per document."""
     prepare(documents.sparkSession)
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    texts = documents.select(key.alias("k"), F.hash(text_col).alias("t"), F.col(text_col).alias("text"))
+    # A row is named by its id and 63 bits of its text; without an id by 127 bits of the text, and an odd t.
+    own, text = F.col(id_col).cast("long"), F.col(text_col)
+    t = F.shiftleft(F.xxhash64(text), 1) + own.isNull().cast("long")
+    texts = documents.select(F.coalesce(own, F.xxhash64(F.lit(1), text)).alias("k"), t.alias("t"), text.alias("text"))
     packed, spans = found_spans(texts, depth)
-    rows = packed.join(spans, ["k", "t"], "left").select("k", "z", "spans")
-    out = arrow_map(rows, lambda batches: _final_pass(batches, 1), "k bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
-    return out.select(F.when(F.col("k") != NO_ID, F.col("k")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
+    rows = packed.join(spans, ["k", "t"], "left").select("k", "t", "z", "spans")
+    out = arrow_map(rows, lambda batches: _final_pass(batches, 2), "k bigint, t bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+    return out.select(F.when(F.col("t") % 2 == 0, F.col("k")).alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
 def remove(documents: DataFrame, *, text_col: str = "text", depth: int = DEPTH) -> DataFrame:
     """Documents with repeated strings cut from their texts."""
     prepare(documents.sparkSession)
     plain, text = own_names(documents, text_col)
-    keyed = plain.withColumn("k", F.xxhash64(*[F.col(c).cast("string") for c in plain.columns])).withColumn("t", F.hash(text))
+    keyed = plain.withColumn("k", F.xxhash64(*[F.col(c).cast("string") for c in plain.columns])).withColumn("t", F.xxhash64(text))
     packed, spans = found_spans(keyed.select("k", "t", F.col(text).alias("text")), depth)
     cutting = spans.join(packed, ["k", "t"]).dropDuplicates(["k", "t"]).select("k", "t", "z", "spans")
-    done = arrow_map(cutting, lambda batches: _final_pass(batches, 2), "k bigint, t int, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+    done = arrow_map(cutting, lambda batches: _final_pass(batches, 2), "k bigint, t bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
     out = keyed.join(done.select("k", "t", "kept"), ["k", "t"], "left")
     return out.select(*[F.coalesce("kept", text).alias(c) if a == text else F.col(a).alias(c) for a, c in zip(plain.columns, documents.columns)])
 
