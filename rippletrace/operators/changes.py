@@ -105,7 +105,8 @@ def high_impact(changes: DataFrame) -> DataFrame:
 
 def dedupe_semantic(changes: DataFrame) -> DataFrame:
     """One change for each (name, before, after): the database declaration if any, at the place of the first."""
-    place = Window.partitionBy("analysis_id", "name", F.coalesce("before", F.lit("")), F.coalesce("after", F.lit("")))
-    stored = (F.col("type") == "database_field").cast("int")
-    ranked = changes.withColumn("_first", F.min("change_seq").over(place)).withColumn("_rank", F.row_number().over(place.orderBy((1 - stored), "change_seq")))
-    return ranked.where("_rank = 1").withColumn("change_seq", F.col("_first")).drop("_first", "_rank")
+    place = ["analysis_id", F.col("name").alias("_name"), F.coalesce("before", F.lit("")).alias("_before"), F.coalesce("after", F.lit("")).alias("_after")]
+    other = F.coalesce(F.col("type") != "database_field", F.lit(True))
+    rest = [c for c in changes.columns if c not in ("analysis_id", "change_seq")]
+    found = changes.groupBy(*place).agg(F.min_by(F.struct(*rest), F.struct(other.alias("other"), "change_seq")).alias("_c"), F.min("change_seq").alias("change_seq"))
+    return found.select(*[F.col(f"_c.{c}").alias(c) if c in rest else F.col(c) for c in changes.columns])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rippletrace.functions.exprs import became_nullable, is_dangerous_method
-from rippletrace.functions.ordering import numbered
+from rippletrace.functions.ordering import numbered_widely
 from rippletrace.operators.changes import dedupe_semantic
 
 RISK_META = "struct<reason:string>"
@@ -96,9 +96,11 @@ def signature_change(changes: DataFrame, edges: DataFrame, nodes: DataFrame) ->
 
 def dedupe_rule_risks(risks: DataFrame, *order: str) -> DataFrame:
     """The most confident risk of each (category, changed, affected, title); the first on ties, at the place of the first."""
-    group = Window.partitionBy("analysis_id", "category", "changed_symbol", "affected_symbol", "title")
-    ranked = risks.withColumn("_first", F.min(F.struct(*order)).over(group)).withColumn("_rank", F.row_number().over(group.orderBy(F.desc("confidence"), *order)))
-    return ranked.where("_rank = 1").drop("_rank")
+    group = ("analysis_id", "category", "changed_symbol", "affected_symbol", "title")
+    strongest = F.struct(F.col("confidence").isNull().alias("unknown"), (-F.col("confidence")).alias("weakness"), *order)
+    best = F.min_by(F.struct(*[c for c in risks.columns if c not in group]), strongest).alias("_r")
+    found = risks.groupBy(*group).agg(best, F.min(F.struct(*order)).alias("_first"))
+    return found.select(*[F.col(c if c in group else f"_r.{c}").alias(c) for c in risks.columns], "_first")
 
 
 def run(changes: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -108,4 +110,4 @@ def run(changes: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
     every = rank(nullable_method(changes, edges, nodes), 0).unionByName(rank(nullable_argument(changes, edges, nodes), 0)).unionByName(rank(nullable_access(changes, edges, nodes), 0))
     every = every.unionByName(rank(deleted_symbol(changes, edges, nodes), 1)).unionByName(rank(signature_change(changes, edges, nodes), 2))
     kept = dedupe_rule_risks(every, "change_seq", "rule_rank", "edge_seq")
-    return numbered(kept, "risk_seq", ["analysis_id"], "_first").select("analysis_id", "risk_seq", *RISK_COLUMNS[1:])
+    return numbered_widely(kept, "risk_seq", ["analysis_id"], "_first").select("analysis_id", "risk_seq", *RISK_COLUMNS[1:])

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rippletrace.functions.exprs import SCORE_CEILING, clamp, normalize_confidence, risk_score
-from rippletrace.functions.ordering import ordered_list
+from rippletrace.functions.ordering import numbered_widely, ordered_list
 
 TOP = 5
 
@@ -37,8 +37,7 @@ def score(risks: DataFrame) -> DataFrame:
 
 def rank(scored: DataFrame) -> DataFrame:
     """Rank from 1 by score, then confidence, then first seen."""
-    order = Window.partitionBy("analysis_id").orderBy(F.desc("score"), F.desc("confidence"), "risk_seq")
-    return scored.withColumn("rank", F.row_number().over(order))
+    return numbered_widely(scored, "rank", ["analysis_id"], F.desc("score"), F.desc("confidence"), F.asc("risk_seq"))
 
 
 def overall(ranked: DataFrame, analyses: DataFrame) -> DataFrame:

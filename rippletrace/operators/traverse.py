@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rippletrace.functions.ordering import numbered_widely
 from rippletrace.functions.shared import cut
 
 MAX_DEPTH = 4
@@ -38,12 +39,20 @@ def dependents(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, n
 
 
 def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(analysis_id, seed_seq, seed, total_affected, affected) for seeds that are nodes."""
+    """(analysis_id, seed_seq, seed, position, node_id, depth, path): one row for each node in the radius of each seed that is a node.
+
+    A seed without dependents has one row, with null node and position; `radius_totals` sums up.
+    """
     known = seeds.join(nodes.select("analysis_id", F.col("id").alias("seed")), ["analysis_id", "seed"], "left_semi")
-    found = dependents(edges, known, max_depth, nodes)
-    listed = F.array_sort(F.collect_list(F.struct("depth", "order_key", "node_id", "path")))
-    gathered = found.groupBy("analysis_id", "seed_seq").agg(F.count(F.lit(1)).alias("total_affected"), F.transform(listed, lambda x: F.struct(x["node_id"].alias("node_id"), x["depth"].alias("depth"), x["path"].alias("path"))).alias("affected"))
-    return known.join(gathered, ["analysis_id", "seed_seq"], "left").withColumn("total_affected", F.coalesce("total_affected", F.lit(0).cast("long")))
+    found = dependents(edges, known, max_depth, nodes).select("analysis_id", "seed_seq", "node_id", "depth", "path", "order_key")
+    placed = numbered_widely(found, "position", ["analysis_id", "seed_seq"], "depth", "order_key").drop("order_key")
+    return known.select("analysis_id", "seed_seq", "seed").join(placed, ["analysis_id", "seed_seq"], "left").select("analysis_id", "seed_seq", "seed", "position", "node_id", "depth", "path")
+
+
+def radius_totals(radius: DataFrame) -> DataFrame:
+    """(analysis_id, seed_seq, seed, total_affected, first, last): nodes in each radius, the first and the last of them."""
+    at = F.col("position")
+    return radius.groupBy("analysis_id", "seed_seq", "seed").agg(F.count("node_id").alias("total_affected"), F.min_by("node_id", at).alias("first"), F.max_by("node_id", at).alias("last"))
 
 
 def combine(found: DataFrame) -> DataFrame:
@@ -52,5 +61,6 @@ def combine(found: DataFrame) -> DataFrame:
     Order: depth, then first appearance over all seeds in order.
     """
     won = found.groupBy("analysis_id", "node_id").agg(F.min(F.struct("depth", "seed_seq", "seed", "path")).alias("w"), F.min(F.struct("seed_seq", "depth", "order_key")).alias("first"))
-    order = Window.partitionBy("analysis_id").orderBy("w.depth", "first.seed_seq", "first.depth", "first.order_key")
-    return won.select("analysis_id", F.row_number().over(order).alias("out_seq"), "node_id", F.col("w.depth").alias("depth"), F.col("w.path").alias("path"), F.col("w.seed").alias("seed"))
+    won = won.select("analysis_id", "node_id", F.col("w.depth").alias("depth"), F.col("w.path").alias("path"), F.col("w.seed").alias("seed"), "first")
+    out = numbered_widely(won, "out_seq", ["analysis_id"], "depth", F.col("first.seed_seq"), F.col("first.depth"), F.col("first.order_key"))
+    return out.select("analysis_id", "out_seq", "node_id", "depth", "path", "seed")

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippletrace.functions.exprs import percent, score_label
-from rippletrace.functions.ordering import numbered, ordered_list
+from rippletrace.functions.ordering import numbered, ordered_list, totals_before
 from rippletrace.operators.graph import induced
 
 MAX_NODES, SWEEPS, FAR = 60, 6, 5
@@ -30,10 +30,9 @@ def summary_cards(summary: DataFrame) -> DataFrame:
 
 def playback(ranked: DataFrame, order: str = "rank") -> DataFrame:
     """(analysis_id, playback_seq, step, name, at_ms, is_last): when each step of each failure path lights up."""
-    kept = numbered(ranked.where(F.size("failure_path") >= 2), "playback_seq", ["analysis_id"], order).withColumn("steps", F.size("failure_path"))
-    before = Window.partitionBy("analysis_id").orderBy("playback_seq").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.coalesce(F.sum(F.col("steps") * STEP_MS + BETWEEN_MS).over(before), F.lit(0))
-    rows = kept.withColumn("begin", begin).select("analysis_id", "playback_seq", "steps", "begin", F.posexplode("failure_path").alias("step", "name"))
+    kept = ranked.where(F.size("failure_path") >= 2).select("analysis_id", F.col(order).alias("place"), "failure_path", F.size("failure_path").alias("steps"))
+    kept = totals_before(kept, ["analysis_id"], ["place"], playback_seq=F.lit(1), begin=F.col("steps") * STEP_MS + BETWEEN_MS)
+    rows = kept.select("analysis_id", (F.col("playback_seq") + 1).cast("int").alias("playback_seq"), "steps", "begin", F.posexplode("failure_path").alias("step", "name"))
     return rows.select("analysis_id", "playback_seq", "step", "name", (F.col("begin") + F.col("step") * STEP_MS).cast("long").alias("at_ms"), (F.col("step") == F.col("steps") - 1).alias("is_last"))
 
 
