@@ -137,7 +137,7 @@ def interface_fields(s, d):
 
 
 def call_extract(s, d):
-    script = F.regexp_extract(F.coalesce("html", F.lit("")), "<script>(.*?)</script>", 1)
+    script = F.array_join(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit("<script>(.*?)</script>"), 1), " ")
     files = T.read(s, d, "pages").select(F.lit("p").alias("analysis_id"), F.col("page_id").cast("int").alias("file_seq"), F.concat(F.lit("f"), F.col("page_id").cast("string"), F.lit(".js")).alias("path"), F.concat(F.lit("export const run = () => { "), script, F.lit(" };")).alias("content"))
     rows = ts_scan.symbols(ts_scan.scan(files))
     return rows.select("id", "type", "exported", "signature", F.explode("calls").alias("c")).select("id", "type", "exported", "signature", F.col("c.name").alias("call"), F.col("c.line").alias("line"))
@@ -196,27 +196,26 @@ def bfs_dependents(s, d):
 
 
 def blast_radius(s, d):
-    f = traverse.blast_radius(T.lineage_edges(s, d).where("edge_seq < 4398046511104"), T.lineage_nodes(s, d).where("type <> 'lineitem'"), T.region_seeds(s, d))
-    return f.select("seed", "total_affected", F.coalesce(F.get("affected", F.lit(0))["node_id"], F.lit("")).alias("first"), F.coalesce(F.get("affected", F.col("total_affected").cast("int") - 1)["node_id"], F.lit("")).alias("last"))
+    found = traverse.radius_totals(traverse.blast_radius(T.lineage_edges(s, d), T.lineage_nodes(s, d), T.region_seeds(s, d)))
+    return found.select("seed", "total_affected", F.coalesce("first", F.lit("")).alias("first"), F.coalesce("last", F.lit("")).alias("last"))
 
 
 def combined_blast(s, d):
-    c = T.read(s, d, "customer").where("c_custkey % 5 = 0").select(F.lit(T.STAR).alias("analysis_id"), F.col("c_custkey").cast("int").alias("seed_seq"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("seed"))
+    c = T.read(s, d, "customer").select(F.lit(T.STAR).alias("analysis_id"), F.col("c_custkey").cast("int").alias("seed_seq"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("seed"))
     n = T.read(s, d, "nation").select(F.lit(T.STAR).alias("analysis_id"), (F.lit(10**8) - F.col("n_nationkey")).cast("int").alias("seed_seq"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("seed"))
     found = traverse.combine(traverse.dependents(T.lineage_edges(s, d), c.unionByName(n)))
     return found.select("out_seq", "node_id", "depth", "seed", _joined("path"))
 
 
 def direct_dependents(s, d):
-    t = T.read(s, d, "part").where("p_size % 5 = 0").select(F.lit(T.STAR).alias("analysis_id"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("target"))
+    t = T.read(s, d, "part").select(F.lit(T.STAR).alias("analysis_id"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("target"))
     found = graph.direct_dependents(T.usage_edges(s, d), T.lineage_nodes(s, d), t)
     edges = graph.direct_dependents(T.usage_edges(s, d), T.lineage_nodes(s, d), t, rows_per_edge=True).groupBy("target", "id").agg(F.count(F.lit(1)).alias("edges"))
     return found.join(edges, ["target", "id"]).select("target", "id", "name", "edges")
 
 
 def induced_subgraph(s, d):
-    ids = T.lineage_nodes(s, d).where("type IN ('region', 'nation', 'customer') OR type = 'orders' AND node_seq % 2 = 0").select("analysis_id", "id")
-    return graph.induced(T.lineage_edges(s, d), ids).select("edge_seq", "source", "target")
+    return graph.induced(T.lineage_edges(s, d), T.lineage_nodes(s, d).select("analysis_id", "id")).select("edge_seq", "source", "target")
 
 
 def node_lookup(s, d):
@@ -358,7 +357,7 @@ def score_label(s, d):
 
 def summary_counts(s, d):
     o = T.read(s, d, "orders").select(F.col("o_orderpriority").alias("analysis_id"), "o_orderkey")
-    out = scoring.summary(_priorities(s, d), o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 3 = 0"), _ranked(s, d))
+    out = scoring.summary(_priorities(s, d), o, T.item_risks(s, d), _ranked(s, d))
     return views.summary_cards(out)
 
 
@@ -401,9 +400,8 @@ def llm_to_risk(s, d):
 
 def enrich_join(s, d):
     o = T.read(s, d, "orders")
-    risks = T.item_risks(s, d).where("id LIKE '%-1'").withColumn("id", F.concat(F.lit("r"), F.regexp_replace("id", "-1$", "")))
-    rows = o.where("o_orderkey % 3 = 0").select(F.col("o_orderpriority").alias("analysis_id"), F.concat(F.lit("r"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderstatus").alias("description"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("")).otherwise(F.lit("fix")).alias("suggestedFix"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("low")).alias("severity"), F.when(F.col("o_orderkey") % 7 == 0, F.lit(0.0)).otherwise(F.lit(0.5)).alias("confidence"))
-    return enrich.enrich(risks, rows).select("id", "description", "suggested_fix", "severity", F.round("confidence", 9).alias("confidence"), "source")
+    rows = o.select(F.col("o_orderpriority").alias("analysis_id"), F.concat(F.col("o_orderkey").cast("string"), F.lit("-1")).alias("id"), F.col("o_orderstatus").alias("description"), F.when(F.col("o_orderkey") % 2 == 0, F.lit("")).otherwise(F.lit("fix")).alias("suggestedFix"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("low")).alias("severity"), F.when(F.col("o_orderkey") % 7 == 0, F.lit(0.0)).otherwise(F.lit(0.5)).alias("confidence"))
+    return enrich.enrich(T.item_risks(s, d), rows).select("id", "description", "suggested_fix", "severity", F.round("confidence", 9).alias("confidence"), "source")
 
 
 # Views ---------------------------------------------------------------------------------------------
@@ -418,10 +416,8 @@ def playback_schedule(s, d):
 
 
 def _view(s, d):
-    edges, nodes = T.lineage_edges(s, d).where("edge_seq < 3298534883328"), T.lineage_nodes(s, d).where("type IN ('region', 'nation', 'customer', 'supplier')")
-    changed = T.region_seeds(s, d).where("seed_seq < 2").select("analysis_id", F.col("seed").alias("id"))
-    affected = nodes.where("type = 'nation'").select("analysis_id", "id")
-    return edges, nodes, changed, affected
+    nodes = T.lineage_nodes(s, d)
+    return T.lineage_edges(s, d), nodes, T.region_seeds(s, d).select("analysis_id", F.col("seed").alias("id")), nodes.where("type = 'nation'").select("analysis_id", "id")
 
 
 def graph_view_depth(s, d):
@@ -441,54 +437,6 @@ def graph_view_edges(s, d):
     return views.drawn_edges(edges, shown, changed).select("id", "source", "target", "animated")
 
 
-# The whole graph -------------------------------------------------------------------------------------
-
-
-def blast_radius_whole(s, d):
-    f = traverse.blast_radius(T.lineage_edges(s, d), T.lineage_nodes(s, d), T.region_seeds(s, d))
-    return f.select("seed", "total_affected", F.coalesce(F.get("affected", F.lit(0))["node_id"], F.lit("")).alias("first"), F.coalesce(F.get("affected", F.col("total_affected").cast("int") - 1)["node_id"], F.lit("")).alias("last"))
-
-
-def combined_blast_whole(s, d):
-    c = T.read(s, d, "customer").select(F.lit(T.STAR).alias("analysis_id"), F.col("c_custkey").cast("int").alias("seed_seq"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("seed"))
-    n = T.read(s, d, "nation").select(F.lit(T.STAR).alias("analysis_id"), (F.lit(10**8) - F.col("n_nationkey")).cast("int").alias("seed_seq"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("seed"))
-    found = traverse.combine(traverse.dependents(T.lineage_edges(s, d), c.unionByName(n)))
-    return found.select("out_seq", "node_id", "depth", "seed", _joined("path"))
-
-
-def direct_dependents_whole(s, d):
-    t = T.read(s, d, "part").select(F.lit(T.STAR).alias("analysis_id"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("target"))
-    found = graph.direct_dependents(T.usage_edges(s, d), T.lineage_nodes(s, d), t)
-    edges = graph.direct_dependents(T.usage_edges(s, d), T.lineage_nodes(s, d), t, rows_per_edge=True).groupBy("target", "id").agg(F.count(F.lit(1)).alias("edges"))
-    return found.join(edges, ["target", "id"]).select("target", "id", "name", "edges")
-
-
-def induced_subgraph_whole(s, d):
-    return graph.induced(T.lineage_edges(s, d), T.lineage_nodes(s, d).select("analysis_id", "id")).select("edge_seq", "source", "target")
-
-
-def _whole_view(s, d):
-    nodes = T.lineage_nodes(s, d)
-    return T.lineage_edges(s, d), nodes, T.region_seeds(s, d).select("analysis_id", F.col("seed").alias("id")), nodes.where("type = 'nation'").select("analysis_id", "id")
-
-
-def graph_view_depth_whole(s, d):
-    edges, _, changed, _ = _whole_view(s, d)
-    return views.depths(edges, changed).select("id", "depth")
-
-
-def graph_view_layout_whole(s, d):
-    edges, nodes, changed, affected = _whole_view(s, d)
-    shown = views.shown_nodes(nodes, views.neighbourhood(edges, changed.unionByName(affected)))
-    return views.layout(shown, views.depths(edges, changed), changed, affected).drop("analysis_id")
-
-
-def graph_view_edges_whole(s, d):
-    edges, nodes, changed, affected = _whole_view(s, d)
-    shown = views.shown_nodes(nodes, views.neighbourhood(edges, changed.unionByName(affected)))
-    return views.drawn_edges(edges, shown, changed).select("id", "source", "target", "animated")
-
-
 # The golden repository -----------------------------------------------------------------------------
 
 
@@ -521,8 +469,3 @@ QUERIES |= {
     "golden_nodes": _golden("nodes", "node_seq", "id", "type"), "golden_edges": _golden("edges", "edge_seq", "id", "type"), "golden_affected": _golden("affected", "out_seq", "node_id", "depth"),
     "golden_risks": _golden("risks", "rank", "id", "severity", "score"), "golden_summary": _golden("summary", "changed", "affected", "risks", "critical", "high", "score"),
 }
-#: The queries above whose SQL takes a part of the graph, over all of it; without SQL, held against brute force in tests.
-WHOLE = {
-    f.__name__: f
-    for f in (blast_radius_whole, combined_blast_whole, direct_dependents_whole, induced_subgraph_whole, graph_view_depth_whole, graph_view_layout_whole, graph_view_edges_whole)
-}

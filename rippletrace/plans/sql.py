@@ -122,11 +122,12 @@ an AS (SELECT DISTINCT o_orderpriority AS analysis_id FROM orders UNION ALL SELE
 ov AS (SELECT analysis_id, coalesce(risks, 0) AS risks, coalesce(CASE WHEN risks IS NOT NULL THEN CAST(floor(greatest(0.0::DOUBLE, least(98.0::DOUBLE, base + least(risks * 1.5::DOUBLE, 10.0::DOUBLE))) + 0.5) AS INTEGER) END, 0) AS score FROM an LEFT JOIN w USING (analysis_id))"""
 _LABEL = "CASE WHEN score >= 90 THEN 'critical' WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END"
 
-_VIEW = f"""{LN}, {LE}, n4 AS (SELECT * FROM ln WHERE type IN ('region', 'nation', 'customer', 'supplier')), e3 AS (SELECT * FROM le WHERE edge_seq < 3 * 1099511627776),
-ch AS (SELECT 'region:' || r_regionkey AS id FROM region WHERE r_regionkey < 2), aff AS (SELECT id FROM n4 WHERE type = 'nation'), chosen AS (SELECT id FROM ch UNION SELECT id FROM aff),
-near AS (SELECT id FROM chosen UNION SELECT source FROM e3 JOIN chosen ON target = id UNION SELECT target FROM e3 JOIN chosen ON source = id),
-shown AS (SELECT * FROM n4 WHERE id IN (SELECT id FROM near) ORDER BY node_seq LIMIT 60),
-dp AS (SELECT id, min(depth) AS depth FROM (SELECT id, 0 AS depth FROM ch UNION ALL SELECT source, 1 FROM e3 JOIN ch ON target = ch.id UNION ALL SELECT b.source, 2 FROM e3 a JOIN ch ON a.target = ch.id JOIN e3 b ON b.target = a.source) GROUP BY id)"""
+_VIEW = f"""RECURSIVE {LN}, {LE},
+ch AS (SELECT 'region:' || r_regionkey AS id FROM region), aff AS (SELECT id FROM ln WHERE type = 'nation'), chosen AS (SELECT id FROM ch UNION SELECT id FROM aff),
+near AS (SELECT id FROM chosen UNION SELECT source FROM le JOIN chosen ON target = id UNION SELECT target FROM le JOIN chosen ON source = id),
+shown AS (SELECT * FROM ln WHERE id IN (SELECT id FROM near) ORDER BY node_seq LIMIT 60),
+reach AS (SELECT id, 0 AS depth FROM ch UNION SELECT le.source, reach.depth + 1 FROM reach JOIN le ON le.target = reach.id WHERE reach.depth < 6),
+dp AS (SELECT id, min(depth) AS depth FROM reach GROUP BY id)"""
 
 _ANSWERED = """e AS (SELECT event_id, user_id, event_type, value, event_id % 4 AS m FROM events WHERE event_id % 4 IN (0, 3))"""
 _CODE = """c AS (SELECT p_partkey AS symbol_seq, 'User' || p_size % 5 AS u, 'b' || p_size % 3 AS b, 'c' || p_size % 2 AS c FROM part)"""
@@ -202,8 +203,8 @@ UNION ALL SELECT symbol_seq, 5, u || '.' || c, 'property_access', NULL, NULL, 'u
 SELECT symbol_seq, pos, field, kind, method, callee, expression FROM x""",
     "interface_fields": """WITH v AS (SELECT * FROM nation, (VALUES (0), (1), (2)) t(pos) WHERE n_nationkey % 3 <> 0)
 SELECT 'T' || n_nationkey AS name, pos, 'T' || n_nationkey || '.' || CASE pos WHEN 0 THEN 'id' || n_nationkey WHEN 1 THEN lower(n_name) ELSE 'nested' END AS field FROM v WHERE pos <> 1 OR regexp_full_match(lower(n_name), '[a-z_$][a-z0-9_$]*')""",
-    "call_extract": """WITH s AS (SELECT page_id, regexp_extract(coalesce(html, ''), '<script>(.*?)</script>', 1) AS x FROM pages)
-SELECT 'f' || page_id || '.js:function:run' AS id, 'function' AS type, true AS exported, 'run = ()' AS signature, 'track' AS call, 1 AS line FROM s WHERE x LIKE '%track(%'""",
+    "call_extract": """WITH s AS (SELECT page_id, unnest(regexp_extract_all(array_to_string(regexp_extract_all(coalesce(html, ''), '<script>(.*?)</script>', 1), ' '), 'track[(]')) AS x FROM pages)
+SELECT 'f' || page_id || '.js:function:run' AS id, 'function' AS type, true AS exported, 'run = ()' AS signature, 'track' AS call, 1 AS line FROM s""",
     "call_resolution": """WITH n AS (SELECT 'f' || c_nationkey AS name, min(c_custkey) AS k FROM customer GROUP BY 1),
 c AS (SELECT c_custkey, 0 AS call_seq, 3 AS line, 'f' || c_custkey % 60 AS name FROM customer UNION ALL SELECT c_custkey, 2, 5, 'f' || c_custkey % 25 FROM customer)
 SELECT 'customer:' || c_custkey AS source, call_seq, line, 'customer:' || k AS target FROM c JOIN n USING (name)""",
@@ -214,14 +215,14 @@ FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 4 < 2 A
     "graph_edges": f"WITH {LE} SELECT target, count(*) AS n, min(edge_seq) AS first FROM le GROUP BY target",
     "edge_dedupe": "SELECT min(event_id) AS edge_seq, 'u' || user_id % 20 || '->u' || event_id % 20 || ':' || event_type AS id FROM events WHERE user_id % 20 <> event_id % 20 GROUP BY 2",
     "bfs_dependents": f"WITH {LE}, {_levels(REGIONS)} SELECT seed, node_id, depth, path FROM bfs",
-    "blast_radius": f"""WITH {LE}, e4 AS (SELECT * FROM le WHERE edge_seq < 4 * 1099511627776), {_levels(REGIONS, 'e4')}
+    "blast_radius": f"""WITH {LE}, {_levels(REGIONS)}
 SELECT seed, count(node_id) AS total_affected, coalesce(arg_min(node_id, (depth, k)), '') AS first, coalesce(arg_max(node_id, (depth, k)), '') AS last FROM ({REGIONS}) LEFT JOIN (SELECT seed_seq, node_id, depth, k FROM bfs) USING (seed_seq) GROUP BY seed""",
-    "combined_blast": f"""WITH {LE}, {_levels("SELECT CAST(c_custkey AS INTEGER) AS seed_seq, 'customer:' || c_custkey AS seed FROM customer WHERE c_custkey % 5 = 0 UNION ALL SELECT 100000000 - n_nationkey, 'nation:' || n_nationkey FROM nation")},
+    "combined_blast": f"""WITH {LE}, {_levels("SELECT CAST(c_custkey AS INTEGER) AS seed_seq, 'customer:' || c_custkey AS seed FROM customer UNION ALL SELECT 100000000 - n_nationkey, 'nation:' || n_nationkey FROM nation")},
 f AS (SELECT node_id, arg_min((depth, seed, path), (depth, seed_seq)) AS w, min((seed_seq, depth, k)) AS first FROM bfs GROUP BY node_id),
 g AS (SELECT node_id, w[1] AS depth, w[2] AS seed, w[3] AS path, first FROM f)
 SELECT CAST(row_number() OVER (ORDER BY depth, first) AS INTEGER) AS out_seq, node_id, depth, seed, path FROM g""",
-    "direct_dependents": "SELECT 'part:' || l_partkey AS target, 'supplier:' || l_suppkey AS id, s_name AS name, count(*) AS edges FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey WHERE p_size % 5 = 0 GROUP BY ALL",
-    "induced_subgraph": f"WITH {LN}, {LE}, c AS (SELECT id FROM ln WHERE type IN ('region', 'nation', 'customer') OR type = 'orders' AND node_seq % 2 = 0) SELECT edge_seq, source, target FROM le WHERE source IN (SELECT id FROM c) AND target IN (SELECT id FROM c)",
+    "direct_dependents": "SELECT 'part:' || l_partkey AS target, 'supplier:' || l_suppkey AS id, s_name AS name, count(*) AS edges FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL",
+    "induced_subgraph": f"WITH {LN}, {LE} SELECT edge_seq, source, target FROM le WHERE source IN (SELECT id FROM ln) AND target IN (SELECT id FROM ln)",
     "node_lookup": "SELECT DISTINCT 'customer:' || c_custkey AS id, c_name AS name, 'customer' AS type FROM events JOIN customer ON c_custkey = user_id",
     "symbol_lookup": "SELECT 'f' || c_nationkey AS name, 'customer:' || min(c_custkey) AS first, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_nationkey",
     "line_range_join": f"WITH {_TOUCH} SELECT CAST(event_id AS INTEGER) AS pos, rg.path || ':' || kind || ':' || name AS id, no, t AS line_type FROM ln_ JOIN rg ON ln_.path = rg.path AND no BETWEEN lo AND hi WHERE t <> 'context'",
@@ -247,9 +248,9 @@ SELECT analysis_id, risk_seq, first_seq FROM r WHERE n = 1""",
     "rank_risks": f"WITH {_RISKS} SELECT analysis_id, rank, risk_seq, score FROM rk",
     "blast_score": f"WITH {_RISKS}, {_OVERALL} SELECT analysis_id, risks, score FROM ov",
     "score_label": f"WITH {_RISKS} SELECT upper({_LABEL}) AS label, {_LABEL} AS severity, count(*) AS n FROM rk GROUP BY ALL",
-    "summary_counts": f"""WITH {_RISKS}, {_OVERALL}, o AS (SELECT o_orderpriority AS analysis_id, count(*) FILTER (o_orderkey % 2 = 0) AS changed, count(*) FILTER (o_orderkey % 3 = 0) AS affected FROM orders GROUP BY 1),
+    "summary_counts": f"""WITH {_RISKS}, {_OVERALL}, o AS (SELECT o_orderpriority AS analysis_id, count(*) AS changed FROM orders GROUP BY 1), i AS (SELECT analysis_id, count(*) AS affected FROM ir GROUP BY 1),
 c AS (SELECT analysis_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high FROM rk GROUP BY 1)
-SELECT analysis_id, coalesce(changed, 0) AS changed, coalesce(affected, 0) AS affected, risks, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, score, upper({_LABEL}) AS label FROM ov LEFT JOIN o USING (analysis_id) LEFT JOIN c USING (analysis_id)""",
+SELECT analysis_id, coalesce(changed, 0) AS changed, coalesce(affected, 0) AS affected, risks, coalesce(critical, 0) AS critical, coalesce(high, 0) AS high, score, upper({_LABEL}) AS label FROM ov LEFT JOIN o USING (analysis_id) LEFT JOIN i USING (analysis_id) LEFT JOIN c USING (analysis_id)""",
     "sanitize_confidence": """WITH v AS (SELECT event_id, value / 50 - 0.2::DOUBLE AS c, value / 3 AS m FROM events)
 SELECT event_id, CASE WHEN event_id % 7 < 3 THEN 0.5::DOUBLE WHEN c > 1 THEN least(c / 100, 1.0::DOUBLE) ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, c)) END AS confidence, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN m > 1 THEN m / 100 ELSE m END)) AS normalized FROM v""",
     "validate_enums": """WITH p AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS word, p_brand FROM part UNION SELECT 'high', 'type' UNION SELECT 'critical', 'security')
@@ -263,9 +264,9 @@ SELECT CAST(context_seq AS INTEGER) AS context_seq, node_id, components, CAST(ed
     "llm_to_risk": f"""WITH {_ANSWERED} SELECT event_id AS context_seq, 0 AS index, 'ai:c' || user_id || ':s' AS id, 'T' || event_id AS title, 'why' AS description, 'security' AS category, 'medium' AS severity,
 round(CASE WHEN value > 1 THEN least(value / 100, 1.0::DOUBLE) ELSE greatest(0.0::DOUBLE, value) END, 9) AS confidence, NULL AS affected_node_id, 's' AS affected_symbol, 'f.ts' AS file_path, 'why' AS reason FROM e
 UNION ALL SELECT event_id, 1, 'ai:c' || user_id || ':n', 'U', 'd', 'unknown', 'low', 0.25::DOUBLE, 'n', NULL, 'f.ts', NULL FROM e""",
-    "enrich_join": f"""WITH {_RISKS} SELECT 'r' || o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN (SELECT o_orderstatus FROM orders o WHERE o.o_orderkey = ir.o_orderkey) ELSE 'd' END AS description,
-CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 2 = 1 THEN 'fix' END AS suggested_fix, CASE WHEN o_orderkey % 15 = 0 THEN 'low' ELSE severity END AS severity,
-round(CASE WHEN o_orderkey % 3 = 0 AND o_orderkey % 7 <> 0 THEN 0.5::DOUBLE ELSE confidence END, 9) AS confidence, CASE WHEN o_orderkey % 3 = 0 THEN 'ai' ELSE source END AS source FROM ir WHERE l_linenumber = 1""",
+    "enrich_join": f"""WITH {_RISKS} SELECT id, CASE WHEN l_linenumber = 1 THEN (SELECT o_orderstatus FROM orders o WHERE o.o_orderkey = ir.o_orderkey) ELSE 'd' END AS description,
+CASE WHEN l_linenumber = 1 AND o_orderkey % 2 = 1 THEN 'fix' END AS suggested_fix, CASE WHEN l_linenumber = 1 AND o_orderkey % 5 = 0 THEN 'low' ELSE severity END AS severity,
+round(CASE WHEN l_linenumber = 1 AND o_orderkey % 7 <> 0 THEN 0.5::DOUBLE ELSE confidence END, 9) AS confidence, CASE WHEN l_linenumber = 1 THEN 'ai' ELSE source END AS source FROM ir""",
     "risk_card": f"""WITH {_RISKS} SELECT analysis_id, rank, category, severity, score, CAST(floor(confidence * 100 + 0.5) AS INTEGER) AS percent, CASE source WHEN 'static' THEN 'Static' WHEN 'ai' THEN 'AI' ELSE 'Hybrid' END AS source_label,
 array_to_string(string_split(ev, '>')[1:4], '>') AS evidence FROM rk""",
     "playback_schedule": f"""WITH {_RISKS}, k AS (SELECT *, CAST(row_number() OVER (PARTITION BY analysis_id ORDER BY rank) AS INTEGER) AS q FROM rk WHERE len(failure_path) >= 2),
@@ -274,6 +275,6 @@ SELECT analysis_id, q AS playback_seq, CAST(step AS INTEGER) AS step, failure_pa
     "graph_view_depth": f"WITH {_VIEW} SELECT id, depth FROM dp",
     "graph_view_layout": f"""WITH {_VIEW}, x AS (SELECT shown.id, name, node_seq, coalesce(dp.depth, 5) AS depth FROM shown LEFT JOIN dp ON dp.id = shown.id)
 SELECT id, name, depth, depth * 280 AS x, CAST((row_number() OVER (PARTITION BY depth ORDER BY node_seq) - 1) * 110 AS INTEGER) AS y, CASE WHEN id IN (SELECT id FROM ch) THEN 'changed' WHEN id IN (SELECT id FROM aff) THEN 'affected' ELSE 'other' END AS node_class FROM x""",
-    "graph_view_edges": f"WITH {_VIEW} SELECT source || '->' || target || ':depends_on' AS id, target AS source, source AS target, target IN (SELECT id FROM ch) AS animated FROM e3 WHERE source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown)",
+    "graph_view_edges": f"WITH {_VIEW} SELECT source || '->' || target || ':depends_on' AS id, target AS source, source AS target, target IN (SELECT id FROM ch) AS animated FROM le WHERE source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown)",
     **_golden_values(),
 }

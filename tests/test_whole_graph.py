@@ -7,7 +7,7 @@ import pytest
 
 from rippletrace.operators import views
 from rippletrace.plans import testdata as T
-from rippletrace.plans.queries import WHOLE
+from rippletrace.plans.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
@@ -38,12 +38,12 @@ def reach(into, seed, depth=4):
 
 
 def rows(spark, name):
-    return WHOLE[name](spark, FOLDER).collect()
+    return QUERIES[name](spark, FOLDER).collect()
 
 
 def test_blast_radius(spark, star):
     want = {s: list(reach(star[2], s)) for s in (f"region:{k}" for k in range(5))}
-    got = {r.seed: (r.total_affected, r.first, r.last) for r in rows(spark, "blast_radius_whole")}
+    got = {r.seed: (r.total_affected, r.first, r.last) for r in rows(spark, "blast_radius")}
     assert got == {s: (len(f), f[0] if f else "", f[-1] if f else "") for s, f in want.items()}
     assert any(last.startswith("lineitem:") for _, _, last in got.values())
 
@@ -57,18 +57,18 @@ def test_combined_blast(spark, star):
             first[n] = min(first.get(n, (10**9,)), (seq, d, key))
     order = sorted(won, key=lambda n: (won[n][0], first[n]))
     want = [(i, n, won[n][0], won[n][2], won[n][3]) for i, n in enumerate(order, 1)]
-    assert sorted((r.out_seq, r.node_id, r.depth, r.seed, r.path) for r in rows(spark, "combined_blast_whole")) == want
+    assert sorted((r.out_seq, r.node_id, r.depth, r.seed, r.path) for r in rows(spark, "combined_blast")) == want
 
 
 def test_direct_dependents(spark, star):
     items = T.read(spark, FOLDER, "lineitem").select("l_partkey", "l_suppkey").collect()
     want = Counter((f"part:{p}", f"supplier:{k}") for p, k in items)
-    got = rows(spark, "direct_dependents_whole")
+    got = rows(spark, "direct_dependents")
     assert {(r.target, r.id): r.edges for r in got} == want and all(r.name == star[1][r.id][1] for r in got)
 
 
 def test_induced_subgraph(spark, star):
-    assert sorted(map(tuple, rows(spark, "induced_subgraph_whole"))) == sorted(star[0])
+    assert sorted(map(tuple, rows(spark, "induced_subgraph"))) == sorted(star[0])
 
 
 def test_graph_views(spark, star):
@@ -78,7 +78,7 @@ def test_graph_views(spark, star):
     for c in changed:
         for n, (d, *_) in reach(into, c, views.SWEEPS).items():
             depth[n] = min(depth.get(n, 99), d)
-    assert {r.id: r.depth for r in rows(spark, "graph_view_depth_whole")} == depth
+    assert {r.id: r.depth for r in rows(spark, "graph_view_depth")} == depth
     near = changed | affected
     near = near | {s for _, s, t in edges if t in near} | {t for _, s, t in edges if s in near}
     shown = sorted(near, key=lambda n: nodes[n][0])[: views.MAX_NODES]
@@ -87,6 +87,6 @@ def test_graph_views(spark, star):
         d = depth.get(n, views.FAR)
         want[n] = (d, d * views.COLUMN, places[d] * views.ROW, "changed" if n in changed else "affected" if n in affected else "other")
         places[d] += 1
-    assert {r.id: (r.depth, r.x, r.y, r.node_class) for r in rows(spark, "graph_view_layout_whole")} == want
+    assert {r.id: (r.depth, r.x, r.y, r.node_class) for r in rows(spark, "graph_view_layout")} == want
     drawn = {(t, s, t in changed) for _, s, t in edges if s in want and t in want}
-    assert {(r.source, r.target, r.animated) for r in rows(spark, "graph_view_edges_whole")} == drawn
+    assert {(r.source, r.target, r.animated) for r in rows(spark, "graph_view_edges")} == drawn
