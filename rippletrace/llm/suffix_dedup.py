@@ -217,12 +217,12 @@ def found_spans(texts: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFr
     # Counts are written before they are joined: both sides of the join are then plain shuffles, whose hot keys adaptive execution splits.
     often = cut(occurrences(False, "a bigint").groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a"))
     known = cut(occurrences(True, "a bigint, c bigint, k bigint, t bigint, p int").join(often, "a"))
-    kinds = cut(known.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n")))
+    # One occurrence speaks for a context; the three values are those of one row, as all are taken from the first one met.
+    kinds = cut(known.groupBy("a", "c").agg(F.count(F.lit(1)).alias("n"), *[F.first(x).alias(x) for x in ("k", "t", "p")]))
     whole = known.join(kinds.where("n > 1").select("a", "c"), ["a", "c"], "left_semi")
     whole = whole.groupBy("k", "t").agg(F.collect_set("p").alias("places")).select("k", "t", F.transform("places", lambda p: F.struct(F.greatest(p - (depth - GRAM), F.lit(0)).alias("s"), (p + depth).alias("e"))).alias("spans"))
     mixed = cut(kinds.groupBy("a").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
-    one = known.join(mixed, "a").groupBy("a", "c").agg(F.min(F.struct("k", "t", "p")).alias("o"), F.first("kinds").alias("kinds"))
-    one = cut(one.select("a", "c", "o.k", "o.t", "o.p", "kinds"))
+    one = cut(kinds.join(mixed, "a").select("a", "c", "k", "t", "p", "kinds"))
     packed = arrow_map(texts, _pack_pass, "k bigint, t bigint, z binary")
     asked = one.groupBy("k", "t").agg(F.collect_list(F.struct("a", "c", "p", "kinds")).alias("found"))
     # The outer join keeps the plan of the packed side as the final join has it, so one shuffle of the texts serves both.
