@@ -10,7 +10,7 @@ from rippletrace.functions.ordering import first_by
 from rippletrace.operators import changes, diff, enrich, graph, prisma, rules, scoring, traverse, ts_scan, usage, views
 from rippletrace.plans import fixture
 from rippletrace.plans import testdata as T
-from rippletrace.plans.analyze import Options, analyze
+from rippletrace.plans.analyze import Options, analyze, parse
 from rippletrace.schemas import CALLS, SYMBOL_META
 from rippletrace.sources import files as S
 
@@ -183,6 +183,27 @@ def graph_edges(s, d):
     return e.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.min("edge_seq").alias("first"))
 
 
+def _tree(s, d):
+    files, imports, symbols = parse(T.source_tree(s, d))
+    return files, imports, symbols, graph.nodes(files, symbols)
+
+
+def tree_declarations(s, d):
+    return _tree(s, d)[2].select("id", "name", "type", "exported", "start_line", "end_line")
+
+
+def tree_references(s, d):
+    return _tree(s, d)[2].select("id", F.explode("references").alias("r")).select("id", F.col("r.name").alias("reference"), F.col("r.line").alias("line"))
+
+
+def tree_nodes(s, d):
+    return _tree(s, d)[3].select("id", "name", "type", "file_path", F.col("location.start_line").alias("start_line"), F.col("metadata.parent_type").alias("parent_type"), F.col("metadata.nullable").alias("nullable"))
+
+
+def tree_edges(s, d):
+    return graph.edges(*_tree(s, d)).select("id", "source", "target", "type", F.col("metadata.method").alias("method"), F.col("metadata.field").alias("field"))
+
+
 def edge_dedupe(s, d):
     e = T.read(s, d, "events")
     rows = e.select(F.lit("e").alias("analysis_id"), F.col("event_id").alias("edge_seq"), F.concat(F.lit("u"), (F.col("user_id") % 20).cast("string")).alias("source"), F.concat(F.lit("u"), (F.col("event_id") % 20).cast("string")).alias("target"), F.col("event_type").alias("type"))
@@ -276,6 +297,18 @@ def changes_detected(s, d):
     return changes.detect(_lines(s, d), _ranges(s, d)).groupBy("type", "change_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def prisma_changes(s, d):
+    lines = _lines(s, d).withColumns({c: F.regexp_replace(c, r"\.ts$", ".prisma") for c in ("old_path", "new_path")})
+    stored = _ranges(s, d).where("type = 'database_field'").withColumns({"file_path": F.regexp_replace("file_path", r"\.ts$", ".prisma"), "name": F.concat("name", F.lit(".k"), (F.col("symbol_seq") % 3).cast("string"))})
+    return changes.prisma_field_changes(lines, stored).select("file_seq", "node_id", "file_path", "change_type", "before", "after")
+
+
+def id_lists(s, d):
+    c = T.read(s, d, "customer").select((F.col("c_nationkey")).cast("string").alias("analysis_id"), F.col("c_custkey").alias("change_seq"), F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("node_id"))
+    a = T.read(s, d, "supplier").select((F.col("s_nationkey") + 1).cast("string").alias("analysis_id"), (-F.col("s_suppkey")).alias("out_seq"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("node_id"))
+    return views.id_lists(c, a).select("analysis_id", F.array_join("changed_ids", SEP).alias("changed_ids"), F.array_join("affected_ids", SEP).alias("affected_ids"))
+
+
 def change_classify(s, d):
     return T.event_changes(s, d).select("analysis_id", "change_seq", X.change_type(F.col("before"), F.col("after")).alias("change_type"))
 
@@ -458,8 +491,8 @@ QUERIES = {
     for f in (
         scan_supported_files, ignored_dirs, detect_language, repo_locator, diff_source, request_defaults, checkout_ref, union_sources, distinct_ids, diff_lines, diff_files,
         diff_line_class, prisma_models, prisma_fields, typed_vars, field_usages, interface_fields, call_extract, call_resolution, import_resolution, ts_property_lines, graph_nodes,
-        graph_edges, edge_dedupe, bfs_dependents, blast_radius, combined_blast, direct_dependents, induced_subgraph, node_lookup, symbol_lookup, line_range_join, enclosing_type,
-        property_pairing, symbol_changes, changes_detected, change_classify, change_dedupe, semantic_dedupe, high_impact, filter_by_type, nullable_transition, rule_cascade, rule_dedupe,
+        graph_edges, tree_declarations, tree_references, tree_nodes, tree_edges, edge_dedupe, bfs_dependents, blast_radius, combined_blast, direct_dependents, induced_subgraph, node_lookup, symbol_lookup, line_range_join, enclosing_type,
+        property_pairing, symbol_changes, changes_detected, prisma_changes, id_lists, change_classify, change_dedupe, semantic_dedupe, high_impact, filter_by_type, nullable_transition, rule_cascade, rule_dedupe,
         risk_dedupe, score_risk, rank_risks, blast_score, score_label, summary_counts, sanitize_confidence, validate_enums, llm_context, llm_parse, llm_to_risk, enrich_join, risk_card,
         playback_schedule, graph_view_depth, graph_view_layout, graph_view_edges, golden_fixed,
     )

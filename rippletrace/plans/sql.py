@@ -129,6 +129,24 @@ shown AS (SELECT * FROM ln WHERE id IN (SELECT id FROM near) ORDER BY node_seq L
 reach AS (SELECT id, 0 AS depth FROM ch UNION SELECT le.source, reach.depth + 1 FROM reach JOIN le ON le.target = reach.id WHERE reach.depth < 6),
 dp AS (SELECT id, min(depth) AS depth FROM reach GROUP BY id)"""
 
+# Symbols of the files made of nations, customers and suppliers, as their texts declare them; fields of a model are one line late by default.
+_TREE = """sy AS (
+SELECT 'src/n' || n_nationkey || '.ts' AS path, 'interface' AS type, 'N' || n_nationkey AS name, true AS exported, 1 AS lo, 3 AS hi FROM nation
+UNION ALL SELECT 'src/n' || n_nationkey || '.ts', 'type', 'A' || n_nationkey, true, 4, 6 FROM nation
+UNION ALL SELECT 'src/n' || n_nationkey || '.ts', 'function', 'g' || n_nationkey, true, 7, 9 FROM nation
+UNION ALL SELECT 'src/c' || c_custkey || '.ts', 'function', 'f' || c_custkey, true, 2, 5 FROM customer
+UNION ALL SELECT 'src/c' || c_custkey || '.ts', 'class', 'K' || c_custkey, false, 6, 10 FROM customer
+UNION ALL SELECT 'db/s' || s_suppkey || '.prisma', 'database_model', 'M' || s_suppkey, true, 1, 4 FROM supplier
+UNION ALL SELECT 'db/s' || s_suppkey || '.prisma', 'database_field', 'M' || s_suppkey || '.id', true, 3, 3 FROM supplier
+UNION ALL SELECT 'db/s' || s_suppkey || '.prisma', 'database_field', 'M' || s_suppkey || '.note', true, 4, 4 FROM supplier),
+d AS (SELECT path || ':' || type || ':' || name AS id, *, CASE WHEN type = 'database_field' THEN name LIKE '%.note' END AS nullable FROM sy),
+fl AS (SELECT DISTINCT path, path || ':file:' || path AS id FROM sy),
+ed AS (
+SELECT fl.id AS source, d.id AS target, 'contains' AS type, NULL AS method, NULL AS field FROM d JOIN fl USING (path)
+UNION ALL SELECT 'src/c' || c_custkey || '.ts:file:src/c' || c_custkey || '.ts', 'src/n' || c_nationkey || '.ts:file:src/n' || c_nationkey || '.ts', 'imports', NULL, NULL FROM customer JOIN nation ON n_nationkey = c_nationkey
+UNION ALL SELECT 'src/c' || c_custkey || '.ts:function:f' || c_custkey, 'src/n' || n_nationkey || '.ts:function:g' || n_nationkey, 'calls', NULL, NULL FROM customer JOIN nation ON n_nationkey = c_custkey % 40
+UNION ALL SELECT 'src/c' || c_custkey || '.ts:function:f' || c_custkey, 'field:N' || c_nationkey || '.label', 'uses_field', 'trim', 'N' || c_nationkey || '.label' FROM customer JOIN nation ON n_nationkey = c_nationkey)"""
+
 _ANSWERED = """e AS (SELECT event_id, user_id, event_type, value, event_id % 4 AS m FROM events WHERE event_id % 4 IN (0, 3))"""
 _CODE = """c AS (SELECT p_partkey AS symbol_seq, 'User' || p_size % 5 AS u, 'b' || p_size % 3 AS b, 'c' || p_size % 2 AS c FROM part)"""
 
@@ -213,6 +231,13 @@ FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 4 < 2 A
     "ts_property_lines": "SELECT event_id, event_type AS name, CASE WHEN event_id % 3 = 0 THEN '?' ELSE '' END || CASE WHEN event_id % 5 = 0 THEN '' ELSE 'string | null' END AS type FROM events",
     "graph_nodes": f"WITH {LN} SELECT type, count(*) AS n, min(node_seq) AS first, max(node_seq) AS last FROM ln GROUP BY type",
     "graph_edges": f"WITH {LE} SELECT target, count(*) AS n, min(edge_seq) AS first FROM le GROUP BY target",
+    "tree_declarations": f"WITH {_TREE} SELECT id, name, type, exported, lo AS start_line, hi AS end_line FROM d",
+    "tree_references": f"""WITH {_TREE} SELECT id, unnest(['label', 'trim']) AS reference, 4 AS line FROM d WHERE type = 'function' AND path LIKE 'src/c%'
+UNION ALL SELECT id, split_part(name, '.', 1), lo FROM d WHERE type = 'database_field'""",
+    "tree_nodes": f"""WITH {_TREE} SELECT id, name, type, path AS file_path, lo AS start_line, NULL AS parent_type, nullable FROM d UNION ALL SELECT id, path, 'file', path, NULL, NULL, NULL FROM fl
+UNION ALL SELECT 'field:' || name, name, type, path, NULL, NULL, nullable FROM d WHERE type = 'database_field'
+UNION ALL SELECT 'field:' || f.name, f.name, 'type', path, NULL, d.name, NULL FROM d, LATERAL (SELECT d.name || CASE d.type WHEN 'type' THEN '.size' ELSE '.label' END AS name) f WHERE type IN ('interface', 'type')""",
+    "tree_edges": f"WITH {_TREE} SELECT source || '->' || target || ':' || type || CASE WHEN type = 'uses_field' THEN ':method_call:trim' ELSE '' END AS id, source, target, type, method, field FROM ed",
     "edge_dedupe": "SELECT min(event_id) AS edge_seq, 'u' || user_id % 20 || '->u' || event_id % 20 || ':' || event_type AS id FROM events WHERE user_id % 20 <> event_id % 20 GROUP BY 2",
     "bfs_dependents": f"WITH {LE}, {_levels(REGIONS)} SELECT seed, node_id, depth, path FROM bfs",
     "blast_radius": f"""WITH {LE}, {_levels(REGIONS)}
@@ -232,6 +257,13 @@ SELECT CAST(row_number() OVER (ORDER BY depth, first) AS INTEGER) AS out_seq, no
     "changes_detected": f"""WITH {_NORMAL}, {_PAIRS.split(_TOUCH + ",")[1]}, every AS (SELECT 'type' AS type, node_id, path, change_type, before, after FROM paired UNION ALL SELECT kind, node_id, path, change_type, before, after FROM normal),
 one AS (SELECT type, change_type FROM every GROUP BY type, change_type, node_id, path, coalesce(before, ''), coalesce(after, '')) SELECT type, change_type, count(*) AS n FROM one GROUP BY ALL""",
     "change_classify": f"WITH {_EVENT_CHANGES} SELECT analysis_id, change_seq, change_type FROM cc",
+    "prisma_changes": f"""WITH {_TOUCH}, hit AS (SELECT file_seq, seq, replace(rg.path, '.ts', '.prisma') AS path, 'field:' || name || '.k' || seq % 3 AS node_id, t, hunk_seq, event_id, text
+  FROM ln_ JOIN rg ON ln_.path = rg.path AND no BETWEEN lo AND hi WHERE t <> 'context' AND kind = 'database_field' AND event_id % 3 = seq % 3),
+sides AS (SELECT file_seq, seq, path, node_id, string_agg(text, chr(10) ORDER BY hunk_seq, event_id) FILTER (t = 'removed') AS b, string_agg(text, chr(10) ORDER BY hunk_seq, event_id) FILTER (t = 'added') AS a FROM hit GROUP BY ALL)
+SELECT CAST(file_seq AS INTEGER) AS file_seq, node_id, path AS file_path, CASE WHEN b IS NULL THEN 'added' WHEN a IS NULL THEN 'deleted' WHEN a <> b THEN 'type_changed' ELSE 'modified' END AS change_type, b AS before, a AS after FROM sides""",
+    "id_lists": """WITH c AS (SELECT CAST(c_nationkey AS VARCHAR) AS analysis_id, string_agg('c' || c_custkey, '>' ORDER BY c_custkey) AS changed_ids FROM customer GROUP BY 1),
+a AS (SELECT CAST(s_nationkey + 1 AS VARCHAR) AS analysis_id, string_agg('s' || s_suppkey, '>' ORDER BY s_suppkey DESC) AS affected_ids FROM supplier GROUP BY 1)
+SELECT analysis_id, changed_ids, affected_ids FROM c FULL JOIN a USING (analysis_id)""",
     "change_dedupe": f"WITH {_EVENT_CHANGES} SELECT analysis_id, min(change_seq) AS change_seq, node_id FROM ec GROUP BY analysis_id, node_id, file_path, coalesce(before, ''), coalesce(after, '')",
     "semantic_dedupe": f"""WITH {_EVENT_CHANGES}, r AS (SELECT *, min(change_seq) OVER p AS first_seq, row_number() OVER (PARTITION BY analysis_id, name, coalesce(before, ''), coalesce(after, '') ORDER BY CASE type WHEN 'database_field' THEN 0 ELSE 1 END, change_seq) AS r
 FROM ec WINDOW p AS (PARTITION BY analysis_id, name, coalesce(before, ''), coalesce(after, ''))) SELECT analysis_id, first_seq AS change_seq, name, type, file_path FROM r WHERE r = 1""",

@@ -57,6 +57,17 @@ def lineage_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.lit(STAR).alias("analysis_id"), "edge_seq", F.concat("source", F.lit("->"), "target", F.lit(":depends_on")).alias("id"), "source", "target", F.lit("depends_on").alias("type"), F.lit(None).cast(EDGE_META).alias("metadata"))
 
 
+def source_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(analysis_id, file_seq, path, content): a module for each nation, a file for each customer that uses it, a schema for each supplier."""
+    n, c, s = (F.col(x).cast("string") for x in ("n_nationkey", "c_custkey", "s_suppkey"))
+    home, call = F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 40).cast("string")
+    file = lambda seq, path, *text: [F.lit("tree").alias("analysis_id"), F.col(seq).cast("int").alias("file_seq"), F.concat(*path).alias("path"), F.concat(*[F.lit(t) if isinstance(t, str) else t for t in text]).alias("content")]
+    modules = read(spark, sf_dir, "nation").select(*file("n_nationkey", (F.lit("src/n"), n, F.lit(".ts")), "export interface N", n, " {\n  label: string;\n}\nexport type A", n, " = {\n  size: number;\n};\nexport const g", n, " = () => {\n  return ", n, ";\n};\n"))
+    users = read(spark, sf_dir, "customer").select(*file("c_custkey", (F.lit("src/c"), c, F.lit(".ts")), "import { N", home, " } from './n", home, "';\nexport function f", c, "(u: N", home, ") {\n  g", call, "();\n  return u.label.trim();\n}\nclass K", c, " {\n  run() {\n    return 1;\n  }\n}\n"))
+    stored = read(spark, sf_dir, "supplier").select(*file("s_suppkey", (F.lit("db/s"), s, F.lit(".prisma")), "model M", s, " {\n  id Int @id\n  note String?\n}\n"))
+    return modules.unionByName(users).unionByName(stored)
+
+
 def region_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "region").select(F.lit(STAR).alias("analysis_id"), F.col("r_regionkey").alias("seed_seq"), _key("region", "r_regionkey").alias("seed"))
 
