@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippletrace.functions.exprs import SCORE_CEILING, clamp, normalize_confidence, risk_score
@@ -40,23 +40,26 @@ def rank(scored: DataFrame) -> DataFrame:
     return numbered_widely(scored, "rank", ["analysis_id"], F.desc("score"), F.desc("confidence"), F.asc("risk_seq"))
 
 
-def overall(ranked: DataFrame, analyses: DataFrame) -> DataFrame:
+def overall(scored: DataFrame, analyses: DataFrame) -> DataFrame:
     """(analysis_id, risks, score): the five best scores weighted by 1 / rank, plus a bonus for many risks; 0 without any."""
+    # Only the best of each analysis are numbered; the limit holds before the shuffle too.
+    best_first = Window.partitionBy("analysis_id").orderBy(F.desc("score"), F.desc("confidence"), "risk_seq")
+    top = scored.select("analysis_id", "score", F.row_number().over(best_first).alias("rank")).where(F.col("rank") <= TOP)
     # Terms are added in rank order, so the double sum is the same wherever it is computed.
-    terms = lambda f: F.aggregate(ordered_list(F.when(F.col("rank") <= TOP, f), "rank"), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    terms = lambda f: F.aggregate(ordered_list(f, "rank"), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
     weight = F.lit(1.0) / F.col("rank")
-    best = ranked.where(F.col("rank") <= TOP).groupBy("analysis_id").agg(terms(F.col("score") * weight).alias("weighted"), terms(weight).alias("weights"))
-    counts = ranked.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("risks"))
+    best = top.groupBy("analysis_id").agg(terms(F.col("score") * weight).alias("weighted"), terms(weight).alias("weights"))
+    counts = scored.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("risks"))
     base = F.col("weighted") / F.col("weights") + F.least(F.col("risks") * 1.5, F.lit(10.0))
     total = F.floor(clamp(base, 0.0, SCORE_CEILING) + 0.5).cast("int")
     out = analyses.select("analysis_id").distinct().join(counts, "analysis_id", "left").join(best, "analysis_id", "left")
     return out.select("analysis_id", F.coalesce("risks", F.lit(0).cast("long")).alias("risks"), F.coalesce(total, F.lit(0)).alias("score"))
 
 
-def summary(analyses: DataFrame, changes: DataFrame, affected: DataFrame, ranked: DataFrame) -> DataFrame:
+def summary(analyses: DataFrame, changes: DataFrame, affected: DataFrame, scored: DataFrame) -> DataFrame:
     """(analysis_id, changed, affected, risks, critical, high, score)."""
     count = lambda df, name: df.groupBy("analysis_id").agg(F.count(F.lit(1)).alias(name))
-    grades = ranked.groupBy("analysis_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
-    out = overall(ranked, analyses).join(count(changes, "changed"), "analysis_id", "left").join(count(affected, "affected"), "analysis_id", "left").join(grades, "analysis_id", "left")
+    grades = scored.groupBy("analysis_id").agg(F.count_if(F.col("severity") == "critical").alias("critical"), F.count_if(F.col("severity") == "high").alias("high"))
+    out = overall(scored, analyses).join(count(changes, "changed"), "analysis_id", "left").join(count(affected, "affected"), "analysis_id", "left").join(grades, "analysis_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
     return out.select("analysis_id", zero("changed"), zero("affected"), "risks", zero("critical"), zero("high"), "score")

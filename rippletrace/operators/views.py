@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rippletrace.functions.exprs import percent, score_label
 from rippletrace.functions.ordering import numbered, ordered_list, totals_before
+from rippletrace.functions.shared import cut
 from rippletrace.operators.graph import induced
 
 MAX_NODES, SWEEPS, FAR = 60, 6, 5
@@ -73,13 +74,16 @@ def shown_nodes(nodes: DataFrame, near: DataFrame) -> DataFrame:
 def depths(edges: DataFrame, changed: DataFrame) -> DataFrame:
     """(analysis_id, id, depth): least number of edges down to a changed node, within `SWEEPS` hops.
 
-    Sweeps of min-plus joins; minima are combined before they are shuffled.
+    Each sweep follows the edges into the nodes that the one before it reached first, and is written.
     """
-    found = changed.select("analysis_id", "id").distinct().withColumn("depth", F.lit(0))
     links = edges.select("analysis_id", F.col("target").alias("id"), "source")
-    for _ in range(SWEEPS):
-        next_ = found.join(links, ["analysis_id", "id"]).select("analysis_id", F.col("source").alias("id"), (F.col("depth") + 1).alias("depth"))
-        found = found.unionByName(next_).groupBy("analysis_id", "id").agg(F.min("depth").alias("depth"))
+    level = found = changed.select("analysis_id", "id").distinct().withColumn("depth", F.lit(0))
+    for sweep in range(1, SWEEPS + 1):
+        step = level.join(links, ["analysis_id", "id"]).select("analysis_id", F.col("source").alias("id")).distinct()
+        level = cut(step.join(found, ["analysis_id", "id"], "left_anti").withColumn("depth", F.lit(sweep)))
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
     return found
 
 

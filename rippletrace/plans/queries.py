@@ -368,8 +368,12 @@ def score_risk(s, d):
     return scoring.score(T.item_risks(s, d)).select("risk_seq", "score")
 
 
+def _scored(s, d):
+    return scoring.score(scoring.dedupe(T.item_risks(s, d)))
+
+
 def _ranked(s, d):
-    return scoring.rank(scoring.score(scoring.dedupe(T.item_risks(s, d))))
+    return scoring.rank(_scored(s, d))
 
 
 def rank_risks(s, d):
@@ -381,16 +385,16 @@ def _priorities(s, d):
 
 
 def blast_score(s, d):
-    return scoring.overall(_ranked(s, d), _priorities(s, d))
+    return scoring.overall(_scored(s, d), _priorities(s, d))
 
 
 def score_label(s, d):
-    return _ranked(s, d).groupBy(X.score_label(F.col("score")).alias("label"), X.score_severity(F.col("score")).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
+    return _scored(s, d).groupBy(X.score_label(F.col("score")).alias("label"), X.score_severity(F.col("score")).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def summary_counts(s, d):
     o = T.read(s, d, "orders").select(F.col("o_orderpriority").alias("analysis_id"), "o_orderkey")
-    out = scoring.summary(_priorities(s, d), o, T.item_risks(s, d), _ranked(s, d))
+    out = scoring.summary(_priorities(s, d), o, T.item_risks(s, d), _scored(s, d))
     return views.summary_cards(out)
 
 
