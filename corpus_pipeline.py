@@ -2,6 +2,12 @@
 
 Stages give rows with the columns of `documents`; the last adds token ids. `run`
 writes every stage's rows as Parquet in the shared folder and reads them again.
+
+Defined cases, in every stage: an empty table gives an empty one; further columns of any name and
+type pass through; null and empty texts are documents without words, bytes or data, so they are
+scored as such, are copies of nothing, hold no benchmark passage and no personal data, and have no
+tokens; rows without an id stay unless their own text is toxic or contaminated; equal rows are
+copies, of which one stays (all of them without an id or without words).
 """
 
 from __future__ import annotations
