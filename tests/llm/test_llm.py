@@ -601,6 +601,23 @@ def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
     assert len([k for k in got if k < base and y[k]]) <= 4 and len([k for k in got if k < base and not y[k]]) >= 110
 
 
+def test_pipeline_stages_with_empty_tables_and_clashing_columns(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(18)
+    spark.createDataFrame([(0, 1, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, words(rng, 25, 10**6))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = docs(spark, [words(rng, 40, 10**6), words(rng, 40, 10**6) + " " + "long " * 100_000, None, "", words(rng, 3)])
+    for name in ("in_0", "in_1", "t1", "id", "k", "y", "hits", "items", "n_words", "base", "spans", "clean", "toxic_score", "toxic", "n_email", "ids", "n_tokens", "decoded", "round_trip", "other_id", "leader"):
+        df = df.withColumn(name, F.lit(5))
+    df = df.withColumn("odd", F.struct(F.lit(1).alias("a b"), F.lit("x").alias("c`d")))
+    for name, stage in corpus_pipeline.STAGES:
+        for given, n in ((df, 5), (df.where("false"), 0)):
+            out = stage(spark, given, str(tmp_path))
+            assert out.count() == n, name
+            assert out.columns == df.columns if name != "byte_bpe" else len(set(out.columns)) == len(out.columns) >= len(df.columns), name
+
+
 def test_pii_copies_count_once_in_training(spark, monkeypatch):
     texts = [f"number {k} alone" for k in range(4)]
     df = docs(spark, [t for t in texts for _ in range(50)])
