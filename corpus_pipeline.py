@@ -43,10 +43,10 @@ def pii_redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their token ids, and whether these decode to the text."""
+    """Documents with their token ids, and whether these decode to the text; these columns replace others of their names."""
     coded = bpe.encode(docs, *tokenizer())
     text = F.col(f"in_{docs.columns.index('text')}")
-    own = [F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns)]
+    own = [F.col(f"in_{i}").alias(c) for i, c in enumerate(docs.columns) if c.lower() not in ("n_tokens", "token_ids", "round_trip")]
     return coded.select(*own, "n_tokens", F.col("ids").alias("token_ids"), (F.coalesce(text, F.lit("")).cast("binary") == F.col("decoded")).alias("round_trip"))
 
 
