@@ -8,6 +8,7 @@ Declarations are then found by bracket depth. One Arrow pass, no shuffle.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,10 @@ from rippletrace.schemas import CALLS, SYMBOL_META
 API_METHODS = ("GET", "POST", "PUT", "PATCH", "DELETE")
 OPEN, CLOSE = "([{", ")]}"
 _WORD = re.compile(r"[A-Za-z_$][\w$]*")
+_BRACKET = re.compile(r"[(\[{)\]}]")
+_CONTINUING_WORD = re.compile(r"(?:in|instanceof|as|satisfies|extends)\b")
+_DEFINES = re.compile(r"[ \t]*(?:\{|:\s*[\w<>\[\]|&. ]+\{)")
+_ALIAS = re.compile(r"\s*(?:<|=)")
 _BEFORE_REGEX = re.compile(r"(?:^|[(,=:\[!&|?{};+\-*%<>~^]|\b(?:return|typeof|case|in|of|delete|void|throw|new|else|do|instanceof))\s*$")
 _NOT_CALLED = frozenset("if for while switch catch function return typeof in of void delete await yield throw new case do else with import super async instanceof as extends keyof".split())
 _CONTINUES = frozenset(".,?:=+-*/%&|^<>([`)}]")
@@ -107,6 +112,23 @@ def _matching(text: str, at: int) -> int:
     return len(text)
 
 
+def _pairs(text: str) -> dict[int, int]:
+    """For each bracket that has a partner, of any kind, its partner's place; one pass."""
+    pairs, opened = {}, []
+    for m in _BRACKET.finditer(text):
+        at = m.start()
+        if m[0] in OPEN:
+            opened.append(at)
+        elif opened:
+            pairs[at] = opened.pop()
+            pairs[pairs[at]] = at
+    return pairs
+
+
+def _line_feeds(text: str) -> list[int]:
+    return [m.start() for m in re.finditer("\n", text)]
+
+
 def _skip(text: str, at: int) -> int:
     while at < len(text) and text[at].isspace():
         at += 1
@@ -132,7 +154,7 @@ def _body(text: str, at: int) -> int:
 
 def _statement(text: str, at: int) -> int:
     """End of a statement without its semicolon: at a semicolon, or at a line end that cannot go on."""
-    last = ""
+    last, last_at = "", at
     while at < len(text):
         c = text[at]
         if c == ";":
@@ -143,12 +165,12 @@ def _statement(text: str, at: int) -> int:
             at = _matching(text, at)
             last = ")"
             continue
-        if c == "\n" and last and last not in _OPEN_END and not (last == ">" and text[:at].rstrip().endswith("=>")):
+        if c == "\n" and last and last not in _OPEN_END and not (last == ">" and text[max(0, last_at - 1)] == "="):
             j = _skip(text, at)
-            if j >= len(text) or text[j] not in _CONTINUES and not re.match(r"(?:in|instanceof|as|satisfies|extends)\b", text[j:]):
+            if j >= len(text) or text[j] not in _CONTINUES and not _CONTINUING_WORD.match(text, j):
                 return at
         if not c.isspace():
-            last = c
+            last, last_at = c, at
         at += 1
     return len(text)
 
@@ -201,7 +223,7 @@ def _is_function(text: str) -> bool:
 
 def _calls(code: str, text: str, first_line: int) -> list[dict]:
     """Call expressions, outer before inner: callee text and line."""
-    found = []
+    found, pairs, feeds = [], _pairs(text), _line_feeds(code)
     for m in re.finditer(r"\(", text):
         at = m.start()
         j = at
@@ -227,13 +249,7 @@ def _calls(code: str, text: str, first_line: int) -> list[dict]:
                     start -= 1
                 need_name = False
             elif c in ")]" :
-                depth, k = 0, start
-                while k > 0:
-                    k -= 1
-                    depth += (text[k] in CLOSE) - (text[k] in OPEN)
-                    if depth == 0:
-                        break
-                start = k
+                start = pairs.get(start - 1, 0)
                 need_name = True
                 c = text[start - 1] if start else ""
                 if not (c.isalnum() or c in "_$)]!?." and c):
@@ -260,16 +276,16 @@ def _calls(code: str, text: str, first_line: int) -> list[dict]:
         before = re.search(r"([A-Za-z_$][\w$]*)\s*$", text[max(0, start - 40) : start])
         if before and before[1] in ("function", "new", "get", "set"):
             continue
-        stop = _matching(text, at)
-        after = text[stop:].lstrip(" \t")
-        if word and word[0] == name and (after.startswith("{") or re.match(r":\s*[\w<>\[\]|&. ]+\{", after)):
+        stop = pairs[at] + 1 if at in pairs else len(text)
+        if word and word[0] == name and _DEFINES.match(text, stop):
             continue  # a method or function definition
         found.append((start + len(code[start:end]) - len(code[start:end].lstrip()), -stop, name))
-    return [{"name": name, "line": first_line + code.count("\n", 0, at)} for at, _, name in sorted(found)]
+    return [{"name": name, "line": first_line + bisect_left(feeds, at)} for at, _, name in sorted(found)]
 
 
 def _references(text: str, first_line: int) -> list[dict]:
-    return [{"name": m[1], "line": first_line + text.count("\n", 0, m.start())} for m in re.finditer(r"(?<=[\w$)\]!?])\.\s*([A-Za-z_$][\w$]*)", text)]
+    feeds = _line_feeds(text)
+    return [{"name": m[1], "line": first_line + bisect_left(feeds, m.start())} for m in re.finditer(r"(?<=[\w$)\]!?])\.\s*([A-Za-z_$][\w$]*)", text)]
 
 
 _MODIFIERS = frozenset("export default declare async abstract".split())
@@ -281,7 +297,8 @@ def parse(path: str, content: str | None) -> tuple[list[dict], list[dict]]:
     code = content or ""
     text = mask(code)
     imports, symbols, at = [], [], 0
-    line_of = lambda p: code.count("\n", 0, p) + 1
+    feeds = _line_feeds(code)
+    line_of = lambda p: bisect_left(feeds, p) + 1
 
     def add(kind: str, rank: str, name: str, start: int, end: int, exported: bool, split: str):
         own, masked, first = code[start:end], text[start:end], line_of(start)
@@ -320,7 +337,7 @@ def parse(path: str, content: str | None) -> tuple[list[dict], list[dict]]:
             end = _body(text, m.end())
             add(word, word, name[0] if name and name[0] not in ("extends", "implements") else "AnonymousClass", start, end, exported, "{")
             at = end
-        elif word == "type" and name and re.match(r"\s*(?:<|=)", text[name.end() :]):
+        elif word == "type" and name and _ALIAS.match(text, name.end()):
             end = _statement(text, follow)
             stop = end + 1 if text[end : end + 1] == ";" else end
             add("type", "type", name[0], start, stop, exported, "=")
@@ -331,7 +348,8 @@ def parse(path: str, content: str | None) -> tuple[list[dict], list[dict]]:
                 a = _skip(text, a)
                 b = a + len(text[a:b].rstrip()) if text[a:b].strip() else a
                 b = max(b, a + len(code[a:b].rstrip()))
-                equal = next((k for k in re.finditer(r"=(?![=>])", text[a:b]) if text[a:b][k.start() - 1 : k.start()] not in ("=", "!", "<", ">")), None)
+                own = text[a:b]
+                equal = next((k for k in re.finditer(r"=(?![=>])", own) if own[k.start() - 1 : k.start()] not in ("=", "!", "<", ">")), None)
                 binding = _WORD.match(text, a)
                 if a >= b:
                     continue

@@ -218,3 +218,12 @@ def test_dedupe_is_idempotent_and_keeps_evidence_order(spark):
     once = scoring.dedupe(spark.createDataFrame(rows, RISK_TYPE))
     assert [(r.id, r.evidence, r.risk_seq) for r in once.collect()] == [("r2", ["a", "b", "c", "d"], 1)]
     assert scoring.dedupe(once).collect() == once.collect()
+
+
+def test_the_scanner_takes_time_in_proportion_to_the_file():
+    from rippletrace.operators.ts_scan import parse
+
+    calls = parse("a.ts", "function f() {\n" + "".join(f"  g{i}(x.y);\n" for i in range(30_000)) + "}\n")[1][0]["calls"]
+    assert len(calls) == 30_000 and calls[-1] == {"name": "g29999", "line": 30_001}
+    open_calls = parse("a.ts", "function f() {" + "a(" * 30_000)[1][0]["calls"]  # brackets that never close
+    assert len(open_calls) == 30_000
