@@ -282,12 +282,16 @@ def fit_rows(texts: list[bytes | None], labels: list[int]) -> Model:
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, train_on: Column | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> Model:
-    """Fit on at most `max_train` labelled rows that satisfy `train_on` (an expression over the label table)."""
+    """Fit on at most `max_train` labelled rows that satisfy `train_on` (an expression over the label table).
+
+    Equal label rows count once; of documents that share an id, the least text (by bytes) is the labelled one.
+    """
     named = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     named = named.where(train_on) if train_on is not None else named
-    named = named.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).orderBy(F.xxhash64("k"), "k", "y").limit(max_train)
-    rows = documents.select(F.col(id_col).alias("k"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(named), "k").toArrow()
-    order = sorted({(k, c): i for i, (k, c) in enumerate(zip(rows.column("k").to_pylist(), rows.column("y").to_pylist()))}.items())[:max_train]
+    named = named.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).distinct().orderBy(F.xxhash64("k"), "k", "y").limit(max_train)
+    texts_of = documents.select(F.col(id_col).alias("k"), F.col(text_col).cast("binary").alias("t")).join(F.broadcast(named), "k")
+    rows = texts_of.groupBy("k", "y").agg(F.min("t").alias("t")).toArrow()  # one text for each id and label, however many rows share the id
+    order = sorted({(k, c): i for i, (k, c) in enumerate(zip(rows.column("k").to_pylist(), rows.column("y").to_pylist()))}.items())
     texts = rows.column("t").to_pylist()
     return fit_rows([texts[i] for _, i in order], [c for (_, c), _ in order])
 

@@ -194,6 +194,15 @@ def test_toxicity_defined_cases(spark):
     assert [r.score for r in none] == [0.0] and toxicity.report(df.where("false"), labels).count() == 0
 
 
+def test_toxicity_sample_stays_bounded_when_rows_share_an_id(spark, monkeypatch):
+    df = docs(spark, ["b", "c", "a"]).union(spark.createDataFrame([(0, t, "en", "s", 1) for t in ["a", "z", None] * 200], DOC))
+    labels = spark.createDataFrame([(0, 1, 1)] * 50 + [(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_rows", lambda texts, y: seen.append((texts, y)) or toxicity.Model(0.0))
+    toxicity.fit(df, labels, max_train=3)
+    assert len(seen) == 1 and sorted(zip(seen[0][1], seen[0][0])) == [(0, b"c"), (1, b"a"), (1, b"a")]
+
+
 # 3 -------------------------------------------------------------------------------------------------
 
 
