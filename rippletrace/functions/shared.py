@@ -14,9 +14,13 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir (a temporary one only where none is set) and read back."""
+    """The rows, written to the folder in spark.checkpoint.dir (a temporary one only on one machine) and read back."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "rippletrace-shared")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        folder = os.path.join(tempfile.gettempdir(), "rippletrace-shared")
     path = f"{folder.rstrip('/')}/rippletrace-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
