@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for all its machines; a temporary one only where none is set, as in tests."""
+    """The folder that the cluster names for all its machines; a temporary one only on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if spark.conf.get("spark.master", "local").split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         named = os.path.join(tempfile.gettempdir(), "rippletrace-shared")
         spark.conf.set("spark.checkpoint.dir", named)
     return named
