@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html_text, jaccard, pii, secrets, suffix_dedup, topk, toxicity
+from . import bpe, chat, decontaminate, html_text, jaccard, pii, secrets, suffix_dedup, token_counts, topk, toxicity
 from ._common import table
 
 
@@ -53,6 +53,12 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.report(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op12_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return token_counts.report(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_toxicity": op2_toxicity,
@@ -64,4 +70,5 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_topk": op9_topk,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_token_counts": op12_token_counts,
 }
