@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, html_text, jaccard, pii, secrets, suffix_dedup, token_counts, topk, toxicity
+from . import bpe, chat, decontaminate, html_text, jaccard, pii, secrets, suffix_dedup, token_counts, topk, toxicity, turn_repair
 from ._common import table
 
 
@@ -53,6 +53,10 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.report(table(spark, sf_dir, "documents"), *tokenizer())
 
 
+def op11_turn_repair(spark, sf_dir):
+    return turn_repair.report(table(spark, sf_dir, "conversations"))
+
+
 def op12_token_counts(spark, sf_dir):
     import public_tokenizers
 
@@ -70,5 +74,6 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_topk": op9_topk,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_turn_repair": op11_turn_repair,
     "op12_token_counts": op12_token_counts,
 }

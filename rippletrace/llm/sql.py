@@ -56,7 +56,54 @@ FROM f, UNNEST(range(0, (n - 1) // 256 + 1)) AS r(part)
 WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.place = f.n AND p.n > f.n AND p.body = f.body)
 """
 
+#: A space for nulls; the checksum runs over the bits of the key.
+OP11 = r"""
+WITH RECURSIVE k AS (SELECT conv_id, coalesce(CAST(conv_id AS VARCHAR), ' ') AS c, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+f AS (SELECT *, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, 8 * length(key)), lambda j: (CAST(ord(key[CAST(j // 8 + 1 AS BIGINT)]) AS BIGINT) >> CAST(j % 8 AS BIGINT)) & 1)),
+           lambda x, b: xor(x >> 1, (xor(x, b) & 1) * 3988292384)), 4294967295) % 20 AS fate FROM k),
+r AS (SELECT c, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM f, UNNEST(range(0, CASE WHEN fate = 3 THEN 2 ELSE 1 END)) WHERE fate <> 0),
+l AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text)) AS p FROM r),
+o AS (SELECT *, row_number() OVER (PARTITION BY c, role, text ORDER BY p) > 1 AS again, lead(role[1]) OVER w AS following, lead(true) OVER w AS more, count(*) OVER (PARTITION BY c) AS n
+      FROM l WINDOW w AS (PARTITION BY c ORDER BY p)),
+g AS MATERIALIZED (SELECT *, role[1] AS i, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, regexp_matches(text, '[^\x20\x09-\x0D]') AND again AS duplicate,
+             regexp_matches(text, '[^\x20\x09-\x0D]') AND NOT again AND NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS truncated FROM o),
+h AS MATERIALIZED (SELECT *, blank OR duplicate AS gone, CAST(truncated AS BIGINT) AS t FROM g),
+v AS (SELECT DISTINCT c, n + 1 AS p, CAST(0 AS BIGINT) AS v0, CAST(4 AS BIGINT) AS v1, CAST(2 AS BIGINT) AS v2, CAST(0 AS BIGINT) AS v3 FROM h
+      UNION ALL
+      SELECT c, p, least(w0, 2 + w2, 4 + w3), least(w1, 2 + w2, 4 + w3), least(w2, 2 + w3), least(w3, 2 + w2) FROM (
+        SELECT h.c, h.p,
+          least(3 + v0, CASE WHEN NOT gone THEN least(2 + t + v2, CASE i WHEN 's' THEN t + v1 WHEN 'u' THEN t + v2 WHEN '' THEN t + v0 END) END) AS w0,
+          least(3 + v1, CASE WHEN NOT gone THEN least(2 + t + v2, CASE i WHEN 'u' THEN t + v2 WHEN '' THEN t + v1 END) END) AS w1,
+          least(3 + v2, CASE WHEN NOT gone THEN least(2 + t + v3, CASE i WHEN 'a' THEN t + v3 WHEN '' THEN t + v2 END) END) AS w2,
+          least(3 + v3, CASE WHEN NOT gone THEN least(2 + t + v2, CASE i WHEN 'u' THEN t + v2 WHEN '' THEN t + v3 END) END) AS w3
+        FROM v JOIN h ON h.c = v.c AND h.p = v.p - 1)),
+z AS MATERIALIZED (SELECT c, p, [v0, v1, v2, v3] AS cost FROM v),
+e AS (SELECT z.c, z.p, q, z.cost[CAST(q + 1 AS BIGINT)] AS here, [2, 2, 3, 2][CAST(q + 1 AS BIGINT)] AS put, z.cost, y.cost AS later, role, text, i, t, gone
+      FROM z, UNNEST([0, 1, 2, 3]) AS u(q) LEFT JOIN h ON h.c = z.c AND h.p = z.p LEFT JOIN z y ON y.c = z.c AND y.p = z.p + 1),
+m AS MATERIALIZED (SELECT c, p, q,
+        CASE WHEN here = 3 + later[CAST(q + 1 AS BIGINT)] THEN 'D' WHEN here = 2 + cost[CAST(put + 1 AS BIGINT)] THEN 'I' WHEN later IS NULL THEN NULL
+             WHEN i = '' AND here = t + later[CAST(q + 1 AS BIGINT)] THEN 'K' WHEN i = 's' AND q = 0 AND here = t + later[2] THEN 'K'
+             WHEN i = 'u' AND q <> 2 AND here = t + later[3] THEN 'K' WHEN i = 'a' AND q = 2 AND here = t + later[4] THEN 'K' ELSE 'R' END AS edit, put, i, role, text FROM e),
+a AS (SELECT DISTINCT c, CAST(1 AS BIGINT) AS p, 0 AS q, '' AS audit, CAST([] AS VARCHAR[]) AS said FROM h
+      UNION ALL
+      SELECT a.c, CASE WHEN edit = 'I' THEN a.p ELSE a.p + 1 END,
+             CASE WHEN edit = 'D' OR edit = 'K' AND i = '' THEN a.q WHEN edit = 'K' THEN CASE i WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE put END,
+             audit || edit,
+             CASE edit WHEN 'D' THEN said WHEN 'K' THEN list_append(said, role || ':' || text)
+                       ELSE list_append(said, CASE WHEN a.q = 2 THEN 'assistant:' ELSE 'user:' END || CASE WHEN edit = 'R' THEN text ELSE '' END) END
+      FROM a JOIN m ON m.c = a.c AND m.p = a.p AND m.q = a.q WHERE edit IS NOT NULL),
+done AS (SELECT a.c, audit, array_to_string(said, chr(10)) AS body FROM a JOIN m ON m.c = a.c AND m.p = a.p AND m.q = a.q WHERE edit IS NULL),
+totals AS (SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+             count(*) FILTER (more AND i || following NOT IN ('su', 'ua', 'au')) AS illegal FROM h GROUP BY c)
+SELECT k.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(v0, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, c FROM k) k LEFT JOIN totals USING (c) LEFT JOIN done USING (c) LEFT JOIN v ON v.c = k.c AND v.p = 1
+"""
+
 ORACLE_SQL = {
+    "op11_turn_repair": OP11,
     "op8_chat_formatting": OP8,
     "op9_topk": OP9,
     "op1_ngram_jaccard": OP1,
