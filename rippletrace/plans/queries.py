@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from rippletrace.functions import exprs as X
 from rippletrace.functions.ordering import first_by
-from rippletrace.operators import changes, diff, enrich, graph, prisma, rules, scoring, traverse, ts_scan, usage, views
+from rippletrace.functions.shared import cut
+from rippletrace.operators import changes, diff, enrich, graph, linediff, prisma, rules, scoring, traverse, ts_scan, usage, views
 from rippletrace.plans import fixture
 from rippletrace.plans import testdata as T
 from rippletrace.plans.analyze import Options, analyze, parse
@@ -276,6 +277,18 @@ def _lines(s, d):
     )
 
 
+def line_diffs(s, d):
+    """Files that differ, and the digest of what their diffs make of the first state."""
+    base, head = T.text_files(s, d)
+    files = cut(linediff.file_diffs(base, head))
+    done = linediff.patch(base, files).select("analysis_id", F.col("path").alias("new_path"), F.sha2("content", 256).alias("patched_sha256"))
+    return files.join(done, ["analysis_id", "new_path"], "left").select("analysis_id", "old_path", "new_path", "status", "similarity", (F.col("added") - F.col("removed")).alias("net"), "patched_sha256")
+
+
+def merge_bases(s, d):
+    return linediff.merge_base(*T.order_commits(s, d))
+
+
 def line_range_join(s, d):
     return changes.lines_in_symbols(_lines(s, d), _ranges(s, d)).select("pos", "id", "no", "line_type")
 
@@ -495,7 +508,7 @@ QUERIES = {
     for f in (
         scan_supported_files, ignored_dirs, detect_language, repo_locator, diff_source, request_defaults, checkout_ref, union_sources, distinct_ids, diff_lines, diff_files,
         diff_line_class, prisma_models, prisma_fields, typed_vars, field_usages, interface_fields, call_extract, call_resolution, import_resolution, ts_property_lines, graph_nodes,
-        graph_edges, tree_declarations, tree_references, tree_nodes, tree_edges, edge_dedupe, bfs_dependents, blast_radius, combined_blast, direct_dependents, induced_subgraph, node_lookup, symbol_lookup, line_range_join, enclosing_type,
+        graph_edges, tree_declarations, tree_references, tree_nodes, tree_edges, edge_dedupe, bfs_dependents, blast_radius, combined_blast, direct_dependents, induced_subgraph, node_lookup, symbol_lookup, line_range_join, enclosing_type, line_diffs, merge_bases,
         property_pairing, symbol_changes, changes_detected, prisma_changes, id_lists, change_classify, change_dedupe, semantic_dedupe, high_impact, filter_by_type, nullable_transition, rule_cascade, rule_dedupe,
         risk_dedupe, score_risk, rank_risks, blast_score, score_label, summary_counts, sanitize_confidence, validate_enums, llm_context, llm_parse, llm_to_risk, enrich_join, risk_card,
         playback_schedule, graph_view_depth, graph_view_layout, graph_view_edges, golden_fixed,

@@ -271,6 +271,28 @@ FROM ec WINDOW p AS (PARTITION BY analysis_id, name, coalesce(before, ''), coale
     "filter_by_type": f"WITH {_EVENT_CHANGES} SELECT analysis_id, change_seq, type FROM ec WHERE type IN ('function', 'variable')",
     "nullable_transition": "SELECT 'part:' || p_partkey AS node_id, p_size % 4 = 0 AS became_nullable FROM part",
     **{f"rule_{n}": f"WITH {_CHANGED} {_rule(n)}" for n in _RULE},
+    "line_diffs": """WITH d AS (SELECT doc_id, doc_id % 13 AS kind, 'd' || doc_id AS analysis_id, coalesce(text, '') AS content, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+e AS (SELECT *, array_to_string(flatten(list_transform(range(0, len(lines)), lambda i: list_concat(CASE WHEN (i + doc_id) % 7 = 3 THEN CAST([] AS VARCHAR[]) WHEN (i + doc_id) % 5 = 2 THEN [lines[CAST(i + 1 AS BIGINT)] || '!'] ELSE [lines[CAST(i + 1 AS BIGINT)]] END,
+       CASE WHEN (i + doc_id) % 11 = 4 THEN ['new ' || i] ELSE CAST([] AS VARCHAR[]) END))), chr(10)) AS edited FROM d),
+s AS (SELECT analysis_id, kind, doc_id, CASE WHEN kind <> 6 THEN content END AS base, CASE WHEN kind = 7 THEN content WHEN kind <> 5 THEN edited END AS head FROM e),
+w AS (SELECT doc_id, side, line, count(*) AS n FROM (SELECT doc_id, 'b' AS side, unnest(string_split(regexp_replace(base, '\n$', ''), chr(10))) AS line FROM s WHERE kind = 8
+      UNION ALL SELECT doc_id, 'h', unnest(string_split(regexp_replace(head, '\n$', ''), chr(10))) FROM s WHERE kind = 8) GROUP BY ALL),
+m AS (SELECT doc_id, sum(least(a.n, b.n) * (length(line) + 1)) AS shared FROM (SELECT * FROM w WHERE side = 'b') a JOIN (SELECT * FROM w WHERE side = 'h') b USING (doc_id, line) GROUP BY doc_id),
+r AS (SELECT s.*, CASE WHEN base = '' OR head = '' THEN NULL WHEN base = head THEN 100 WHEN kind = 8 AND floor(100 * shared / greatest(length(base), length(head))) >= 50 THEN CAST(least(100, floor(100 * shared / greatest(length(base), length(head)))) AS INTEGER) END AS sim FROM s LEFT JOIN m USING (doc_id)),
+f AS (SELECT analysis_id, 't/' || doc_id || '.txt' AS old_path, CASE WHEN kind IN (7, 8) AND sim IS NOT NULL THEN 'moved/' ELSE 't/' END || doc_id || '.txt' AS new_path,
+        CASE WHEN kind = 5 THEN 'deleted' WHEN kind = 6 THEN 'added' WHEN kind IN (7, 8) AND sim IS NOT NULL THEN 'renamed' WHEN kind IN (7, 8) THEN 'split' ELSE 'modified' END AS status, CASE WHEN kind IN (7, 8) THEN sim END AS similarity, base, head, doc_id FROM r WHERE kind IN (5, 6, 7, 8) OR base <> head),
+g AS (SELECT analysis_id, old_path, new_path, status, similarity, base, head FROM f WHERE status <> 'split'
+      UNION ALL SELECT analysis_id, old_path, old_path, 'deleted', NULL, base, NULL FROM f WHERE status = 'split'
+      UNION ALL SELECT analysis_id, 'moved/' || doc_id || '.txt', 'moved/' || doc_id || '.txt', 'added', NULL, NULL, head FROM f WHERE status = 'split'),
+k AS (SELECT *, coalesce(length(head) - length(replace(head, chr(10), '')) + CAST(head <> '' AND NOT ends_with(head, chr(10)) AS INTEGER), 0) AS lh, coalesce(length(base) - length(replace(base, chr(10), '')) + CAST(base <> '' AND NOT ends_with(base, chr(10)) AS INTEGER), 0) AS lb FROM g)
+SELECT analysis_id, old_path, new_path, status, similarity, CAST(lh - lb AS BIGINT) AS net, sha256(head) AS patched_sha256 FROM k""",
+    "merge_bases": """WITH RECURSIVE o AS (SELECT CAST(o_custkey AS VARCHAR) AS c, CAST(o_orderkey AS VARCHAR) AS id, o_orderkey % 3 AS m, CAST(lag(o_orderkey, 1) OVER w AS VARCHAR) AS p1, CAST(lag(o_orderkey, 2) OVER w AS VARCHAR) AS p2, CAST(lag(o_orderkey, 3) OVER w AS VARCHAR) AS p3,
+       row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS age FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+l AS (SELECT c, id, CASE WHEN m = 1 THEN p2 ELSE p1 END AS up FROM o UNION ALL SELECT c, id, p3 FROM o WHERE m = 0),
+q AS (SELECT c, min_by(id, age) AS base, max_by(id, age) AS head FROM o WHERE age <= 2 GROUP BY c),
+a AS (SELECT c, 1 AS side, base AS id FROM q UNION SELECT c, 2, head FROM q UNION SELECT a.c, a.side, l.up FROM a JOIN l ON l.c = a.c AND l.id = a.id WHERE l.up IS NOT NULL),
+b AS (SELECT c, id FROM a GROUP BY c, id HAVING count(*) = 2)
+SELECT q.c AS analysis_id, base, head, b.id AS merge_base FROM q JOIN b USING (c) WHERE NOT EXISTS (SELECT 1 FROM b x JOIN l ON l.c = x.c AND l.id = x.id WHERE x.c = b.c AND l.up = b.id)""",
     "rule_cascade": f"""WITH {_CHANGED.replace("FROM part),", "FROM part QUALIFY row_number() OVER (PARTITION BY p_name, p_type, p_size % 4 IN (1, 3), p_size % 4 = 0 ORDER BY p_partkey) = 1),", 1)}, a AS ({_CASCADE}), r AS (SELECT *, min((change_seq, rule_rank, edge_seq)) OVER (PARTITION BY category, name, sup, title) AS f, row_number() OVER (PARTITION BY category, name, sup, title ORDER BY confidence DESC, change_seq, rule_rank, edge_seq) AS n FROM a)
 SELECT CAST(row_number() OVER (ORDER BY f) AS INTEGER) AS risk_seq, id, severity FROM r WHERE n = 1""",
     "rule_dedupe": f"""WITH {_RISKS}, r AS (SELECT analysis_id, risk_seq, min(risk_seq) OVER (PARTITION BY analysis_id, category, changed_symbol, title) AS first_seq, row_number() OVER (PARTITION BY analysis_id, category, changed_symbol, title ORDER BY confidence DESC, risk_seq) AS n FROM ir)

@@ -134,3 +134,28 @@ def item_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n < 7, n).alias("dependency_depth"), F.when(n > 1, F.array(F.lit("a"), F.col("l_returnflag"), F.col("l_linestatus"))).otherwise(F.array(F.lit("a"))).alias("failure_path"),
         F.array(F.col("l_returnflag"), F.concat(F.lit("q"), F.col("l_quantity").cast("int").cast("string"))).alias("evidence"), s.alias("suggested_fix"), F.lit(None).cast(RISK_META).alias("metadata"),
     )
+
+
+def text_files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two states (analysis_id, path, content) of each document as a file of its own analysis.
+
+    The number of a document decides whether it is only in the first state, only in the second, moved
+    as it is, moved and edited, or edited: lines by their places are dropped, changed and added.
+    """
+    n = F.col("doc_id")
+    docs = read(spark, sf_dir, "documents").select(n, F.concat(F.lit("d"), n.cast("string")).alias("analysis_id"), F.concat(F.lit("t/"), n.cast("string"), F.lit(".txt")).alias("path"), F.coalesce("text", F.lit("")).alias("content"))
+    edit = lambda line, i: F.when((i + n) % 7 == 3, F.array().cast("array<string>")).otherwise(F.array(F.when((i + n) % 5 == 2, F.concat(line, F.lit("!"))).otherwise(line)))
+    more = lambda i: F.when((i + n) % 11 == 4, F.array(F.concat(F.lit("new "), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+    lines = F.flatten(F.transform(F.split("content", "\n"), lambda line, i: F.concat(edit(line, i), more(i))))
+    moved = F.concat(F.lit("moved/"), n.cast("string"), F.lit(".txt"))
+    head = docs.where(n % 13 != 5).select("analysis_id", F.when((n % 13).isin(7, 8), moved).otherwise(F.col("path")).alias("path"), F.when(n % 13 == 7, F.col("content")).otherwise(F.array_join(lines, "\n")).alias("content"))
+    return docs.where(n % 13 != 6).select("analysis_id", "path", "content"), head
+
+
+def order_commits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(commits, pairs): the orders of each customer as a history that forks and joins, and its last two orders."""
+    by = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("analysis_id"), F.col("o_orderkey").cast("string").alias("commit"), *(F.lag(F.col("o_orderkey").cast("string"), k).over(by).alias(f"p{k}") for k in (1, 2, 3)), F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_orderkey"))).alias("age"), "o_orderkey")
+    parents = F.when(F.col("o_orderkey") % 3 == 0, F.array("p1", "p3")).when(F.col("o_orderkey") % 3 == 1, F.array("p2")).otherwise(F.array("p1"))
+    pairs = o.where("age <= 2").groupBy("analysis_id").agg(F.min_by("commit", "age").alias("base"), F.max_by("commit", "age").alias("head"))
+    return o.select("analysis_id", "commit", F.array_compact(parents).alias("parents")), pairs
