@@ -13,15 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 _written: list[tuple[SparkSession, str]] = []
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the folder in spark.checkpoint.dir (a temporary one only on one machine) and read back."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A name not used before in the folder of spark.checkpoint.dir (a temporary one only on one machine)."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if spark.conf.get("spark.master", "local").split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         folder = os.path.join(tempfile.gettempdir(), "rippletrace-shared")
-    path = f"{folder.rstrip('/')}/rippletrace-{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/rippletrace-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows, written to a new folder and read back."""
+    spark, path = df.sparkSession, new_folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippletrace.functions.exprs import EDGE, HIGH_IMPACT, STRUCTURAL_TYPES, change_type, field_id, last_dotted, normal_path, trim_ws
+from rippletrace.functions.intervals import within
 from rippletrace.functions.ordering import first_by, numbered, ordered_list
 from rippletrace.operators.diff import ts_property
 
@@ -17,13 +18,13 @@ def _with_path(lines: DataFrame) -> DataFrame:
 def lines_in_symbols(lines: DataFrame, symbols: DataFrame) -> DataFrame:
     """Removed lines by their old number and added lines by their new one, inside symbols of the same file.
 
-    The path is the equi key, so the range condition only filters within a file.
+    Lines and ranges of a file meet by bins, so a long file with many symbols is no product of both.
     Numbers of both sides are held against the ranges of the head side.
     """
     keyed = _with_path(lines).where(F.col("type").isin("added", "removed")).withColumn("no", F.when(F.col("type") == "removed", F.col("old_line")).otherwise(F.col("new_line")))
     keyed = keyed.select("analysis_id", "path_key", "file_seq", "hunk_seq", "pos", F.col("type").alias("line_type"), "content", "no")
     ranges = symbols.withColumn("path_key", normal_path(F.col("file_path")))
-    return keyed.join(ranges, ["analysis_id", "path_key"]).where(F.col("no").between(F.col("start_line"), F.col("end_line")))
+    return within(keyed, ranges, ["analysis_id", "path_key"], "no", "start_line", "end_line")
 
 
 def _sides(hit: DataFrame, trimmed: bool) -> DataFrame:
@@ -54,9 +55,9 @@ def _path_of():
 
 def enclosing_type(points: DataFrame, symbols: DataFrame) -> DataFrame:
     """`points` (analysis_id, path_key, no, …) with the smallest interface or type around the line; the earlier symbol on ties."""
-    typed = symbols.where(F.col("type").isin("interface", "type")).select("analysis_id", normal_path(F.col("file_path")).alias("path_key"), F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "symbol_seq", F.col("name").alias("name"), "file_path", "start_line", "end_line").alias("t"))
+    typed = symbols.where(F.col("type").isin("interface", "type")).select("analysis_id", normal_path(F.col("file_path")).alias("path_key"), F.struct((F.col("end_line") - F.col("start_line")).alias("span"), "symbol_seq", F.col("name").alias("name"), "file_path").alias("t"), F.col("start_line").alias("_start"), F.col("end_line").alias("_end"))
     keys = points.columns
-    hit = points.join(typed, ["analysis_id", "path_key"]).where(F.col("no").between(F.col("t.start_line"), F.col("t.end_line")))
+    hit = within(points, typed, ["analysis_id", "path_key"], "no", "_start", "_end")
     return hit.groupBy(*keys).agg(F.min("t").alias("t")).select(*keys, F.col("t.name").alias("parent"), F.col("t.file_path").alias("file_path"))
 
 

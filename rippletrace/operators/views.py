@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,27 +41,54 @@ def step_state(step: Column, current: Column) -> Column:
     return F.when(step < current, "active").when(step == current, "current").otherwise("waiting")
 
 
-def neighbourhood(edges: DataFrame, chosen: DataFrame, *, exact: bool = False) -> DataFrame:
-    """(analysis_id, id): chosen nodes and their neighbours.
+#: Before every edge.
+NEVER = -(2**63)
+
+
+def _improved(found: DataFrame, parts: list[DataFrame], value: str) -> DataFrame:
+    """Rows of `found` (analysis_id, id, value, …) whose value is less than all before; `parts` are put together when they are many."""
+    if len(parts) > 8:
+        every = parts[0]
+        for p in parts[1:]:
+            every = every.unionByName(p)
+        parts[:] = [cut(every.groupBy("analysis_id", "id").agg(F.min(value).alias(value)))]
+    known = parts[0]
+    for p in parts[1:]:
+        known = known.unionByName(p)
+    known = known.groupBy("analysis_id", "id").agg(F.min(value).alias("_known"))
+    return cut(found.join(known, ["analysis_id", "id"], "left").where(F.col("_known").isNull() | (F.col(value) < F.col("_known"))).drop("_known"))
+
 
-    The bounded form takes one hop. `exact` repeats the single sweep over edges in
-    order in which the set grows while it is read; it holds one analysis in a task.
+def joining_times(edges: DataFrame, chosen: DataFrame) -> DataFrame:
+    """(analysis_id, id, joined): when each node joins the set that one sweep over the edges in order grows from the chosen nodes.
+
+    An edge lets its ends join if one of them is inside when it is read. So a node joins at the least number
+    of an edge whose other end joined before that edge; these minima are followed to
+    their fixpoint, a written step for each hop. Chosen nodes have joined before every edge.
     """
-    if not exact:
-        pairs = edges.select("analysis_id", F.col("source").alias("id"), F.col("target").alias("other")).unionByName(edges.select("analysis_id", F.col("target").alias("id"), F.col("source").alias("other")))
-        near = pairs.join(chosen.select("analysis_id", "id").distinct(), ["analysis_id", "id"]).select("analysis_id", F.col("other").alias("id"))
-        return chosen.select("analysis_id", "id").unionByName(near).distinct()
-    ends = edges.select("analysis_id", "edge_seq", "source", "target").unionByName(chosen.distinct().select("analysis_id", F.lit(-1).cast(dict(edges.dtypes)["edge_seq"]).alias("edge_seq"), F.col("id").alias("source"), F.col("id").alias("target")))
+    both = lambda a, b: edges.select("analysis_id", F.col(a).alias("id"), F.col(b).alias("other"), F.col("edge_seq").cast("long").alias("edge_seq"))
+    ends = both("source", "target").unionByName(both("target", "source"))
+    level = chosen.select("analysis_id", "id").distinct().withColumn("joined", F.lit(NEVER).cast("long"))
+    parts = [level]
+    while True:
+        step = level.join(ends, ["analysis_id", "id"]).where(F.col("edge_seq") > F.col("joined"))
+        level = _improved(step.groupBy("analysis_id", F.col("other").alias("id")).agg(F.min("edge_seq").alias("joined")), parts, "joined")
+        if level.isEmpty():
+            break
+        parts.append(level)
+    every = parts[0]
+    for p in parts[1:]:
+        every = every.unionByName(p)
+    return every.groupBy("analysis_id", "id").agg(F.min("joined").alias("joined"))
 
-    def sweep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("edge_seq", kind="stable")
-        inside: dict[str, None] = {}
-        for seq, source, target in zip(rows.edge_seq, rows.source, rows.target):
-            if seq < 0 or source in inside or target in inside:
-                inside[source] = inside[target] = None
-        return pd.DataFrame({"analysis_id": rows.analysis_id.iloc[0], "id": list(inside)})
 
-    return ends.groupBy("analysis_id").applyInPandas(sweep, "analysis_id string, id string")
+def neighbourhood(edges: DataFrame, chosen: DataFrame, *, exact: bool = False) -> DataFrame:
+    """(analysis_id, id): chosen nodes and their neighbours; `exact`: all that join in the single growing sweep over the edges in order."""
+    if exact:
+        return joining_times(edges, chosen).select("analysis_id", "id")
+    pairs = edges.select("analysis_id", F.col("source").alias("id"), F.col("target").alias("other")).unionByName(edges.select("analysis_id", F.col("target").alias("id"), F.col("source").alias("other")))
+    near = pairs.join(chosen.select("analysis_id", "id").distinct(), ["analysis_id", "id"]).select("analysis_id", F.col("other").alias("id"))
+    return chosen.select("analysis_id", "id").unionByName(near).distinct()
 
 
 def shown_nodes(nodes: DataFrame, near: DataFrame) -> DataFrame:
@@ -72,19 +98,28 @@ def shown_nodes(nodes: DataFrame, near: DataFrame) -> DataFrame:
 
 
 def depths(edges: DataFrame, changed: DataFrame) -> DataFrame:
-    """(analysis_id, id, depth): least number of edges down to a changed node, within `SWEEPS` hops.
+    """(analysis_id, id, depth): distance to a changed node as `SWEEPS` sweeps over the edges in order find it, each using what it found itself.
 
-    Each sweep follows the edges into the nodes that the one before it reached first, and is written.
+    Such sweeps find a path, read from the changed node, if its edge numbers fall at most `SWEEPS` - 1 times; the
+    depth is the length of the shortest one found. A node may be reached by more edges but fewer falls, so each
+    has labels (falls, last edge) that get less as depths grow; only a lesser label goes on. One written step for each depth.
     """
-    links = edges.select("analysis_id", F.col("target").alias("id"), "source")
-    level = found = changed.select("analysis_id", "id").distinct().withColumn("depth", F.lit(0))
-    for sweep in range(1, SWEEPS + 1):
-        step = level.join(links, ["analysis_id", "id"]).select("analysis_id", F.col("source").alias("id")).distinct()
-        level = cut(step.join(found, ["analysis_id", "id"], "left_anti").withColumn("depth", F.lit(sweep)))
+    links = edges.select("analysis_id", F.col("target").alias("id"), "source", F.col("edge_seq").cast("long").alias("edge_seq"))
+    level = changed.select("analysis_id", "id").distinct().withColumn("label", F.struct(F.lit(0).alias("falls"), F.lit(NEVER).cast("long").alias("edge")))
+    found, parts, depth = [level.select("analysis_id", "id", F.lit(0).alias("depth"))], [level], 0
+    while True:
+        depth += 1
+        falls = F.col("label.falls") + (F.col("edge_seq") <= F.col("label.edge")).cast("int")
+        step = level.join(links, ["analysis_id", "id"]).select("analysis_id", F.col("source").alias("id"), F.struct(falls.alias("falls"), F.col("edge_seq").alias("edge")).alias("label")).where(F.col("label.falls") < SWEEPS)
+        level = _improved(step.groupBy("analysis_id", "id").agg(F.min("label").alias("label")), parts, "label")
         if level.isEmpty():
             break
-        found = found.unionByName(level)
-    return found
+        parts.append(level)
+        found.append(level.select("analysis_id", "id", F.lit(depth).alias("depth")))
+    every = found[0]
+    for f in found[1:]:
+        every = every.unionByName(f)
+    return every.groupBy("analysis_id", "id").agg(F.min("depth").alias("depth"))
 
 
 def layout(shown: DataFrame, depth: DataFrame, changed: DataFrame, affected: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Registered queries: each applies operators of the engine to whole test tables or to literal fixtures."""
+"""Registered queries: each applies operators of the engine to whole test tables."""
 
 from __future__ import annotations
 
@@ -9,9 +9,8 @@ from rippletrace.functions import exprs as X
 from rippletrace.functions.ordering import first_by
 from rippletrace.functions.shared import cut
 from rippletrace.operators import changes, diff, enrich, graph, linediff, prisma, rules, scoring, traverse, ts_scan, usage, views
-from rippletrace.plans import fixture
 from rippletrace.plans import testdata as T
-from rippletrace.plans.analyze import Options, analyze, parse
+from rippletrace.plans.analyze import parse
 from rippletrace.schemas import CALLS, SYMBOL_META
 from rippletrace.sources import files as S
 
@@ -237,7 +236,10 @@ def direct_dependents(s, d):
 
 
 def induced_subgraph(s, d):
-    return graph.induced(T.lineage_edges(s, d), T.lineage_nodes(s, d).select("analysis_id", "id")).select("edge_seq", "source", "target")
+    """The edges among what one region reaches, and the region."""
+    edges, seed = T.lineage_edges(s, d), T.region_seeds(s, d).where("seed_seq = 0")
+    chosen = traverse.dependents(edges, seed).select("analysis_id", F.col("node_id").alias("id")).unionByName(seed.select("analysis_id", F.col("seed").alias("id")))
+    return graph.induced(edges, chosen).select("edge_seq", "source", "target")
 
 
 def node_lookup(s, d):
@@ -481,28 +483,19 @@ def graph_view_layout(s, d):
     return views.layout(shown, views.depths(edges, changed), changed, affected).drop("analysis_id")
 
 
+def graph_view_joined(s, d):
+    """When each node joins the drawn neighbourhood as it grows along the edges from the parts of one size."""
+    edges = T.lineage_edges(s, d)
+    chosen = T.read(s, d, "part").where("p_size = 7").select(F.lit(T.STAR).alias("analysis_id"), F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"))
+    return views.joining_times(edges, chosen).select("id", F.when(F.col("joined") != views.NEVER, F.col("joined")).alias("joined"))
+
+
 def graph_view_edges(s, d):
     edges, nodes, changed, affected = _view(s, d)
     shown = views.shown_nodes(nodes, views.neighbourhood(edges, changed.unionByName(affected)))
     return views.drawn_edges(edges, shown, changed).select("id", "source", "target", "animated")
 
 
-# The golden repository -----------------------------------------------------------------------------
-
-
-def _golden(table, *columns):
-    def query(s, d):
-        t = analyze(*fixture.frames(s))[table]
-        return t.select(*columns)
-
-    return query
-
-
-def golden_fixed(s, d):
-    t = analyze(*fixture.frames(s), options=Options(prisma_line_fix=True))["changes"]
-    return t.select("change_seq", "node_id", "type", "change_type", "before", "after")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
@@ -511,11 +504,9 @@ QUERIES = {
         graph_edges, tree_declarations, tree_references, tree_nodes, tree_edges, edge_dedupe, bfs_dependents, blast_radius, combined_blast, direct_dependents, induced_subgraph, node_lookup, symbol_lookup, line_range_join, enclosing_type, line_diffs, merge_bases,
         property_pairing, symbol_changes, changes_detected, prisma_changes, id_lists, change_classify, change_dedupe, semantic_dedupe, high_impact, filter_by_type, nullable_transition, rule_cascade, rule_dedupe,
         risk_dedupe, score_risk, rank_risks, blast_score, score_label, summary_counts, sanitize_confidence, validate_enums, llm_context, llm_parse, llm_to_risk, enrich_join, risk_card,
-        playback_schedule, graph_view_depth, graph_view_layout, graph_view_edges, golden_fixed,
+        playback_schedule, graph_view_depth, graph_view_layout, graph_view_edges, graph_view_joined,
     )
 }
 QUERIES |= {
     "rule_method": _rule(rules.nullable_method), "rule_argument": _rule(rules.nullable_argument), "rule_access": _rule(rules.nullable_access), "rule_deleted": _rule(rules.deleted_symbol), "rule_signature": _rule(rules.signature_change),
-    "golden_nodes": _golden("nodes", "node_seq", "id", "type"), "golden_edges": _golden("edges", "edge_seq", "id", "type"), "golden_affected": _golden("affected", "out_seq", "node_id", "depth"),
-    "golden_risks": _golden("risks", "rank", "id", "severity", "score"), "golden_summary": _golden("summary", "changed", "affected", "risks", "critical", "high", "score"),
 }

@@ -100,6 +100,9 @@ def _rule(name: str) -> str:
 
 _CASCADE = " UNION ALL ".join(f"SELECT {k} AS rule_rank, r.*, j2.name, j2.sup FROM ({_rule(n)}) r JOIN j j2 USING (change_seq, edge_seq)" for n, k in (("method", 0), ("argument", 0), ("access", 0), ("deleted", 1), ("signature", 2)))
 
+#: The risks of all rules, `f` by first place and `n` by strength in each group.
+CASCADE_RISKS = f"""WITH {_CHANGED.replace("FROM part),", "FROM part QUALIFY row_number() OVER (PARTITION BY p_name, p_type, p_size % 4 IN (1, 3), p_size % 4 = 0 ORDER BY p_partkey) = 1),", 1)}, a AS ({_CASCADE}), r AS (SELECT *, min((change_seq, rule_rank, edge_seq)) OVER (PARTITION BY category, name, sup, title) AS f, row_number() OVER (PARTITION BY category, name, sup, title ORDER BY confidence DESC, change_seq, rule_rank, edge_seq) AS n FROM a)"""
+
 _RISKS = """ir AS (SELECT o_orderpriority AS analysis_id, ((l_orderkey * 8 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey AS risk_seq, l_orderkey || '-' || l_linenumber AS id, ' Risk of ' || l_returnflag || l_linestatus AS title,
   ['security', 'runtime', 'type', 'dependency', 'performance', 'other'][l_partkey % 6 + 1] AS category, ['critical', 'high', 'medium', 'low'][l_suppkey % 4 + 1] AS severity,
   CASE WHEN l_linenumber = 1 THEN l_discount * 1000 ELSE l_discount * 10 END AS confidence, ['static', 'ai', 'hybrid', 'manual'][l_linenumber % 4 + 1] AS source,
@@ -150,37 +153,6 @@ UNION ALL SELECT 'src/c' || c_custkey || '.ts:function:f' || c_custkey, 'field:N
 _ANSWERED = """e AS (SELECT event_id, user_id, event_type, value, event_id % 4 AS m FROM events WHERE event_id % 4 IN (0, 3))"""
 _CODE = """c AS (SELECT p_partkey AS symbol_seq, 'User' || p_size % 5 AS u, 'b' || p_size % 3 AS b, 'c' || p_size % 2 AS c FROM part)"""
 
-GOLDEN_IDS = {
-    "route": "app/api/users/route.ts", "billing": "src/billing.ts", "mailer": "src/mailer.ts", "profile": "src/profile.ts", "types": "src/types.ts", "schema": "prisma/schema.prisma",
-}
-
-
-def _golden_values() -> dict[str, str]:
-    f = {k: f"{p}:file:{p}" for k, p in GOLDEN_IDS.items()}
-    post, sync, send, label = "app/api/users/route.ts:api_route:POST", "src/billing.ts:function:syncBilling", "src/mailer.ts:function:sendWelcome", "src/profile.ts:function:label"
-    user, model = "src/types.ts:interface:User", "prisma/schema.prisma:database_model:User"
-    fields = [f"prisma/schema.prisma:database_field:User.{x}" for x in ("id", "email", "phone")]
-    nodes = [(f["route"], "file"), (post, "api_route"), (f["billing"], "file"), (sync, "function"), (f["mailer"], "file"), (send, "function"), (f["profile"], "file"), (label, "function"), (f["types"], "file"), (user, "interface"), (f["schema"], "file"), (model, "database_model")]
-    nodes += [(x, "database_field") for x in fields] + [("field:User.id", "type"), ("field:User.email", "type"), ("field:User.phone", "database_field")]
-    email = "field:User.email"
-    edges = [(f["route"], post, "contains"), (f["billing"], sync, "contains"), (f["mailer"], send, "contains"), (f["profile"], label, "contains"), (f["types"], user, "contains"), (f["schema"], model, "contains")] + [(f["schema"], x, "contains") for x in fields]
-    edges += [(f["route"], f["mailer"], "imports"), (f["billing"], f["types"], "imports"), (f["mailer"], f["types"], "imports"), (f["mailer"], f["billing"], "imports"), (f["profile"], f["types"], "imports"), (post, send, "calls"), (send, sync, "calls")]
-    ids = [f"{a}->{b}:{t}" for a, b, t in edges] + [f"{sync}->{email}:uses_field:method_call:toLowerCase", f"{send}->{email}:uses_field:argument:deliver", f"{label}->{email}:uses_field:property_access:access"]
-    types = [t for *_, t in edges] + ["uses_field"] * 3
-    affected = [(sync, 1), (send, 1), (label, 1), (f["billing"], 2), (f["mailer"], 2), (post, 2), (f["profile"], 2), (f["route"], 3)]
-    risks = [(f"static:nullable-method-toLowerCase:{email}:{sync}", "critical", 98), (f"static:nullable-argument-deliver:{email}:{send}", "high", 79), (f"static:nullable-property-access:{email}:{label}", "medium", 45)]
-    q = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x + "'"
-    table = lambda rows, *names: "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(q, r)) + ")" for r in rows) + f") AS v({', '.join(names)})"
-    return {
-        "golden_nodes": table([(k, *n) for k, n in enumerate(nodes, 1)], "node_seq", "id", "type"),
-        "golden_edges": table([(k, i, t) for k, (i, t) in enumerate(zip(ids, types), 1)], "edge_seq", "id", "type"),
-        "golden_affected": table([(k, *a) for k, a in enumerate(affected, 1)], "out_seq", "node_id", "depth"),
-        "golden_risks": table([(k, *r) for k, r in enumerate(risks, 1)], "rank", "id", "severity", "score"),
-        "golden_summary": "SELECT CAST(1 AS BIGINT) AS changed, CAST(8 AS BIGINT) AS affected, CAST(3 AS BIGINT) AS risks, CAST(1 AS BIGINT) AS critical, CAST(1 AS BIGINT) AS high, 88 AS score",
-        "golden_fixed": table([(1, email, "database_field", "type_changed", "email String", "email String?"), (2, "field:User.phone", "database_field", "added", None, "phone String?"), (3, email, "type", "type_changed", "email: string;", "email: string | null;")], "change_seq", "node_id", "type", "change_type", "before", "after"),
-    }
-
-
 ORACLE_SQL = {
     "scan_supported_files": f"WITH {_PAGES} SELECT path, CAST(octet_length(encode(content)) AS BIGINT) AS size, {_LANGUAGE} AS language FROM f WHERE folder IN ('src', 'distant') AND ext NOT IN ('.JS', '.css')",
     "ignored_dirs": f"WITH {_PAGES} SELECT path, folder IN ('node_modules', 'a/dist') AS ignored, ext NOT IN ('.JS', '.css') AS supported FROM f",
@@ -247,7 +219,7 @@ f AS (SELECT node_id, arg_min((depth, seed, path), (depth, seed_seq)) AS w, min(
 g AS (SELECT node_id, w[1] AS depth, w[2] AS seed, w[3] AS path, first FROM f)
 SELECT CAST(row_number() OVER (ORDER BY depth, first) AS INTEGER) AS out_seq, node_id, depth, seed, path FROM g""",
     "direct_dependents": "SELECT 'part:' || l_partkey AS target, 'supplier:' || l_suppkey AS id, s_name AS name, count(*) AS edges FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY ALL",
-    "induced_subgraph": f"WITH {LN}, {LE} SELECT edge_seq, source, target FROM le WHERE source IN (SELECT id FROM ln) AND target IN (SELECT id FROM ln)",
+    "induced_subgraph": f"WITH {LN}, {LE}, {_levels("SELECT 0 AS seed_seq, 'region:0' AS seed")}, chosen AS (SELECT DISTINCT node_id FROM bfs UNION ALL SELECT 'region:0') SELECT edge_seq, source, target FROM le WHERE source IN (SELECT node_id FROM chosen) AND target IN (SELECT node_id FROM chosen)",
     "node_lookup": "SELECT DISTINCT 'customer:' || c_custkey AS id, c_name AS name, 'customer' AS type FROM events JOIN customer ON c_custkey = user_id",
     "symbol_lookup": "SELECT 'f' || c_nationkey AS name, 'customer:' || min(c_custkey) AS first, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY c_nationkey",
     "line_range_join": f"WITH {_TOUCH} SELECT CAST(event_id AS INTEGER) AS pos, rg.path || ':' || kind || ':' || name AS id, no, t AS line_type FROM ln_ JOIN rg ON ln_.path = rg.path AND no BETWEEN lo AND hi WHERE t <> 'context'",
@@ -293,7 +265,7 @@ q AS (SELECT c, min_by(id, age) AS base, max_by(id, age) AS head FROM o WHERE ag
 a AS (SELECT c, 1 AS side, base AS id FROM q UNION SELECT c, 2, head FROM q UNION SELECT a.c, a.side, l.up FROM a JOIN l ON l.c = a.c AND l.id = a.id WHERE l.up IS NOT NULL),
 b AS (SELECT c, id FROM a GROUP BY c, id HAVING count(*) = 2)
 SELECT q.c AS analysis_id, base, head, b.id AS merge_base FROM q JOIN b USING (c) WHERE NOT EXISTS (SELECT 1 FROM b x JOIN l ON l.c = x.c AND l.id = x.id WHERE x.c = b.c AND l.up = b.id)""",
-    "rule_cascade": f"""WITH {_CHANGED.replace("FROM part),", "FROM part QUALIFY row_number() OVER (PARTITION BY p_name, p_type, p_size % 4 IN (1, 3), p_size % 4 = 0 ORDER BY p_partkey) = 1),", 1)}, a AS ({_CASCADE}), r AS (SELECT *, min((change_seq, rule_rank, edge_seq)) OVER (PARTITION BY category, name, sup, title) AS f, row_number() OVER (PARTITION BY category, name, sup, title ORDER BY confidence DESC, change_seq, rule_rank, edge_seq) AS n FROM a)
+    "rule_cascade": f"""{CASCADE_RISKS}
 SELECT CAST(row_number() OVER (ORDER BY f) AS INTEGER) AS risk_seq, id, severity FROM r WHERE n = 1""",
     "rule_dedupe": f"""WITH {_RISKS}, r AS (SELECT analysis_id, risk_seq, min(risk_seq) OVER (PARTITION BY analysis_id, category, changed_symbol, title) AS first_seq, row_number() OVER (PARTITION BY analysis_id, category, changed_symbol, title ORDER BY confidence DESC, risk_seq) AS n FROM ir)
 SELECT analysis_id, risk_seq, first_seq FROM r WHERE n = 1""",
@@ -329,6 +301,9 @@ SELECT analysis_id, q AS playback_seq, CAST(step AS INTEGER) AS step, failure_pa
     "graph_view_depth": f"WITH {_VIEW} SELECT id, depth FROM dp",
     "graph_view_layout": f"""WITH {_VIEW}, x AS (SELECT shown.id, name, node_seq, coalesce(dp.depth, 5) AS depth FROM shown LEFT JOIN dp ON dp.id = shown.id)
 SELECT id, name, depth, depth * 280 AS x, CAST((row_number() OVER (PARTITION BY depth ORDER BY node_seq) - 1) * 110 AS INTEGER) AS y, CASE WHEN id IN (SELECT id FROM ch) THEN 'changed' WHEN id IN (SELECT id FROM aff) THEN 'affected' ELSE 'other' END AS node_class FROM x""",
+    "graph_view_joined": f"""WITH RECURSIVE {LE}, b AS MATERIALIZED (SELECT source AS u, target AS v, edge_seq AS e FROM le UNION ALL SELECT target, source, edge_seq FROM le),
+j(id, t) USING KEY (id) AS (SELECT 'part:' || p_partkey, CAST(-1 AS BIGINT) FROM part WHERE p_size = 7
+  UNION ALL (SELECT b.v, min(b.e) FROM j JOIN b ON b.u = j.id AND b.e > j.t LEFT JOIN recurring.j k ON k.id = b.v GROUP BY b.v, k.t HAVING k.t IS NULL OR min(b.e) < k.t))
+SELECT id, CASE WHEN t >= 0 THEN t END AS joined FROM j""",
     "graph_view_edges": f"WITH {_VIEW} SELECT source || '->' || target || ':depends_on' AS id, target AS source, source AS target, target IN (SELECT id FROM ch) AS animated FROM le WHERE source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown)",
-    **_golden_values(),
 }

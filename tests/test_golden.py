@@ -2,9 +2,9 @@
 
 import pytest
 
-from rippletrace.plans import fixture
 from rippletrace.plans.analyze import Options, analyze, result
-from rippletrace.plans.sql import _golden_values
+
+from . import fixture
 
 
 @pytest.fixture(scope="module")
@@ -16,8 +16,8 @@ def tables(spark):
 def test_rows(tables, name, order):
     import duckdb
 
-    want = duckdb.sql(_golden_values()[name]).fetchall()
-    columns = [d[0] for d in duckdb.sql(_golden_values()[name]).description]
+    want = duckdb.sql(fixture.golden_values()[name]).fetchall()
+    columns = [d[0] for d in duckdb.sql(fixture.golden_values()[name]).description]
     got = [tuple(r) for r in tables[name.removeprefix("golden_")].orderBy(order).select(*columns).collect()]
     assert got == sorted(want)
 

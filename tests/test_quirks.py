@@ -4,10 +4,11 @@ from pyspark.sql import functions as F
 
 from rippletrace.functions import exprs as X
 from rippletrace.operators import changes, diff, enrich, graph, prisma, rules, scoring, traverse, ts_scan, usage
-from rippletrace.plans import fixture
 from rippletrace.plans.analyze import Options, analyze
 from rippletrace.sources import files as S
 
+from . import fixture
+
 
 def lines(spark, text, **flags):
     return diff.parse_lines(spark.createDataFrame([("a", text)], "analysis_id string, diff string"), **flags).orderBy("pos").collect()

@@ -1,11 +1,14 @@
 """Views in their exact forms, prompts, contexts and answers."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from rippletrace.operators import enrich, views
-from rippletrace.plans import fixture
 from rippletrace.plans.analyze import analyze
 
+from . import fixture
+
 
 def edges(spark, pairs):
     return spark.createDataFrame([("a", k, s, t) for k, (s, t) in enumerate(pairs)], "analysis_id string, edge_seq long, source string, target string")
@@ -18,10 +21,38 @@ def test_exact_sweep_depends_on_edge_order(spark):
     assert ids([("y", "x"), ("z", "y")], False) == {"x", "y"}
 
 
-def test_depths_stop_after_six_hops(spark):
-    chain = [(f"n{k + 1}", f"n{k}") for k in range(9)]
-    changed = spark.createDataFrame([("a", "n0")], "analysis_id string, id string")
-    assert {r.id: r.depth for r in views.depths(edges(spark, chain), changed).collect()} == {f"n{k}": k for k in range(7)}
+def sweeps(pairs, changed):
+    """Depths by six sweeps in place, and joining numbers by one."""
+    depth, joined = dict.fromkeys(changed, 0), dict.fromkeys(changed, views.NEVER)
+    for _ in range(views.SWEEPS):
+        for source, target in pairs:
+            if target in depth and depth[target] + 1 < depth.get(source, 10**9):
+                depth[source] = depth[target] + 1
+    for k, (source, target) in enumerate(pairs):
+        if source in joined or target in joined:
+            joined.setdefault(source, k)
+            joined.setdefault(target, k)
+    return depth, joined
+
+
+def test_sweeps_of_every_order(spark):
+    rng, graphs = random.Random(8), {}
+    for n in (3, 6, 7, 8, 20, 30):
+        chain = [(f"n{k + 1}", f"n{k}") for k in range(n)]
+        graphs[f"up{n}"], graphs[f"down{n}"] = (chain, ["n0"]), (chain[::-1], ["n0"])
+    for g in range(60):
+        n = rng.randrange(2, 14)
+        graphs[f"g{g}"] = ([(f"n{rng.randrange(n)}", f"n{rng.randrange(n)}") for _ in range(rng.randrange(1, 30))], [f"n{rng.randrange(n)}" for _ in range(rng.randrange(1, 3))])
+    every = spark.createDataFrame([(g, k, s, t) for g, (pairs, _) in graphs.items() for k, (s, t) in enumerate(pairs)], "analysis_id string, edge_seq int, source string, target string")
+    changed = spark.createDataFrame([(g, c) for g, (_, cs) in graphs.items() for c in cs], "analysis_id string, id string")
+    depth, joined = {g: {} for g in graphs}, {g: {} for g in graphs}
+    for r in views.depths(every, changed).collect():
+        depth[r.analysis_id][r.id] = r.depth
+    for r in views.joining_times(every, changed).collect():
+        joined[r.analysis_id][r.id] = r.joined
+    for g, (pairs, start) in graphs.items():
+        assert (depth[g], joined[g]) == sweeps(pairs, start), g
+    assert max(depth["up30"].values()) == 30 and max(depth["down30"].values()) == 6
 
 
 def test_contexts_hold_code_components_and_edges(spark):
