@@ -54,7 +54,8 @@ TABLE = 4096
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math".split())
+RAW = frozenset("script style textarea title noscript template iframe svg".split())
+FOREIGN = frozenset("svg math".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -73,41 +74,67 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-_ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)")
+_ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 _WORD = re.compile(r"[a-z]+")
+#: A name part after one of these says how the rest is laid out, not what the element is.
+LAYOUT = frozenset("no non not without with has hide hidden is".split())
 
 
 class Node:
-    __slots__ = ("tag", "key", "children", "junk", "named")
+    __slots__ = ("tag", "key", "children", "junk", "named", "loose")
 
-    def __init__(self, tag: str, key: str, junk: bool, named: bool = False):
+    def __init__(self, tag: str, key: str, junk: bool, named: bool = False, loose: bool = False):
         self.tag, self.key, self.junk, self.named = tag, key, junk, named  # named: a class or id alone makes it boilerplate
+        self.loose = loose  # named only by a part of a name, as in social-science
         self.children: list = []  # nodes and strings
 
 
+def _named(value: str) -> int:
+    """2: a class or id is one of `WORDS`; 1: a part of one is; 0: none."""
+    found = 0
+    for name in value.split():
+        words = _WORD.findall(name)
+        if len(words) == 1 and words[0] in WORDS:
+            return 2
+        if not WORDS.isdisjoint(words) and LAYOUT.isdisjoint(words):
+            found = 1
+    return found
+
+
 def _node(tag: str, attributes: str, inside_article: bool) -> Node:
-    name, named, junk = "", False, tag in DROPPED or tag in RAW or (tag == "header" and not inside_article)
-    if attributes and "=" in attributes:
-        for k, v in _ATTRIBUTE.findall(attributes):
-            k, v = k.lower(), v.strip("\"'").lower()
-            if k == "class":
-                name = re.sub(r"\d+", "#", v)
-            if k in ("class", "id") and tag not in ("html", "body", "article", "main"):
-                named = named or not WORDS.isdisjoint(_WORD.findall(v))
-            elif k == "role":
-                junk = junk or v in ROLES
-            elif k == "aria-hidden" and v == "true":
-                junk = True
-        if re.search(r"(?:^|\s)hidden(?:\s|$|=)", attributes):
+    name, named, junk = "", 0, tag in DROPPED or tag in RAW or (tag == "header" and not inside_article)
+    for k, v in _ATTRIBUTE.findall(attributes) if attributes else ():
+        k, v = k.lower(), v.strip("\"'").lower()
+        if k == "class":
+            name = re.sub(r"\d+", "#", v)
+        if k in ("class", "id"):
+            if tag not in ("html", "body", "article", "main"):
+                named = max(named, _named(v))
+        elif k == "role":
+            junk = junk or v in ROLES
+        elif k == "hidden" or k == "aria-hidden" and v == "true":
             junk = True
-    return Node(tag, f"{tag}.{name}", junk or named, named and not junk)
+    return Node(tag, f"{tag}.{name}", junk or named > 0, named > 0 and not junk, named == 1 and not junk)
 
 
 def parse(source: str) -> Node:
-    """The element tree of a page; missing ends are implied."""
+    """The element tree of a page; missing ends are implied. A part of a name does not make what holds most of the text boilerplate."""
     root = Node("html", "html.", False)
     stack, at, low = [root], 0, None
-    articles = 0
+    is_open: Counter = Counter()  # open elements by tag
+    marks = [0]  # places in the stack of blocks and of what an option ends at
+    articles = foreign = 0
+
+    def close_from(k: int) -> None:
+        nonlocal articles, foreign
+        for n in stack[k:]:
+            is_open[n.tag] -= 1
+            articles -= n.tag == "article"
+            foreign -= n.tag in FOREIGN
+        del stack[k:]
+        while marks[-1] >= k:
+            marks.pop()
+
     match = _TOKEN.search(source)
     while match:
         if match.start() > at:
@@ -117,64 +144,81 @@ def parse(source: str) -> Node:
         if tag:
             tag = tag.lower()
             if close:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        articles -= sum(n.tag == "article" for n in stack[k:])
-                        del stack[k:]
-                        break
+                if is_open[tag]:
+                    close_from(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             elif tag == "br" or tag == "wbr":
                 stack[-1].children.append(" " if tag == "br" else "")
             elif tag == "html":
                 pass
             else:
                 ends, scope = CLOSES.get(tag, ()), SCOPE.get(tag, ())
-                if tag in BLOCK and tag != "body":
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].tag == "p":
-                            del stack[k:]
-                            break
-                        if stack[k].tag in BLOCK:
-                            break
-                if ends:
-                    for k in range(len(stack) - 1, 0, -1):
+                if tag in BLOCK and tag != "body" and stack[marks[-1]].tag == "p":
+                    close_from(marks[-1])
+                if any(is_open[e] for e in ends):
+                    for k in reversed(marks[1:]):
                         if stack[k].tag in scope:
                             break
                         if stack[k].tag in ends:
-                            del stack[k:]
+                            close_from(k)
                             break
                 if tag == "body":
-                    del stack[1:]
+                    close_from(1)
                 node = _node(tag, attributes, articles > 0)
                 stack[-1].children.append(node)
-                if tag in RAW and not attributes.endswith("/"):
+                empty = attributes.endswith("/") and (foreign > 0 or tag in FOREIGN)  # elsewhere a slash means nothing
+                if tag in RAW and not empty:
                     low = low or source.lower()
                     if len(low) != len(source):  # a character changed length in lower case
                         low = re.sub("[A-Z]", lambda m: m[0].lower(), source)
                     end = low.find(f"</{tag}", at)
                     at = len(source) if end < 0 else end
-                elif tag not in VOID and not attributes.endswith("/"):
+                elif tag not in VOID and not empty:
+                    if tag in BLOCK or tag in ("option", "select"):
+                        marks.append(len(stack))
                     stack.append(node)
+                    is_open[tag] += 1
                     articles += tag == "article"
+                    foreign += tag in FOREIGN
         match = _TOKEN.search(source, at)
     if at < len(source):
         stack[-1].children.append(source[at:])
+    _keep_main(root)
     return root
 
 
+def _keep_main(root: Node) -> None:
+    """Clear the mark of nodes that a part of a name made boilerplate where they hold over half of the page's text."""
+    loose = []
+    stack = [root]
+    while stack:
+        n = stack.pop()
+        if n.loose:
+            loose.append(n)
+            n.junk = False
+        if not n.junk:
+            stack.extend(_elements(n))
+    if loose:
+        size = _sizes(root, lambda node: False)
+        for n in loose:
+            n.junk = 2 * size[id(n)] <= size[id(root)]
+            n.named = n.named and n.junk
+
+
 def _elements(node: Node) -> list[Node]:
     return [c for c in node.children if not isinstance(c, str)]
 
 
-def _own_text(node: Node) -> str:
-    """Text of a node and its inline parts."""
-    out, stack = [], [node]
+def own_texts(root: Node) -> dict[int, int]:
+    """For each node, a hash of its own text: its strings and inline parts, up to white space; 0 where there is none."""
+    order, stack, out = [], [root], {}
     while stack:
         n = stack.pop()
-        if isinstance(n, str):
-            out.append(n)
-        elif n is node or n.tag not in BLOCK and not n.junk:
-            stack.extend(reversed(n.children))
-    return " ".join(" ".join(out).split())
+        order.append(n)
+        stack.extend(_elements(n))
+    for n in reversed(order):
+        parts = [" ".join(c.split()) if isinstance(c, str) else "" if c.tag in BLOCK or c.junk or not out[id(c)] else f"\x00{out[id(c)]}" for c in n.children]
+        out[id(n)] = _hash("\x01".join(filter(None, parts)))
+    return out
 
 
 class Aligner:
@@ -378,13 +422,13 @@ def tree(depths: list[int], keys: list[str]) -> Node:
 def measure(root: Node) -> tuple[int, int, list[int], list[str], list[int], list[int]]:
     """(hash of the whole text, hash of the structure, depths, keys, own text hashes, own lengths without boilerplate parts)."""
     depths, keys = flat(root)
-    texts, lengths, under = [], [], None
+    texts, lengths, under, own = [], [], None, own_texts(root)
     for n, d in zip(_preorder(root), depths):
         if under is not None and d <= under:
             under = None
         if under is None and n.junk:
             under = d
-        texts.append(_hash(_own_text(n)))
+        texts.append(own[id(n)])
         lengths.append(0 if under is not None else sum(len(c.strip()) for c in n.children if isinstance(c, str)))
     return _hash(_own_all(root)) or _hash(repr(texts)), _hash(repr((depths, keys))), depths, keys, texts, lengths
 
@@ -438,7 +482,8 @@ class Wrapper:
     def read(self, page: Node) -> str:
         pairs = self.aligner.pairs(page)
         slot = next((b for a, b in pairs if a is self.slot), None)
-        fixed = {id(b): b for a, b in pairs if id(a) in self.template and self.template[id(a)] == _hash(_own_text(b))}
+        own = own_texts(page)
+        fixed = {id(b): b for a, b in pairs if id(a) in self.template and self.template[id(a)] == own[id(b)]}
         if any(n.tag in PROSE for n in fixed.values()):
             alive = _varying(page, fixed)
             fixed = {i: n for i, n in fixed.items() if n.tag not in PROSE or not alive.get(i, False)}
