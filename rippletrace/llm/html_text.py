@@ -29,13 +29,14 @@ columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import html
 import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +102,9 @@ def _named(value: str) -> int:
     return found
 
 
-def _node(tag: str, attributes: str, inside_article: bool) -> Node:
+@functools.lru_cache(maxsize=1 << 15)
+def _kind(tag: str, attributes: str, inside_article: bool) -> tuple[str, bool, bool, bool]:
+    """(key, junk, named, loose) of an element."""
     name, named, junk = "", 0, tag in DROPPED or tag in RAW or (tag == "header" and not inside_article)
     for k, v in _ATTRIBUTE.findall(attributes) if attributes else ():
         k, v = k.lower(), v.strip("\"'").lower()
@@ -114,14 +117,15 @@ def _node(tag: str, attributes: str, inside_article: bool) -> Node:
             junk = junk or v in ROLES
         elif k == "hidden" or k == "aria-hidden" and v == "true":
             junk = True
-    return Node(tag, f"{tag}.{name}", junk or named > 0, named > 0 and not junk, named == 1 and not junk)
+    return f"{tag}.{name}", junk or named > 0, named > 0 and not junk, named == 1 and not junk
 
 
 def parse(source: str) -> Node:
     """The element tree of a page; missing ends are implied. A part of a name does not make what holds most of the text boilerplate."""
     root = Node("html", "html.", False)
     stack, at, low = [root], 0, None
-    is_open: Counter = Counter()  # open elements by tag
+    is_open: dict[str, int] = {}  # open elements by tag
+    any_loose = False
     marks = [0]  # places in the stack of blocks and of what an option ends at
     articles = foreign = 0
 
@@ -144,7 +148,14 @@ def parse(source: str) -> Node:
         if tag:
             tag = tag.lower()
             if close:
-                if is_open[tag]:
+                if stack[-1].tag == tag and len(stack) > 1:
+                    stack.pop()
+                    is_open[tag] -= 1
+                    articles -= tag == "article"
+                    foreign -= tag in FOREIGN
+                    if marks[-1] == len(stack):
+                        marks.pop()
+                elif is_open.get(tag):
                     close_from(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             elif tag == "br" or tag == "wbr":
                 stack[-1].children.append(" " if tag == "br" else "")
@@ -154,7 +165,7 @@ def parse(source: str) -> Node:
                 ends, scope = CLOSES.get(tag, ()), SCOPE.get(tag, ())
                 if tag in BLOCK and tag != "body" and stack[marks[-1]].tag == "p":
                     close_from(marks[-1])
-                if any(is_open[e] for e in ends):
+                if ends and any(map(is_open.get, ends)):
                     for k in reversed(marks[1:]):
                         if stack[k].tag in scope:
                             break
@@ -163,7 +174,8 @@ def parse(source: str) -> Node:
                             break
                 if tag == "body":
                     close_from(1)
-                node = _node(tag, attributes, articles > 0)
+                node = Node(tag, *_kind(tag, attributes, articles > 0))
+                any_loose = any_loose or node.loose
                 stack[-1].children.append(node)
                 empty = attributes.endswith("/") and (foreign > 0 or tag in FOREIGN)  # elsewhere a slash means nothing
                 if tag in RAW and not empty:
@@ -176,13 +188,14 @@ def parse(source: str) -> Node:
                     if tag in BLOCK or tag in ("option", "select"):
                         marks.append(len(stack))
                     stack.append(node)
-                    is_open[tag] += 1
+                    is_open[tag] = is_open.get(tag, 0) + 1
                     articles += tag == "article"
                     foreign += tag in FOREIGN
         match = _TOKEN.search(source, at)
     if at < len(source):
         stack[-1].children.append(source[at:])
-    _keep_main(root)
+    if any_loose:
+        _keep_main(root)
     return root
 
 
@@ -214,10 +227,18 @@ def own_texts(root: Node) -> dict[int, int]:
     while stack:
         n = stack.pop()
         order.append(n)
-        stack.extend(_elements(n))
+        for c in n.children:
+            if not isinstance(c, str):
+                stack.append(c)
     for n in reversed(order):
-        parts = [" ".join(c.split()) if isinstance(c, str) else "" if c.tag in BLOCK or c.junk or not out[id(c)] else f"\x00{out[id(c)]}" for c in n.children]
-        out[id(n)] = _hash("\x01".join(filter(None, parts)))
+        parts = []
+        for c in n.children:
+            if isinstance(c, str):
+                if c and not c.isspace():
+                    parts.append(" ".join(c.split()))
+            elif not (c.junk or c.tag in BLOCK) and out[id(c)]:
+                parts.append(f"\x00{out[id(c)]}")
+        out[id(n)] = _hash("\x01".join(parts)) if parts else 0
     return out
 
 
@@ -393,7 +414,7 @@ def _preorder(root: Node) -> list[Node]:
 
 
 def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True) if text else 0
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - 2**63 if text else 0
 
 
 def flat(root: Node) -> tuple[list[int], list[str]]:
@@ -482,7 +503,7 @@ class Wrapper:
     def read(self, page: Node) -> str:
         pairs = self.aligner.pairs(page)
         slot = next((b for a, b in pairs if a is self.slot), None)
-        own = own_texts(page)
+        own = own_texts(page) if self.template else {}
         fixed = {id(b): b for a, b in pairs if id(a) in self.template and self.template[id(a)] == own[id(b)]}
         if any(n.tag in PROSE for n in fixed.values()):
             alive = _varying(page, fixed)
