@@ -6,9 +6,10 @@ Texts are cut by the tokenizer's pattern; words not yet held go
 to DuckDB as token-position rows, one row a byte, whatever their length. A keyed
 recursive query joins neighbouring rows with the merge table and contracts in
 each word the pair of minimum rank, from the left and without overlap, wherever
-it stands, until no pair is left. A merge never yields a pair of a lower rank, as
-every token is made of tokens of lower ranks; so this equals one leftmost pair
-after the other. Ordered aggregation over the final rows gives a word's ids and,
+it stands, until no pair is left. One leftmost pair after the other gives the same, unless
+a merge makes a pair of a lower rank that takes part of another pair of the round; some
+rows of a vocabulary have parts of higher ranks, so this is no theorem, and `tests/llm`
+holds words made of all such rows against the library. Ordered aggregation over the final rows gives a word's ids and,
 through the vocabulary, its decoded bytes; a document is its words one after another.
 
 Whole texts are encoded, in one pass without a shuffle. A worker holds the last one

@@ -3,7 +3,7 @@
 Texts are lower-cased (A-Z) and cut into words of ASCII letters, digits and
 non-ASCII characters. Every window of `ngram` consecutive words of a benchmark
 item (an item with fewer words is one window) goes into a sorted array of
-64-bit hashes, which is broadcast. Each document's windows are looked up in it,
+64-bit hashes, which is broadcast with the items' words, each once, and the places of the windows in them. Each document's windows are looked up in it,
 every hit is verified word by word, and the words inside verified windows are
 marked. A benchmark of more than `block_windows` windows is scanned in several
 passes, each a job of its own with one bounded broadcast, that add to the marks
@@ -28,29 +28,47 @@ from . import _bytes as B
 from ._common import arrow_map, cut, extended, free_name, own_names, prepare
 
 NGRAM = 13
-#: Windows in one broadcast; 8 bytes of hash and about 100 bytes of words each.
-BLOCK_WINDOWS = 500_000
+#: Windows in one broadcast: 28 bytes each for hash, place and item, and a word of the items' texts.
+BLOCK_WINDOWS = 1_500_000
 #: A document is contaminated if at least one word in `SHARE` is hit.
 SHARE = 20
 
 
 class _Windows:
-    """One broadcast block: window length -> sorted hashes, and each hash's windows."""
+    """One broadcast block: the words of its items, and for each window length the sorted hashes, places in the words, and items."""
 
     def __init__(self):
-        self.by_length: dict[int, np.ndarray] = {}
-        self.found: dict[int, dict[bytes, list[str]]] = defaultdict(lambda: defaultdict(list))
-        self.count = 0
+        self.data, self.size, self.count = [], 0, 0
+        self.items: list[str] = []
+        self.parts: dict[int, list[tuple]] = defaultdict(list)
+        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
+
+    def add(self, item: str, words: list[bytes], keys: np.ndarray, length: int) -> None:
+        """Windows of `length` words of an item: as many, from its first word on, as there are keys."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        begin = self.size + np.cumsum(sizes + 1) - sizes - 1
+        n = len(keys)
+        self.parts[length].append((keys, begin[:n], begin[length - 1 : length - 1 + n] + sizes[length - 1 : length - 1 + n], np.full(n, len(self.items), np.int32)))
+        text = b" ".join(words)
+        self.data.append(text)
+        self.size += len(text) + 1
+        self.items.append(item)
+        self.count += n
 
     def seal(self) -> "_Windows":
-        lengths = defaultdict(list)
-        for h, texts in self.found.items():
-            for text in texts:
-                lengths[text.count(b" ") + 1].append(h)
-        self.by_length = {n: np.unique(np.array(hs, np.uint64)) for n, hs in lengths.items()}
-        self.found = {h: dict(t) for h, t in self.found.items()}
+        for length, parts in self.parts.items():
+            columns = [np.concatenate(c) for c in zip(*parts)]
+            order = np.argsort(columns[0], kind="stable")
+            self.by_length[length] = tuple(c[order] for c in columns)
+        self.data, self.parts = b" ".join(self.data), {}
         return self
 
+    def found(self, length: int, place: int, text: bytes) -> set[str]:
+        """Items with this window, whose hash stands at `place` and maybe behind."""
+        keys, begin, end, item = self.by_length[length]
+        stop = int(np.searchsorted(keys, keys[place], side="right"))
+        return {self.items[item[k]] for k in range(place, stop) if self.data[begin[k] : end[k]] == text}
+
 
 def _window_hashes(hashes: np.ndarray, first: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Number of the first word, and hash, of each run of `length` words within a row."""
@@ -75,12 +93,12 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str, ngram: in
         low = B.LOWER[joined.data].tobytes()
         words = [low[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
         n = min(ngram, len(words))
-        at, keys = _window_hashes(hashes, first, n)
-        for k, h in zip(at.tolist(), keys.tolist()):
-            items = block.found[h][b" ".join(words[k : k + n])]
-            if row.i not in items[-1:]:
-                items.append(row.i)
-            block.count += 1
+        _, keys = _window_hashes(hashes, first, n)
+        done = 0
+        while done < len(keys):  # a long item may fill several blocks
+            some = keys[done : done + block_windows - block.count]
+            block.add(row.i, words[done : done + len(some) + n - 1], some, n)
+            done += len(some)
             if block.count >= block_windows:
                 yield block.seal()
                 block = _Windows()
@@ -96,17 +114,18 @@ def mark(texts: list[bytes | None], block: _Windows) -> list[tuple[int, list[tup
     low = None
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     items: dict[int, set[str]] = defaultdict(set)
-    for length, table in block.by_length.items():
+    for length, (table, *_) in block.by_length.items():
         at, keys = _window_hashes(hashes, first, length)
         if not len(at):
             continue
         place = np.searchsorted(table, keys)
         place[place == len(table)] = 0
-        for k, h in zip((hit := at[table[place] == keys]).tolist(), keys[table[place] == keys].tolist()):
+        met = table[place] == keys
+        for k, p in zip(at[met].tolist(), place[met].tolist()):
             if low is None:
                 low = B.LOWER[joined.data].tobytes()
             text = b" ".join(low[a:b] for a, b in zip(starts[k : k + length].tolist(), ends[k : k + length].tolist()))
-            if found := block.found[h].get(text):
+            if found := block.found(length, p, text):
                 row = int(np.searchsorted(first, k, side="right")) - 1
                 hits[row].append((k, k + length))
                 items[row].update(found)
