@@ -3,7 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
+import re
+import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pyarrow as pa
@@ -17,7 +23,7 @@ from rippletrace.operators.rules import RISK_COLUMNS, RISK_META
 from rippletrace.schemas import LLM_ENRICHMENT, LLM_RISKS
 
 MAX_CONTEXTS, MAX_COMPONENTS, MAX_ENRICHED = 8, 10, 15
-#: Kinds of symbols whose changes are worth a context of their own.
+# Kinds of symbols whose changes are worth a context of their own.
 WORTH_TYPES = ("function", "class", "api_route", "database_model", "database_field", "type", "interface")
 
 
@@ -61,6 +67,66 @@ class FallbackClient:
         return self._ask(prompt)
 
 
+def message(model: str, prompt: str) -> dict:
+    """The default request of `HttpClient`: one user message, low temperature, an answer in JSON."""
+    return {"contents": [{"role": "user", "parts": [{"text": prompt}]}], "generationConfig": {"temperature": 0.1, "responseMimeType": "application/json"}}
+
+
+def first_text(answer: dict) -> str:
+    """The text of the first candidate in an answer."""
+    return "".join(p.get("text", "") for p in answer["candidates"][0]["content"]["parts"])
+
+
+class HttpClient:
+    """Models over HTTP: `address` with {model} in it takes a JSON request and gives a JSON answer.
+
+    Models are asked in order. One that is busy or fails on its side (429, 5xx, no connection, no answer within `timeout` seconds)
+    is asked up to `tries` times with growing pauses; then, as after any other error, a blank text or a text that is no JSON, it is
+    the next one's turn. If none answers, the text is empty. `ask` sends up to `at_once` requests of a task at a time. The
+    key is read from an environment variable where the request is sent, so it is in no plan; a missing one is an error.
+    """
+
+    def __init__(self, address: str, models: list[str], *, key_variable: str | None = None, key_header: str = "Authorization", key_format: str = "Bearer {}", timeout: float = 30, tries: int = 3, pause: float = 0.5, at_once: int = 4, request: Callable[[str, str], dict] = message, text: Callable[[dict], str] = first_text):
+        self.address, self.models, self.key_variable, self.key_header, self.key_format = address, models, key_variable, key_header, key_format
+        self.timeout, self.tries, self.pause, self.at_once, self.request, self.text = timeout, tries, pause, at_once, request, text
+
+    def _send(self, model: str, prompt: str) -> str:
+        headers = {"Content-Type": "application/json"}
+        if self.key_variable:
+            if not os.environ.get(self.key_variable):
+                raise ValueError(f"{self.key_variable} is not set")
+            headers[self.key_header] = self.key_format.format(os.environ[self.key_variable])
+        body = json.dumps(self.request(model, prompt)).encode()
+        with urllib.request.urlopen(urllib.request.Request(self.address.format(model=model), body, headers), timeout=self.timeout) as answer:
+            return self.text(json.load(answer))
+
+    def _ask(self, prompt: str) -> str:
+        for model in self.models:
+            for k in range(self.tries):
+                try:
+                    found = self._send(model, prompt)
+                    json.loads(re.sub(r"(?i)^\s*```(?:json)?\s*|\s*```\s*$", "", found))
+                    return found
+                except urllib.error.HTTPError as error:
+                    print(f"{model} failed: {error}")
+                    if error.code != 429 and error.code < 500:
+                        break
+                except OSError as error:  # no connection, or no answer in time
+                    print(f"{model} failed: {error}")
+                except (LookupError, TypeError, json.JSONDecodeError) as error:
+                    print(f"{model} gave no usable answer: {error}")
+                    break
+                if k + 1 < self.tries:
+                    time.sleep(self.pause * 2**k)
+        return ""
+
+    def analyze(self, prompt: str) -> str:
+        return self._ask(prompt)
+
+    def enrich(self, prompt: str) -> str:
+        return self._ask(prompt)
+
+
 def is_worth_analysis(change_type: Column, kind: Column) -> Column:
     return change_type.isin(*HIGH_IMPACT) | kind.isin(*WORTH_TYPES)
 
@@ -132,16 +198,18 @@ def enrichment_prompts(risks: DataFrame, changes: DataFrame, affected: DataFrame
 def ask(prompts: DataFrame, client: RiskClient, kind: str) -> DataFrame:
     """`prompts` with `answer`; a failing call answers with an empty text."""
 
+    def one(prompt):
+        try:
+            return getattr(client, kind)(prompt)
+        except Exception as error:  # one failing context must not end the others
+            print(f"analysis failed: {error}")
+            return ""
+
     def call(batches):
-        for batch in batches:
-            answers = []
-            for prompt in batch.column(batch.schema.get_field_index("prompt")).to_pylist():
-                try:
-                    answers.append(getattr(client, kind)(prompt))
-                except Exception as error:  # one failing context must not end the others
-                    print(f"analysis failed: {error}")
-                    answers.append("")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())], names=[*batch.schema.names, "answer"])
+        with ThreadPoolExecutor(getattr(client, "at_once", 1)) as pool:
+            for batch in batches:
+                answers = list(pool.map(one, batch.column(batch.schema.get_field_index("prompt")).to_pylist()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(answers, pa.string())], names=[*batch.schema.names, "answer"])
 
     body = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema)
     return prompts.mapInArrow(call, f"{body}, answer string")

@@ -11,7 +11,7 @@ from rippletrace.functions.ordering import ordered_list
 from rippletrace.functions.shared import cut
 from rippletrace.operators import changes as change_ops
 from rippletrace.operators import diff, enrich, graph, prisma, rules, scoring, traverse, ts_scan
-from rippletrace.sources.files import select_files, to_json_result
+from rippletrace.sources.files import json_fragments, select_files, to_json_result
 
 
 @dataclass(frozen=True)
@@ -67,10 +67,23 @@ def analyze(files: DataFrame, diffs: DataFrame, *, base_files: DataFrame | None
     }
 
 
+#: The lists of a result document, and the order of each.
+LISTS = (("changes", "change_seq"), ("affected", "out_seq"), ("risks", "rank"), ("nodes", "node_seq"), ("edges", "edge_seq"))
+
+
+def _head(tables: dict[str, DataFrame]) -> DataFrame:
+    return tables["summary"].select("analysis_id", F.struct("changed", "affected", "risks", "critical", "high").alias("summary"), F.col("score").alias("blastRadiusScore"))
+
+
+def result_fragments(tables: dict[str, DataFrame]) -> DataFrame:
+    """The documents of `result` as ordered pieces (analysis_id, section, place, text), for analyses of any size."""
+    return json_fragments(_head(tables), {name: (tables[name], order) for name, order in LISTS})
+
+
 def result(tables: dict[str, DataFrame]) -> DataFrame:
-    """(analysis_id, body): one nested JSON document for each analysis."""
-    out = tables["summary"].select("analysis_id", F.struct("changed", "affected", "risks", "critical", "high").alias("summary"), F.col("score").alias("blastRadiusScore"))
-    for name, order in (("changes", "change_seq"), ("affected", "out_seq"), ("risks", "rank"), ("nodes", "node_seq"), ("edges", "edge_seq")):
+    """(analysis_id, body): one nested JSON document for each analysis; it must fit into a row, see `result_fragments`."""
+    out = _head(tables)
+    for name, order in LISTS:
         df = tables[name]
         rows = df.groupBy("analysis_id").agg(ordered_list(F.struct(*[c for c in df.columns if c != "analysis_id"]), order).alias(name))
         out = out.join(rows, "analysis_id", "left")

@@ -98,6 +98,51 @@ def to_json_result(df: DataFrame, key: str = "analysis_id") -> DataFrame:
     return df.select(key, F.to_json(F.struct(*[c for c in df.columns if c != key]), {"ignoreNullFields": "false"}).alias("body"))
 
 
+def json_fragments(head: DataFrame, lists: dict[str, tuple[DataFrame, str]], key: str = "analysis_id") -> DataFrame:
+    """(key, section, place, text): pieces that make one JSON document for each row of `head`, read by section and place.
+
+    The document is that of `head`'s columns and, for each list, an array of its rows in the order of its
+    column. No row holds an array, so a list may be of any length. Lists of keys without a row in `head` are left out.
+    """
+    columns = [c for c in head.columns if c != key]
+    body = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}) if columns else F.lit("{}")
+    opened = F.regexp_replace(body, r"\}$", "")
+    parts = [head.select(key, F.lit(0).alias("section"), F.lit(0).cast("long").alias("place"), opened.alias("text"))]
+    for k, (name, (rows, order)) in enumerate(lists.items()):
+        comma = "," if columns or k else ""
+        label = F.lit(f'{comma}"{name}":[')
+        parts.append(head.select(key, F.lit(2 * k + 1).alias("section"), F.lit(0).cast("long").alias("place"), label.alias("text")))
+        row = F.to_json(F.struct(*[c for c in rows.columns if c != key]), {"ignoreNullFields": "false"})
+        first = rows.groupBy(key).agg(F.min(order).alias("_first"))
+        put = F.concat(F.when(F.col(order) == F.col("_first"), "").otherwise(","), row)
+        known = rows.join(head.select(key), key, "left_semi").join(first, key)
+        parts.append(known.select(key, F.lit(2 * k + 2).alias("section"), F.col(order).cast("long").alias("place"), put.alias("text")))
+        parts.append(head.select(key, F.lit(2 * k + 2).alias("section"), F.lit(2**62).cast("long").alias("place"), F.lit("]").alias("text")))
+    parts.append(head.select(key, F.lit(2 * len(lists) + 1).alias("section"), F.lit(0).cast("long").alias("place"), F.lit("}").alias("text")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def save_fragments(fragments: DataFrame, folder: str, key: str = "analysis_id") -> None:
+    """Fragments as text files below a folder for each key: their lines, files in order of name, are the document.
+
+    Ranges of the order go to tasks, so a document of any size is written by many of them.
+    """
+    order = [key, "section", "place"]
+    fragments.repartitionByRange(*order).sortWithinPartitions(*order).select(key, "text").write.partitionBy(key).mode("overwrite").option("partitionOverwriteMode", "dynamic").text(folder)
+
+
+def save_keyed(tables: dict[str, DataFrame], folder: str, key: str = "analysis_id") -> None:
+    """Each table as Parquet below a folder for each key. Keys in the table replace what stood there; others stay.
+
+    A write that is stopped or runs again leaves each key's rows of one run: Spark publishes the folders at the end of the job.
+    """
+    for name, df in tables.items():
+        df.repartition(key).write.partitionBy(key).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{folder.rstrip('/')}/{name}")
+
+
 def save_tables(tables: dict[str, DataFrame], folder: str, mode: str = "overwrite") -> None:
     """Each table as Parquet under its name."""
     for name, df in tables.items():
