@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rippletrace.functions import shared
 from rippletrace.functions.exprs import IDENT, WS, clean_diff_path, trim_ws
+from rippletrace.functions.ordering import totals_before
 
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 HEADER = r"^diff --git a/(.+?) b/(.+)$"
@@ -32,16 +34,10 @@ def line_class(line: Column) -> Column:
     return F.when(line.startswith("@@"), "hunk").when(line.startswith("-") & ~line.startswith("---"), "removed").when(line.startswith("+") & ~line.startswith("+++"), "added").otherwise("plain")
 
 
-def _classified(diffs: DataFrame, strict: bool) -> DataFrame:
-    lines = diffs.select("analysis_id", F.posexplode(F.split(F.coalesce("diff", F.lit("")), "\n")).alias("pos", "line"))
-    so_far = Window.partitionBy("analysis_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    in_file = Window.partitionBy("analysis_id", "file_seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    line = F.col("line")
-    lines = lines.withColumn("file_seq", F.sum(line.startswith("diff --git ").cast("int")).over(so_far).cast("int")).where("file_seq > 0")
-    lines = lines.withColumn("header", hunk_header(line))
-    lines = lines.withColumn("hunk_seq", F.sum(F.col("header").isNotNull().cast("int")).over(in_file).cast("int"))
+def _kind(line: Column, strict: bool) -> Column:
+    """What a line is, from its text, `header` and `hunk_seq`."""
     outside = F.col("hunk_seq") == 0 if strict else F.lit(True)
-    kind = (
+    return (
         F.when(line.startswith("diff --git "), "file")
         .when(line.startswith("new file mode"), "new")
         .when(line.startswith("deleted file mode"), "deleted")
@@ -56,7 +52,17 @@ def _classified(diffs: DataFrame, strict: bool) -> DataFrame:
         .when(line.startswith("\\"), "skip")
         .otherwise("context")
     )
-    return lines.withColumn("kind", kind)
+
+
+def _classified(diffs: DataFrame, strict: bool) -> DataFrame:
+    lines = diffs.select("analysis_id", F.posexplode(F.split(F.coalesce("diff", F.lit("")), "\n")).alias("pos", "line"))
+    so_far = Window.partitionBy("analysis_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    in_file = Window.partitionBy("analysis_id", "file_seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = F.col("line")
+    lines = lines.withColumn("file_seq", F.sum(line.startswith("diff --git ").cast("int")).over(so_far).cast("int")).where("file_seq > 0")
+    lines = lines.withColumn("header", hunk_header(line))
+    lines = lines.withColumn("hunk_seq", F.sum(F.col("header").isNotNull().cast("int")).over(in_file).cast("int"))
+    return lines.withColumn("kind", _kind(line, strict))
 
 
 def _files(lines: DataFrame) -> DataFrame:
@@ -88,7 +94,10 @@ def parse_lines(diffs: DataFrame, *, strict: bool = False) -> DataFrame:
     start = F.first("header").over(hunk.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     count = lambda *kinds: F.coalesce(F.sum(F.col("kind").isin(*kinds).cast("int")).over(before), F.lit(0)).cast("int")
     inside = inside.withColumn("start", start).withColumn("old_no", F.col("start.old_start") + count("removed", "context")).withColumn("new_no", F.col("start.new_start") + count("added", "context"))
-    inside = inside.where("kind <> 'hunk'")
+    return _shaped(inside.where("kind <> 'hunk'"), lines)
+
+
+def _shaped(inside: DataFrame, lines: DataFrame) -> DataFrame:
     kind, line = F.col("kind"), F.col("line")
     cut = F.substring(line, 2, 2**31 - 1)
     rows = inside.select(
@@ -98,3 +107,27 @@ def parse_lines(diffs: DataFrame, *, strict: bool = False) -> DataFrame:
         F.when(kind != "added", F.col("old_no")).alias("old_line"), F.when(kind != "removed", F.col("new_no")).alias("new_line"),
     )
     return rows.join(_files(lines), ["analysis_id", "file_seq"])
+
+
+def parse_long(lines: DataFrame, *, strict: bool = False) -> DataFrame:
+    """The rows of `parse_lines` for diffs given as lines (analysis_id, pos, line), of any length.
+
+    Where a line stands, its file, hunk and numbers, are counts of lines before it: running totals over ranges of
+    lines, less their values where its file and its hunk begin. So no task holds a diff, a file or a hunk.
+    """
+    line, key = F.col("line"), ["analysis_id", "file_seq"]
+    opens = line.startswith("diff --git ").cast("int")
+    lines = lines.select("analysis_id", "pos", "line", hunk_header(line).alias("header"))
+    begins = F.col("header").isNotNull().cast("int")
+    lines = totals_before(lines, ["analysis_id"], ["pos"], files=opens, hunks=begins)
+    lines = lines.withColumn("file_seq", (F.col("files") + opens).cast("int")).where("file_seq > 0")
+    base = lines.where(opens == 1).select(*key, F.col("hunks").alias("base"))
+    lines = lines.join(base, key).withColumn("hunk_seq", (F.col("hunks") + begins - F.col("base")).cast("int"))
+    lines = shared.cut(lines.withColumn("kind", _kind(line, strict)).drop("files", "hunks", "base"))
+    inside = lines.where(F.col("kind").isin("hunk", "added", "removed", "context"))
+    is_in = lambda *kinds: F.col("kind").isin(*kinds).cast("int")
+    inside = shared.cut(totals_before(inside, ["analysis_id"], ["pos"], olds=is_in("removed", "context"), news=is_in("added", "context")))
+    start = inside.where("kind = 'hunk'").select(*key, "hunk_seq", F.col("header").alias("start"), F.col("olds").alias("olds_0"), F.col("news").alias("news_0"))
+    inside = inside.where("kind <> 'hunk'").join(start, [*key, "hunk_seq"])
+    number = lambda side: (F.col(f"start.{side}_start") + F.col(f"{side}s") - F.col(f"{side}s_0")).cast("int").alias(f"{side}_no")
+    return _shaped(inside.select(*key, "hunk_seq", "pos", "line", "kind", "start", number("old"), number("new")), lines)

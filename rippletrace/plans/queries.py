@@ -89,6 +89,11 @@ def diff_lines(s, d):
     return diff.parse_lines(T.event_diffs(s, d)).select("analysis_id", "hunk_seq", "pos", "type", "content", "old_line", "new_line", "old_start", "old_count", "new_start", "new_count", "status")
 
 
+def diff_long_lines(s, d):
+    lines = T.event_diffs(s, d).select("analysis_id", F.posexplode(F.split("diff", "\n")).alias("pos", "line"))
+    return diff.parse_long(lines).select("analysis_id", "hunk_seq", "pos", "type", "content", "old_line", "new_line", "old_start", "old_count", "new_start", "new_count", "status")
+
+
 def diff_files(s, d):
     return diff.parse_files(T.event_diffs(s, d))
 
@@ -499,7 +504,7 @@ def graph_view_edges(s, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_supported_files, ignored_dirs, detect_language, repo_locator, diff_source, request_defaults, checkout_ref, union_sources, distinct_ids, diff_lines, diff_files,
+        scan_supported_files, ignored_dirs, detect_language, repo_locator, diff_source, request_defaults, checkout_ref, union_sources, distinct_ids, diff_lines, diff_long_lines, diff_files,
         diff_line_class, prisma_models, prisma_fields, typed_vars, field_usages, interface_fields, call_extract, call_resolution, import_resolution, ts_property_lines, graph_nodes,
         graph_edges, tree_declarations, tree_references, tree_nodes, tree_edges, edge_dedupe, bfs_dependents, blast_radius, combined_blast, direct_dependents, induced_subgraph, node_lookup, symbol_lookup, line_range_join, enclosing_type, line_diffs, merge_bases,
         property_pairing, symbol_changes, changes_detected, prisma_changes, id_lists, change_classify, change_dedupe, semantic_dedupe, high_impact, filter_by_type, nullable_transition, rule_cascade, rule_dedupe,

@@ -307,3 +307,4 @@ j(id, t) USING KEY (id) AS (SELECT 'part:' || p_partkey, CAST(-1 AS BIGINT) FROM
 SELECT id, CASE WHEN t >= 0 THEN t END AS joined FROM j""",
     "graph_view_edges": f"WITH {_VIEW} SELECT source || '->' || target || ':depends_on' AS id, target AS source, source AS target, target IN (SELECT id FROM ch) AS animated FROM le WHERE source IN (SELECT id FROM shown) AND target IN (SELECT id FROM shown)",
 }
+ORACLE_SQL["diff_long_lines"] = ORACLE_SQL["diff_lines"]
