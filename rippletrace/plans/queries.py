@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -197,6 +200,15 @@ def tree_declarations(s, d):
     return _tree(s, d)[2].select("id", "name", "type", "exported", "start_line", "end_line")
 
 
+def route_declarations(s, d):
+    """Files of customers, two in three of them under a folder of routes; exported methods there are routes."""
+    n = F.col("c_custkey").cast("string")
+    path = F.element_at(F.array(F.concat(F.lit("app/api/c"), n, F.lit("/route.ts")), F.concat(F.lit("src/api/c"), n, F.lit(".ts")), F.concat(F.lit("lib/c"), n, F.lit(".ts"))), (F.col("c_custkey") % 3 + 1).cast("int"))
+    code = F.concat(F.lit("export async function GET() {\n  return "), n, F.lit(";\n}\nexport const POST = () => {\n  return GET();\n};\nfunction PUT() {\n  return 3;\n}\nexport function helper() {\n  return 4;\n}\n"))
+    files = T.read(s, d, "customer").select(F.lit("routes").alias("analysis_id"), F.col("c_custkey").cast("int").alias("file_seq"), path.alias("path"), code.alias("content"))
+    return parse(files)[2].select("id", "name", "type", "exported", "start_line")
+
+
 def tree_references(s, d):
     return _tree(s, d)[2].select("id", F.explode("references").alias("r")).select("id", F.col("r.name").alias("reference"), F.col("r.line").alias("line"))
 
@@ -431,11 +443,43 @@ def validate_enums(s, d):
 # Language model ------------------------------------------------------------------------------------
 
 
-def llm_context(s, d):
+def _nation_contexts(s, d, affected=None):
     nodes, edges = T.lineage_nodes(s, d), T.lineage_edges(s, d)
     c = T.read(s, d, "nation").select(F.lit(T.STAR).alias("analysis_id"), (F.col("n_nationkey") + 1).alias("change_seq"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("node_id"), F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 2 == 0, "function").otherwise("variable").alias("type"), F.when(F.col("n_nationkey") % 3 == 0, "deleted").otherwise("modified").alias("change_type"), F.lit("nation.tbl").alias("file_path"), F.lit("b").alias("before"), F.lit("a").alias("after"))
     symbols = T.read(s, d, "supplier").select(F.lit(T.STAR).alias("analysis_id"), F.col("s_suppkey").alias("symbol_seq"), F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"), F.col("s_name").alias("code"))
-    found = enrich.skip_idle(enrich.contexts(c, symbols, nodes, edges, None))
+    return enrich.skip_idle(enrich.contexts(c, symbols, nodes, edges, affected))
+
+
+def affected_context(s, d):
+    """Contexts whose components are what the traversal found, by the paths that hold the change."""
+    seeds = T.read(s, d, "nation").select(F.lit(T.STAR).alias("analysis_id"), F.col("n_nationkey").alias("seed_seq"), F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("seed"))
+    affected = traverse.combine(traverse.dependents(T.lineage_edges(s, d), seeds, 2))
+    found = _nation_contexts(s, d, affected)
+    parts = F.transform("affectedComponents", lambda x: F.concat_ws("=", x["nodeId"], x["depth"].cast("string"), F.element_at(x["path"], 1)))
+    return found.select("context_seq", F.col("change.nodeId").alias("node_id"), F.array_join(parts, SEP).alias("components"), F.size("dependencyEdges").alias("edges"))
+
+
+class PromptClient:
+    """Answers from the prompt alone: fails, answers badly or reports a risk, by the number of the changed nation."""
+
+    def analyze(self, prompt: str) -> str:
+        nation = int(re.search(r'"nodeId":"nation:(\d+)"', prompt)[1])
+        if nation % 4 == 0:
+            raise RuntimeError("no answer")
+        if nation % 4 == 1:
+            return "{broken"
+        return json.dumps({"risks": [{"title": f"On {nation}", "reason": "why", "severity": "high", "category": "type", "confidence": 50, "affectedSymbol": f"{len(re.findall('"nodeId"', prompt)) - 1} parts"}]})
+
+    enrich = analyze
+
+
+def model_risks(s, d):
+    """What a client reports for contexts; calls that fail and answers that cannot be read leave the others alone."""
+    return enrich.analyze(_nation_contexts(s, d), PromptClient()).select("risk_seq", "id", "title", "description", "severity", "confidence", "source")
+
+
+def llm_context(s, d):
+    found = _nation_contexts(s, d)
     return found.select("context_seq", F.col("change.nodeId").alias("node_id"), F.array_join(F.transform("affectedComponents", lambda x: F.concat_ws("=", x["nodeId"], F.coalesce(x["code"], F.lit("-")))), SEP).alias("components"), F.size("dependencyEdges").alias("edges"))
 
 
@@ -506,9 +550,9 @@ QUERIES = {
     for f in (
         scan_supported_files, ignored_dirs, detect_language, repo_locator, diff_source, request_defaults, checkout_ref, union_sources, distinct_ids, diff_lines, diff_long_lines, diff_files,
         diff_line_class, prisma_models, prisma_fields, typed_vars, field_usages, interface_fields, call_extract, call_resolution, import_resolution, ts_property_lines, graph_nodes,
-        graph_edges, tree_declarations, tree_references, tree_nodes, tree_edges, edge_dedupe, bfs_dependents, blast_radius, combined_blast, direct_dependents, induced_subgraph, node_lookup, symbol_lookup, line_range_join, enclosing_type, line_diffs, merge_bases,
+        graph_edges, tree_declarations, route_declarations, tree_references, tree_nodes, tree_edges, edge_dedupe, bfs_dependents, blast_radius, combined_blast, direct_dependents, induced_subgraph, node_lookup, symbol_lookup, line_range_join, enclosing_type, line_diffs, merge_bases,
         property_pairing, symbol_changes, changes_detected, prisma_changes, id_lists, change_classify, change_dedupe, semantic_dedupe, high_impact, filter_by_type, nullable_transition, rule_cascade, rule_dedupe,
-        risk_dedupe, score_risk, rank_risks, blast_score, score_label, summary_counts, sanitize_confidence, validate_enums, llm_context, llm_parse, llm_to_risk, enrich_join, risk_card,
+        risk_dedupe, score_risk, rank_risks, blast_score, score_label, summary_counts, sanitize_confidence, validate_enums, llm_context, affected_context, model_risks, llm_parse, llm_to_risk, enrich_join, risk_card,
         playback_schedule, graph_view_depth, graph_view_layout, graph_view_edges, graph_view_joined,
     )
 }

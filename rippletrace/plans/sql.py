@@ -100,6 +100,9 @@ def _rule(name: str) -> str:
 
 _CASCADE = " UNION ALL ".join(f"SELECT {k} AS rule_rank, r.*, j2.name, j2.sup FROM ({_rule(n)}) r JOIN j j2 USING (change_seq, edge_seq)" for n, k in (("method", 0), ("argument", 0), ("access", 0), ("deleted", 1), ("signature", 2)))
 
+#: The changed nations that get a context.
+_CONTEXTS = """k AS (SELECT * FROM (SELECT row_number() OVER (ORDER BY n_nationkey) AS context_seq, 'nation:' || n_nationkey AS node_id, n_nationkey % 3 = 0 AS deleted FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0) WHERE context_seq <= 8)"""
+
 #: The risks of all rules, `f` by first place and `n` by strength in each group.
 CASCADE_RISKS = f"""WITH {_CHANGED.replace("FROM part),", "FROM part QUALIFY row_number() OVER (PARTITION BY p_name, p_type, p_size % 4 IN (1, 3), p_size % 4 = 0 ORDER BY p_partkey) = 1),", 1)}, a AS ({_CASCADE}), r AS (SELECT *, min((change_seq, rule_rank, edge_seq)) OVER (PARTITION BY category, name, sup, title) AS f, row_number() OVER (PARTITION BY category, name, sup, title ORDER BY confidence DESC, change_seq, rule_rank, edge_seq) AS n FROM a)"""
 
@@ -204,6 +207,9 @@ FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_custkey % 4 < 2 A
     "graph_nodes": f"WITH {LN} SELECT type, count(*) AS n, min(node_seq) AS first, max(node_seq) AS last FROM ln GROUP BY type",
     "graph_edges": f"WITH {LE} SELECT target, count(*) AS n, min(edge_seq) AS first FROM le GROUP BY target",
     "tree_declarations": f"WITH {_TREE} SELECT id, name, type, exported, lo AS start_line, hi AS end_line FROM d",
+    "route_declarations": """WITH f AS (SELECT c_custkey % 3 < 2 AS routed, CASE c_custkey % 3 WHEN 0 THEN 'app/api/c' || c_custkey || '/route.ts' WHEN 1 THEN 'src/api/c' || c_custkey || '.ts' ELSE 'lib/c' || c_custkey || '.ts' END AS path FROM customer),
+r AS (SELECT path, unnest([{'n': 'GET', 't': CASE WHEN routed THEN 'api_route' ELSE 'function' END, 'e': true, 'l': 1}, {'n': 'POST', 't': CASE WHEN routed THEN 'api_route' ELSE 'function' END, 'e': true, 'l': 4}, {'n': 'PUT', 't': 'function', 'e': false, 'l': 7}, {'n': 'helper', 't': 'function', 'e': true, 'l': 10}]) AS s FROM f)
+SELECT path || ':' || s.t || ':' || s.n AS id, s.n AS name, s.t AS type, s.e AS exported, s.l AS start_line FROM r""",
     "tree_references": f"""WITH {_TREE} SELECT id, unnest(['label', 'trim']) AS reference, 4 AS line FROM d WHERE type = 'function' AND path LIKE 'src/c%'
 UNION ALL SELECT id, split_part(name, '.', 1), lo FROM d WHERE type = 'database_field'""",
     "tree_nodes": f"""WITH {_TREE} SELECT id, name, type, path AS file_path, lo AS start_line, NULL AS parent_type, nullable FROM d UNION ALL SELECT id, path, 'file', path, NULL, NULL, NULL FROM fl
@@ -281,6 +287,15 @@ SELECT analysis_id, coalesce(changed, 0) AS changed, coalesce(affected, 0) AS af
 SELECT event_id, CASE WHEN event_id % 7 < 3 THEN 0.5::DOUBLE WHEN c > 1 THEN least(c / 100, 1.0::DOUBLE) ELSE greatest(0.0::DOUBLE, least(1.0::DOUBLE, c)) END AS confidence, greatest(0.0::DOUBLE, least(1.0::DOUBLE, CASE WHEN m > 1 THEN m / 100 ELSE m END)) AS normalized FROM v""",
     "validate_enums": """WITH p AS (SELECT DISTINCT split_part(p_type, ' ', 1) AS word, p_brand FROM part UNION SELECT 'high', 'type' UNION SELECT 'critical', 'security')
 SELECT word, p_brand, CASE WHEN word IN ('critical', 'high', 'medium', 'low') THEN word ELSE 'medium' END AS severity, CASE WHEN p_brand IN ('type', 'security') THEN p_brand ELSE 'unknown' END AS category FROM p""",
+    "affected_context": f"""WITH {LE}, {_CONTEXTS},
+a AS (SELECT target AS node_id, source AS id, 1 AS depth, [edge_seq] AS way FROM le WHERE starts_with(target, 'nation:') UNION ALL SELECT x.target, e.source, 2, [x.edge_seq, e.edge_seq] FROM le x JOIN le e ON e.target = x.source WHERE starts_with(x.target, 'nation:')),
+d AS (SELECT context_seq, k.node_id, id, depth, row_number() OVER (PARTITION BY context_seq ORDER BY depth, way) AS r FROM k JOIN a USING (node_id)),
+t AS (SELECT context_seq, string_agg(id || '=' || depth || '=' || node_id, '>' ORDER BY r) AS components FROM d WHERE r <= 10 GROUP BY context_seq),
+i AS (SELECT context_seq, id FROM d WHERE r <= 10 UNION SELECT context_seq, node_id FROM k),
+g AS (SELECT x.context_seq, count(*) AS edges FROM le JOIN i x ON x.id = source JOIN i y ON y.id = target AND y.context_seq = x.context_seq GROUP BY x.context_seq)
+SELECT CAST(context_seq AS INTEGER) AS context_seq, node_id, components, CAST(edges AS INTEGER) AS edges FROM k LEFT JOIN t USING (context_seq) LEFT JOIN g USING (context_seq) WHERE components IS NOT NULL OR deleted""",
+    "model_risks": f"""WITH {LE}, {_CONTEXTS}, n AS (SELECT context_seq, k.node_id, CAST(split_part(k.node_id, ':', 2) AS INTEGER) AS nation, least(count(source), 10) AS parts, deleted FROM k LEFT JOIN le ON le.target = k.node_id GROUP BY ALL)
+SELECT CAST(row_number() OVER (ORDER BY context_seq) AS INTEGER) AS risk_seq, 'ai:' || node_id || ':' || parts || ' parts' AS id, 'On ' || nation AS title, 'why' AS description, 'high' AS severity, 0.5::DOUBLE AS confidence, 'ai' AS source FROM n WHERE nation % 4 >= 2 AND (parts > 0 OR deleted)""",
     "llm_context": f"""WITH {LE}, c AS (SELECT row_number() OVER (ORDER BY n_nationkey) AS context_seq, 'nation:' || n_nationkey AS node_id, n_nationkey % 3 = 0 AS deleted FROM nation WHERE n_nationkey % 2 = 0 OR n_nationkey % 3 = 0),
 k AS (SELECT * FROM c WHERE context_seq <= 8),
 d AS (SELECT context_seq, node_id, e.source, row_number() OVER (PARTITION BY context_seq ORDER BY edge_seq) AS r FROM k JOIN le e ON e.target = k.node_id),
