@@ -25,6 +25,7 @@ import base64
 import binascii
 import json
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -206,10 +207,14 @@ def structured_spans(text: str | None) -> list[tuple[int, str, int]]:
             if data and (is_der_key(data) or is_ssh_key(data)):
                 out.append((begin.start(), "pem", m.end()))
             begin = None
-    armoured = [(a, b) for a, kind, b in out]
+    begins, ends = [], []  # what is confirmed so far, by rising begins, with the furthest end up to each
+    for a, _, b in sorted(out):
+        begins.append(a)
+        ends.append(max(b, ends[-1]) if ends else b)
     for m in _RUN.finditer(text):
         a, b = m.span()
-        if any(s <= a and b <= e for s, e in armoured):
+        k = bisect_right(begins, a)
+        if k and b <= ends[k - 1]:
             continue
         run = m[0]
         options = [binascii.unhexlify(run)] if _ANY_HEX.fullmatch(run) else []
