@@ -38,21 +38,29 @@ def dependents(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, n
     return done
 
 
+def _radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """(seeds that are nodes, what reaches them)."""
+    known = seeds.join(nodes.select("analysis_id", F.col("id").alias("seed")), ["analysis_id", "seed"], "left_semi")
+    return known.select("analysis_id", "seed_seq", "seed"), dependents(edges, known, max_depth, nodes).select("analysis_id", "seed_seq", "node_id", "depth", "path", "order_key")
+
+
 def blast_radius(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(analysis_id, seed_seq, seed, position, node_id, depth, path): one row for each node in the radius of each seed that is a node.
 
-    A seed without dependents has one row, with null node and position; `radius_totals` sums up.
+    A seed without dependents has one row, with null node and position; `radius_totals` sums up without numbering the rows.
     """
-    known = seeds.join(nodes.select("analysis_id", F.col("id").alias("seed")), ["analysis_id", "seed"], "left_semi")
-    found = dependents(edges, known, max_depth, nodes).select("analysis_id", "seed_seq", "node_id", "depth", "path", "order_key")
+    known, found = _radius(edges, nodes, seeds, max_depth)
     placed = numbered_widely(found, "position", ["analysis_id", "seed_seq"], "depth", "order_key").drop("order_key")
-    return known.select("analysis_id", "seed_seq", "seed").join(placed, ["analysis_id", "seed_seq"], "left").select("analysis_id", "seed_seq", "seed", "position", "node_id", "depth", "path")
+    return known.join(placed, ["analysis_id", "seed_seq"], "left").select("analysis_id", "seed_seq", "seed", "position", "node_id", "depth", "path")
 
 
-def radius_totals(radius: DataFrame) -> DataFrame:
-    """(analysis_id, seed_seq, seed, total_affected, first, last): nodes in each radius, the first and the last of them."""
-    at = F.col("position")
-    return radius.groupBy("analysis_id", "seed_seq", "seed").agg(F.count("node_id").alias("total_affected"), F.min_by("node_id", at).alias("first"), F.max_by("node_id", at).alias("last"))
+def radius_totals(edges: DataFrame, nodes: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(analysis_id, seed_seq, seed, total_affected, first, last): nodes in each radius, the first and the last of them; one grouping."""
+    known, found = _radius(edges, nodes, seeds, max_depth)
+    at = F.struct("depth", "order_key")
+    totals = found.groupBy("analysis_id", "seed_seq").agg(F.count(F.lit(1)).alias("total_affected"), F.min_by("node_id", at).alias("first"), F.max_by("node_id", at).alias("last"))
+    out = known.join(totals, ["analysis_id", "seed_seq"], "left")
+    return out.select("analysis_id", "seed_seq", "seed", F.coalesce("total_affected", F.lit(0)).cast("long").alias("total_affected"), "first", "last")
 
 
 def combine(found: DataFrame) -> DataFrame:

@@ -234,7 +234,7 @@ def bfs_dependents(s, d):
 
 
 def blast_radius(s, d):
-    found = traverse.radius_totals(traverse.blast_radius(T.lineage_edges(s, d), T.lineage_nodes(s, d), T.region_seeds(s, d)))
+    found = traverse.radius_totals(T.lineage_edges(s, d), T.lineage_nodes(s, d), T.region_seeds(s, d))
     return found.select("seed", "total_affected", F.coalesce("first", F.lit("")).alias("first"), F.coalesce("last", F.lit("")).alias("last"))
 
 

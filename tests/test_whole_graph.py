@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from rippletrace.operators import views
+from rippletrace.operators import traverse, views
 from rippletrace.plans import testdata as T
 from rippletrace.plans.queries import QUERIES
 
@@ -46,6 +46,10 @@ def test_blast_radius(spark, star):
     got = {r.seed: (r.total_affected, r.first, r.last) for r in rows(spark, "blast_radius")}
     assert got == {s: (len(f), f[0] if f else "", f[-1] if f else "") for s, f in want.items()}
     assert any(last.startswith("lineitem:") for _, _, last in got.values())
+    placed = {}
+    for r in traverse.blast_radius(T.lineage_edges(spark, FOLDER), T.lineage_nodes(spark, FOLDER), T.region_seeds(spark, FOLDER)).orderBy("seed", "position").collect():
+        placed.setdefault(r.seed, []).extend([r.node_id] if r.node_id else [])
+    assert placed == want
 
 
 def test_combined_blast(spark, star):
