@@ -112,7 +112,7 @@ def test_states_are_few(spark):
     machine, rng = turn_repair.Determinised(), random.Random(2)
     for _ in range(300):
         machine.block("".join(rng.choice("suaoeSUAOE12345") for _ in range(rng.randrange(1, 60))))
-    assert len(machine.vectors) < 400 and len(machine.arcs) == len(set(machine.arcs))
+    assert len(machine.vectors) <= 30 and len(machine.arcs) <= 30 * 15
 
 
 def test_repair_defined_cases(spark):
