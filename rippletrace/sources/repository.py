@@ -29,8 +29,8 @@ KINDS = {1: "commit", 2: "tree", 3: "blob", 4: "tag"}
 BY_PLACE, BY_NAME = 6, 7
 INDEX_MAGIC = b"\xfftOc"
 DIRECTORY, FILES = "40000", ("100644", "100755")
-#: Objects of a pack in one partition; bytes of objects kept as bases of deltas, and sent in one batch.
-RANGE, KEPT_BYTES, BATCH_BYTES = 20_000, 64 << 20, 8 << 20
+#: Folders of loose objects, and objects of a pack, in one partition; bytes of objects kept as bases of deltas, and sent in one batch.
+LOOSE, RANGE, KEPT_BYTES, BATCH_BYTES = 32, 20_000, 64 << 20, 8 << 20
 
 
 def git_folder(path: str) -> str:
@@ -155,8 +155,10 @@ class Pack:
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, low: int = 0, high: int = 0):
-        self.path, self.low, self.high = path, low, high
+    """Folders of loose objects, or the objects of a pack from `low` to `high` by their places."""
+
+    def __init__(self, paths: list[str], low: int = 0, high: int = 0):
+        self.paths, self.low, self.high = paths, low, high
 
 
 class _Objects(DataSourceReader):
@@ -166,26 +168,27 @@ class _Objects(DataSourceReader):
         self.range = int(options.get("range", RANGE))
 
     def partitions(self):
-        loose = [_Part(f) for f in sorted(glob.glob(os.path.join(glob.escape(self.folder), "[0-9a-f][0-9a-f]")))]
+        folders = sorted(glob.glob(os.path.join(glob.escape(self.folder), "[0-9a-f][0-9a-f]")))
         packs = sorted(glob.glob(os.path.join(glob.escape(self.folder), "pack", "*.pack")))
-        ranges = [_Part(p, k, k + self.range) for p in packs for k in range(0, len(Index(p.removesuffix(".pack") + ".idx").names), self.range)]
-        return loose + ranges or [_Part("")]
+        ranges = [_Part([p], k, k + self.range) for p in packs for k in range(0, len(Index(p.removesuffix(".pack") + ".idx").names), self.range)]
+        return [_Part(folders[k : k + LOOSE]) for k in range(0, len(folders), LOOSE)] + ranges or [_Part([])]
 
     def _rows(self, part: _Part):
         if part.high:
-            pack = Pack(part.path)
+            pack = Pack(part.paths[0])
             for at, name in pack.index.ordered()[part.low : part.high]:
                 kind = pack.kind(at)
                 if kind in self.kinds:
                     yield name.hex(), kind, pack.data(at)
-        elif part.path:
-            for name in sorted(os.listdir(part.path)):
+            return
+        for folder in part.paths:
+            for name in sorted(os.listdir(folder)):
                 if len(name) == 38:
-                    with open(os.path.join(part.path, name), "rb") as file:
+                    with open(os.path.join(folder, name), "rb") as file:
                         head, _, data = zlib.decompress(file.read()).partition(b"\0")
                     kind = head.split(b" ")[0].decode()
                     if kind in self.kinds:
-                        yield os.path.basename(part.path) + name, kind, data
+                        yield os.path.basename(folder) + name, kind, data
 
     def read(self, partition):
         rows, size = [], 0

@@ -18,12 +18,11 @@ def git(folder, *args, **more):
     return subprocess.run(["git", "-C", str(folder), *args], check=True, capture_output=True, env=env, **more).stdout
 
 
-@pytest.fixture(scope="module", params=["true", "false"])
-def clone(request, tmp_path_factory):
+def build(folder, by_place):
     """Thirty commits on two branches, packed with deltas by place or by name, then loose ones, a remote branch and tags."""
-    folder, rng = tmp_path_factory.mktemp("clone"), random.Random(2)
+    rng = random.Random(2)
     git(folder, "init", "-q", "-b", "main")
-    git(folder, "config", "repack.useDeltaBaseOffset", request.param)
+    git(folder, "config", "repack.useDeltaBaseOffset", by_place)
     lines = [f"export const x{k} = {rng.random()};" for k in range(400)]
 
     def commit(k):
@@ -55,6 +54,11 @@ def clone(request, tmp_path_factory):
     return str(folder)
 
 
+@pytest.fixture(scope="module")
+def clone(tmp_path_factory):
+    return build(tmp_path_factory.mktemp("clone"), "true")
+
+
 def wanted(spark, *names):
     return spark.createDataFrame([(f"a-{n}", n) for n in names], "analysis_id string, ref string")
 
@@ -69,7 +73,9 @@ def expected(folder, commit):
     return out
 
 
-def test_objects_equal_git(spark, clone):
+@pytest.mark.parametrize("by_place", ["true", "false"])
+def test_objects_equal_git(spark, tmp_path, by_place):
+    clone = build(tmp_path, by_place)
     listed = dict(line.split()[:2] for line in git(clone, "cat-file", "--batch-all-objects", "--batch-check=%(objectname) %(objecttype)").decode().splitlines())
     spark.dataSource.register(R.GitObjects)
     found = {(r.oid, r.kind): bytes(r.data) for r in spark.read.format("git_objects").option("path", clone).option("range", 17).load().collect()}
