@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rippletrace.functions.exprs import basename
-from rippletrace.functions.ordering import numbered, ordered_list
+from rippletrace.functions.ordering import numbered_widely, ordered_list
 from rippletrace.functions.shared import cut
 from rippletrace.operators import diff
 
@@ -148,14 +148,13 @@ def _line_weights(files: DataFrame, *keys: str) -> DataFrame:
 def renames(gone: DataFrame, new: DataFrame) -> DataFrame:
     """(analysis_id, old_path, new_path, similarity): files with equal content, first with first by path; then files of one
     name, alone of it on each side, that share at least `SIMILAR` percent of the larger one's characters by equal lines."""
-    both = []
+    texts, placed, rest = [], [], []
     for name, files in (("old_path", gone), ("new_path", new)):
-        hashed = files.where(F.length("text") > 0).select("analysis_id", F.col("path").alias(name), "text", F.sha2("text", 256).alias("digest"))
-        both.append(numbered(hashed, "k", ["analysis_id", "digest"], name))
-    same = both[0].drop("text").join(both[1].drop("text"), ["analysis_id", "digest", "k"]).select("analysis_id", "old_path", "new_path", F.lit(100).alias("similarity"))
-    same = cut(same)
-    rest = []
-    for (name, _), side in zip((("old_path", 0), ("new_path", 1)), both):
+        texts.append(files.where(F.length("text") > 0).select("analysis_id", F.col("path").alias(name), "text"))
+        hashed = texts[-1].select("analysis_id", name, F.sha2("text", 256).alias("digest"))
+        placed.append(numbered_widely(hashed, "k", ["analysis_id", "digest"], name))  # one content may be that of very many files
+    same = cut(placed[0].join(placed[1], ["analysis_id", "digest", "k"]).select("analysis_id", "old_path", "new_path", F.lit(100).alias("similarity")))
+    for name, side in zip(("old_path", "new_path"), texts):
         left = side.join(same, ["analysis_id", name], "left_anti").withColumn("name", basename(F.col(name)))
         alone = left.groupBy("analysis_id", "name").agg(F.count(F.lit(1)).alias("n"), F.first(name).alias(name)).where("n = 1").drop("n")
         rest.append((alone, left))
@@ -211,7 +210,7 @@ def patch(base: DataFrame, files: DataFrame) -> DataFrame:
     A line of the base goes where a removed line has its number; an added line comes before
     the base line that follows it in its hunk.
     """
-    named = files.select("analysis_id", "old_path", "new_path", "status", "diff", F.xxhash64("analysis_id", "old_path", "new_path").cast("string").alias("file"))
+    named = files.select("analysis_id", "old_path", "new_path", "status", "diff", F.md5(F.concat_ws("\x00", "analysis_id", "old_path", "new_path")).alias("file"))
     lines = diff.parse_lines(named.select(F.col("file").alias("analysis_id"), "diff"), strict=True)
     in_hunk = Window.partitionBy("analysis_id", "file_seq", "hunk_seq").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     eaten = F.coalesce(F.sum((F.col("type") != "added").cast("int")).over(in_hunk), F.lit(0))
