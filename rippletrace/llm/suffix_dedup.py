@@ -45,6 +45,8 @@ DEPTH = 200
 GRAM, DIGIT = 32, 40
 #: Contexts of one gram that one task may hold; contexts sorted at once; shares of a gram with more.
 WIDE, TOGETHER, SALTS = 4096, 8192, 256
+#: Bytes whose grams are hashed at once: arrays of eight bytes for each that stay in a core's cache.
+SLICE = 120_000
 U = B.U
 
 
@@ -87,7 +89,7 @@ def anchors(joined: B.Joined, depth: int) -> tuple[np.ndarray, np.ndarray, np.nd
 
 def _anchor_pass(batches, depth: int, contexts: bool):
     for batch in batches:
-        for a, b in B.slices(batch.column(2), 1_000_000):
+        for a, b in B.slices(batch.column(2), SLICE):
             part = batch.slice(a, b - a)
             row, place, gram, context = anchors(B.Joined(B.binary(part.column(2))), depth)
             columns = [pa.array(gram.view(np.int64))]
