@@ -587,7 +587,7 @@ def test_bpe_of_long_words_and_few_known_words(monkeypatch):
 
 
 def test_every_operator_has_its_query():
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 13))
 
 
 def test_pipeline_stages_keep_clean_documents(spark, tmp_path):
