@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rippletrace.operators import ts_scan, usage
+from rippletrace.operators import graph, ts_scan, usage
 
 
 def tasks(df):
@@ -18,3 +18,10 @@ def test_one_partition_is_work_for_all_tasks(spark):
     assert tasks(usage.with_variables(codes)) == 4
     used = usage.with_usages(codes)
     assert tasks(used) == 4 and {r.f for r in used.select(F.col("usages")[0]["field"].alias("f")).collect()} == {"User.a"}
+
+
+def test_symbols_of_one_analysis_are_numbered_by_several_tasks(spark):
+    n = F.col("id")
+    ts = spark.range(0, 400, 1, 1).select(F.lit("a").alias("analysis_id"), (400 - n).cast("int").alias("file_seq"), F.lit(0).alias("kind_rank"), F.lit(0).alias("pos"), n.alias("id"))
+    numbered = graph.sequence_symbols(ts, ts.limit(0))
+    assert tasks(numbered) > 1 and {(r.id, r.symbol_seq) for r in numbered.collect()} == {(k, 400 - k) for k in range(400)}
