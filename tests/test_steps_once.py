@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from rippletrace.operators import linediff
+from rippletrace.functions.shared import cut
+from rippletrace.operators import linediff, traverse
 
 
 def counted(spark, df, column):
@@ -22,3 +23,14 @@ def test_a_history_is_read_once_for_all_generations(spark):
     found = linediff.merge_base(commits, spark.createDataFrame([("a", "7", "x")], "analysis_id string, base string, head string"))
     assert [r.merge_base for r in found.collect()] == ["3"]
     assert calls.value <= 9
+
+
+def test_radii_join_edges_with_nodes_once_and_carry_no_paths(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(traverse, "cut", lambda df: written.append(cut(df)) or written[-1])
+    nodes = spark.createDataFrame([("a", str(k)) for k in range(6)], "analysis_id string, id string")
+    edges = spark.createDataFrame([("a", k, str(k + 1), str(k)) for k in range(6)], "analysis_id string, edge_seq long, source string, target string")
+    totals = traverse.radius_totals(edges, nodes, spark.createDataFrame([("a", 1, "0")], "analysis_id string, seed_seq int, seed string"))
+    assert [(r.total_affected, r.first, r.last) for r in totals.collect()] == [(4, "1", "4")]
+    assert written[0].columns == ["analysis_id", "at", "source", "edge_seq"] and written[0].count() == 5
+    assert len(written) == 4 and all(r.way == ["0"] for level in written[1:] for r in level.collect())
