@@ -1,9 +1,9 @@
-"""Operators that iterate read their inputs once, not once for each step."""
+"""Operators that iterate read their inputs once, and no more of them than their results need."""
 
 from pyspark.sql import functions as F
 
 from rippletrace.functions.shared import cut
-from rippletrace.operators import linediff, traverse
+from rippletrace.operators import linediff, traverse, views
 
 
 def counted(spark, df, column):
@@ -34,3 +34,16 @@ def test_radii_join_edges_with_nodes_once_and_carry_no_paths(spark, monkeypatch)
     assert [(r.total_affected, r.first, r.last) for r in totals.collect()] == [(4, "1", "4")]
     assert written[0].columns == ["analysis_id", "at", "source", "edge_seq"] and written[0].count() == 5
     assert len(written) == 4 and all(r.way == ["0"] for level in written[1:] for r in level.collect())
+
+
+def test_depths_of_drawn_nodes_walk_only_what_these_depend_on(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(views, "cut", lambda df: written.append(cut(df)) or written[-1])
+    pairs = [("b", "a"), ("c", "b"), ("d", "c"), ("c", "a"), ("a", "d"), *((f"leaf{k}", "b") for k in range(50))]
+    edges = spark.createDataFrame([("x", len(pairs) - k, s, t) for k, (s, t) in enumerate(pairs)], "analysis_id string, edge_seq long, source string, target string")
+    changed = spark.createDataFrame([("x", "a")], "analysis_id string, id string")
+    drawn = spark.createDataFrame([("x", "d"), ("x", "leaf7"), ("x", "alone")], "analysis_id string, id string")
+    depths = lambda df: {(r.id, r.depth) for r in df.collect()}
+    near = depths(views.depths(edges, changed, drawn))
+    assert max(w.count() for w in written) < 10
+    assert {p for p in near if p[0] in ("d", "leaf7", "alone")} == {p for p in depths(views.depths(edges, changed)) if p[0] in ("d", "leaf7", "alone")} == {("d", 2), ("leaf7", 2)}
