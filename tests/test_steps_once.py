@@ -47,3 +47,11 @@ def test_depths_of_drawn_nodes_walk_only_what_these_depend_on(spark, monkeypatch
     near = depths(views.depths(edges, changed, drawn))
     assert max(w.count() for w in written) < 10
     assert {p for p in near if p[0] in ("d", "leaf7", "alone")} == {p for p in depths(views.depths(edges, changed)) if p[0] in ("d", "leaf7", "alone")} == {("d", 2), ("leaf7", 2)}
+
+
+def test_growing_sets_read_the_edges_once(spark):
+    pairs = [("b", "a"), ("c", "b"), ("d", "c"), ("d", "a"), ("e", "x")]
+    edges, calls = counted(spark, spark.createDataFrame([("s", k, a, b) for k, (a, b) in enumerate(pairs)], "analysis_id string, edge_seq long, source string, target string"), "source")
+    found = views.joining_times(edges, spark.createDataFrame([("s", "a")], "analysis_id string, id string"))
+    assert {(r.id, r.joined) for r in found.collect()} == {("a", views.NEVER), ("b", 0), ("c", 1), ("d", 2)}
+    assert calls.value == len(pairs)
