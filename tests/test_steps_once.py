@@ -55,3 +55,14 @@ def test_growing_sets_read_the_edges_once(spark):
     found = views.joining_times(edges, spark.createDataFrame([("s", "a")], "analysis_id string, id string"))
     assert {(r.id, r.joined) for r in found.collect()} == {("a", views.NEVER), ("b", 0), ("c", 1), ("d", 2)}
     assert calls.value == len(pairs)
+
+
+def test_nodes_that_lead_nowhere_keep_their_first_label(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(views, "cut", lambda df: written.append(cut(df)) or written[-1])
+    rows = [("b", "a", 0), ("c", "b", 1), ("leaf", "a", 9), ("leaf", "c", 2)]
+    edges, calls = counted(spark, spark.createDataFrame([("s", k, a, b) for a, b, k in rows], "analysis_id string, edge_seq long, source string, target string"), "source")
+    found = views.depths(edges, spark.createDataFrame([("s", "a")], "analysis_id string, id string"))
+    assert sorted((r.id, r.depth) for r in found.collect()) == [("a", 0), ("b", 1), ("c", 2), ("leaf", 1)]
+    assert calls.value == len(rows)
+    assert sum(w.where("id = 'leaf'").count() for w in written if "label" in w.columns) == 1
