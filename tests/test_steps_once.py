@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from rippletrace.functions import ordering
 from rippletrace.functions.shared import cut
-from rippletrace.operators import linediff, traverse, views
+from rippletrace.operators import linediff, scoring, traverse, views
 
 
 def counted(spark, df, column):
@@ -66,3 +67,16 @@ def test_nodes_that_lead_nowhere_keep_their_first_label(spark, monkeypatch):
     assert sorted((r.id, r.depth) for r in found.collect()) == [("a", 0), ("b", 1), ("c", 2), ("leaf", 1)]
     assert calls.value == len(rows)
     assert sum(w.where("id = 'leaf'").count() for w in written if "label" in w.columns) == 1
+
+
+def test_playback_of_scored_risks_numbers_them_once_and_reads_no_evidence(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(ordering, "cut", lambda df: written.append(cut(df)) or written[-1])
+    rows = [("a", k, "type", "high", k / 10, "static", f"n{k % 4}", f"t{k % 4}", 1, ["x", "y"] if k % 4 else ["x"], ["e"]) for k in range(8)]
+    risks = spark.createDataFrame(rows, "analysis_id string, risk_seq long, category string, severity string, confidence double, source string, changed_node_id string, title string, dependency_depth int, failure_path array<string>, evidence array<string>")
+    risks = risks.withColumns({"affected_node_id": F.lit("m"), "changed_symbol": F.lit("c"), "affected_symbol": F.lit("s")})
+    narrow, calls = counted(spark, risks.drop("evidence"), "title")
+    found = views.playback(scoring.score(scoring.dedupe(narrow)), scoring.BEST_FIRST).collect()
+    assert len(written) == 1 and written[0].count() == 3 and calls.value <= len(rows)
+    ranked = scoring.rank(scoring.score(scoring.dedupe(risks)))
+    assert sorted(found) == sorted(views.playback(ranked).collect())
