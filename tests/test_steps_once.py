@@ -80,3 +80,14 @@ def test_playback_of_scored_risks_numbers_them_once_and_reads_no_evidence(spark,
     assert len(written) == 1 and written[0].count() == 3 and calls.value <= len(rows)
     ranked = scoring.rank(scoring.score(scoring.dedupe(risks)))
     assert sorted(found) == sorted(views.playback(ranked).collect())
+
+
+def test_two_states_of_files_are_read_once_for_all_kinds_of_diffs(spark):
+    schema = "analysis_id string, path string, content string"
+    texts = {"same": ("x\n", "x\n"), "edited": ("x\ny\n", "x\nz"), "gone": ("g\n", None), "new": (None, "n\n"), "old/a": ("p\nq\n", None), "moved/a": (None, "p\nq\n")}
+    base, base_calls = counted(spark, spark.createDataFrame([("s", p, b) for p, (b, _) in texts.items() if b], schema), "content")
+    head, head_calls = counted(spark, spark.createDataFrame([("s", p, h) for p, (_, h) in texts.items() if h], schema), "content")
+    files = cut(linediff.file_diffs(base, head))
+    assert {(r.new_path, r.status) for r in files.collect()} == {("edited", "modified"), ("gone", "deleted"), ("new", "added"), ("moved/a", "renamed")}
+    assert (base_calls.value, head_calls.value) == (4, 4)
+    assert {(r.path, r.content) for r in linediff.patched(base, files).collect()} == {("edited", "x\nz"), ("new", "n\n"), ("moved/a", "p\nq\n")}
