@@ -83,3 +83,18 @@ def test_numbers_over_ranges_need_no_second_shuffle(spark):
     got = ordering.numbered_widely(df, "n", ["g"], F.desc("v"))
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, got.collect())) == sorted(map(str, ordering.numbered(df, "n", ["g"], F.desc("v")).collect()))
+
+
+def test_slices_change_no_rows_and_leave_no_steps(spark, monkeypatch):
+    rng = random.Random(5)
+    edges, seeds = graphs(spark, [drawn(rng, k % 2) for k in range(20)])
+    edges = shared.cut(edges)  # of a known size
+    nodes = edges.where("source < 'n7'").select("analysis_id", F.col("source").alias("id")).distinct()
+    radii = lambda: sorted(map(str, traverse.radius_totals(edges, nodes, seeds).collect()))
+    want, falling = radii(), seeds.where("analysis_id LIKE '%1'")
+    both = rows(traverse.combined(edges, falling))
+    monkeypatch.setattr(traverse, "SLICE", 1)
+    before = len(shared._written)
+    assert radii() == want
+    assert len(shared._written) - before == 4  # the levels: neither edges nor steps
+    assert rows(traverse.combined(edges, falling)) == both
